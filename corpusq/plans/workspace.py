@@ -37,7 +37,7 @@ class Workspace:
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """Write df and return the table read back; the plan behind df is not run again."""
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str = "") -> None:
