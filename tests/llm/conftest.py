@@ -1,5 +1,9 @@
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -16,9 +20,3 @@ def docs(spark):
 
     return make
 
-
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-
-
-def sentence(rng, n):
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
