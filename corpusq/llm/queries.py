@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe, chat, minhash, quality, warc
+from corpusq.llm import bpe, chat, linededup, minhash, mixing, quality, warc
 from corpusq.plans.workspace import Workspace
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"), Workspace(spark, "op1"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -26,6 +30,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(turns.unionByName(probe))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", *[e.alias(n) for n, e in mixing.production_levels().items()])
+    return mixing.choose(docs, Workspace(spark, "op3"), ["domain", "lang", "source"], mixing.WEIGHTS, max_epochs=2, seed=17)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -43,11 +52,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op6_minhash": op6_minhash,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE}
