@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe, chat, linededup, minhash, mixing, quality, warc
+from corpusq.llm import bpe, chat, chunks, forest, linededup, minhash, mixing, quality, warc
 from corpusq.plans.workspace import Workspace
 
 
@@ -51,6 +51,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
 
+def op9_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.dedup(_table(spark, sf_dir, "documents"), Workspace(spark, "op9"))
+
+
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_table(spark, sf_dir, "embeddings"), Workspace(spark, "op10"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -59,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
+    "op9_content_chunks": op9_content_chunks,
+    "op10_projection_forest": op10_projection_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE}
