@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe, chat, chunks, forest, linededup, minhash, mixing, quality, warc
+from corpusq.llm import bpe, chat, chunks, forest, linededup, minhash, mixing, quality, suffix, warc
 from corpusq.plans.workspace import Workspace
 
 
@@ -39,6 +39,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(_table(spark, sf_dir, "documents"), Workspace(spark, "op5"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op6"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_minhash": op6_minhash,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
