@@ -11,14 +11,13 @@ Groups of copies never become pairs:
    aggregation collapses a class before its shuffle.
 2. Each band bucket with two or more nodes is a star around its smallest node. Every node keeps one
    star edge at first; edges are confirmed on the full sets and give components.
-3. A bucket whose nodes are all in one component needs nothing more. In the others, nodes of
-   different components are compared by a sketch of the signature (8 bits a coordinate), and the
-   pairs that could reach 0.75 are confirmed on the full sets. A large bucket is dealt out as pairs of
-   blocks, so no task holds it whole, and no pair within a component is formed.
+3. A bucket whose nodes are all in one component needs nothing more. In the others, the full sets are
+   compared inside a task, by products of incidence matrices, and only links between components come
+   out, one per node and component. A large bucket is dealt out as pairs of blocks of about BLOCK
+   shingles, so no task holds it whole.
 4. Components of the confirmed edges are found by large-star/small-star.
 
-The sketch test asks for SKETCH_AGREE of 128 coordinates, which a pair at 0.75 misses with a
-probability below 1e-7. No bucket is capped, no row dropped.
+No bucket is capped, no row dropped, and pairs are never rows.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is kept;
 rows that share a doc_id count as one document in the graph and each has a row in the result; a null
@@ -45,8 +44,8 @@ from corpusq.plans.workspace import Workspace
 
 BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
-SKETCH_AGREE = 68
-BLOCK = 512
+BLOCK = 1 << 20
+COLUMNS = 2048
 CACHE_BYTES = 64 << 20
 
 
@@ -96,20 +95,20 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, n_shingles, d1, d2 (digest of the set), bands, sketch."""
+    """doc_id, text -> doc_id, n_shingles, d1, d2 (digest of the set), bands."""
     for b in batches:
         sets = [shingle_set(x) for x in text_bytes(b.column(1))]
         full = [i for i, s in enumerate(sets) if len(s)]
-        keys, sketch, d1, d2 = ([None] * len(sets) for _ in range(4))
+        keys, d1, d2 = ([None] * len(sets) for _ in range(3))
         if full:
             sig = signatures([sets[i] for i in full])
-            for i, k, s in zip(full, band_keys(sig), sig.astype(np.uint8)):
+            for i, k in zip(full, band_keys(sig)):
                 digest = xxhash.xxh3_128_digest(sets[i].tobytes())
-                keys[i], sketch[i] = k, s.tobytes()
+                keys[i] = k
                 d1[i], d2[i] = (int.from_bytes(digest[j : j + 8], "little", signed=True) for j in (0, 8))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-            ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
+            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "d1", "d2", "bands"],
         )
 
 
@@ -139,41 +138,70 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, by products of incidence matrices."""
+    sides = []
+    for sets in (left, right):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        sides.append((row, np.concatenate(sets)))
+    vocabulary = np.intersect1d(np.unique(sides[0][1]), np.unique(sides[1][1]), assume_unique=True)
+    placed = []
+    for row, x in sides:
+        at = np.searchsorted(vocabulary, x)
+        at[at == len(vocabulary)] = 0
+        hit = vocabulary[at] == x if len(vocabulary) else np.zeros(len(x), bool)
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((row[hit][order], at[hit][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(vocabulary), COLUMNS):
+        parts = []
+        for sets, (row, at) in zip((left, right), placed):
+            lo, hi = np.searchsorted(at, (first, first + COLUMNS))
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[row[lo:hi], at[lo:hi] - first] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one task, ordered by (key, i, j), -> pairs of one block pair that could be similar.
+    """Rows ordered by (key, i, j): side, node, component, text -> links between components.
 
-    A row says which half of the block pair it belongs to: left (i), right (j), or both if i = j.
+    side: which half of a pair of blocks the row belongs to: 0 left (i), 1 right (j), 2 both (i = j).
+    Of a node's links with the members of one component the first is enough.
     """
-    rows: list[tuple] = []
-    now = None
 
-    def pairs() -> pa.RecordBatch | None:
-        left = [r for r in rows if r[0] != 1]
-        right = [r for r in rows if r[0] != 0]
+    def links(rows: list[tuple]) -> pa.RecordBatch | None:
+        left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
         if not left or not right:
             return None
-        node_l, comp_l, n_l = (np.array([r[k] for r in left], np.int64) for k in (1, 2, 3))
-        node_r, comp_r, n_r = (np.array([r[k] for r in right], np.int64) for k in (1, 2, 3))
-        s_l, s_r = (np.frombuffer(b"".join(r[4] for r in side), np.uint8).reshape(-1, COORDS) for side in (left, right))
+        same = rows[0][0] == 2
+        comp_l, comp_r = (np.array([r[2] for r in side], np.int64) for side in (left, right))
+        if comp_l.min() == comp_l.max() == comp_r.min() == comp_r.max():
+            return None
+        sets_l = [shingle_set(r[3]) for r in left]
+        sets_r = sets_l if same else [shingle_set(r[3]) for r in right]
+        both = _intersections(sets_l, sets_r)
+        n_l, n_r = (np.array([len(x) for x in sets], np.int64) for sets in (sets_l, sets_r))
+        linked = (both > 0) & (100 * both >= 75 * (n_l[:, None] + n_r[None, :] - both)) & (comp_l[:, None] != comp_r[None, :])
         a, b = [], []
-        for i in range(len(left)):
-            ok = (comp_r != comp_l[i]) & (100 * np.minimum(n_r, n_l[i]) >= 75 * np.maximum(n_r, n_l[i]))
-            if rows[0][0] == 2:
-                ok &= node_r > node_l[i]
-            at = np.flatnonzero(ok)
-            at = at[(s_r[at] == s_l[i]).sum(axis=1) >= SKETCH_AGREE]
-            a += [min(x, node_l[i]) for x in node_r[at].tolist()]
-            b += [max(x, node_l[i]) for x in node_r[at].tolist()]
+        for i in np.flatnonzero(linked.any(axis=1)):
+            at = np.flatnonzero(linked[i])
+            at = at[np.unique(comp_r[at], return_index=True)[1]]
+            a += [left[i][1]] * len(at)
+            b += [right[j][1] for j in at]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
+    now, rows = None, []
     for batch in batches:
-        for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        head = list(zip(*(batch.column(k).to_pylist() for k in range(6))))
+        for (key, i, j, *row), text in zip(head, text_bytes(batch.column(6))):
             if (key, i, j) != now:
-                if rows and (out := pairs()) is not None:
+                if rows and (out := links(rows)) is not None:
                     yield out
                 now, rows = (key, i, j), []
-            rows.append(tuple(row))
-    if rows and (out := pairs()) is not None:
+            rows.append((*row, text))
+    if rows and (out := links(rows)) is not None:
         yield out
 
 
@@ -187,9 +215,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = ws.save("profile", d.mapInArrow(_profile, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"))
+    profile = ws.save("profile", d.mapInArrow(_profile, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     some = profile.where("d1 is not null and doc_id is not null")
-    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = ws.save("classes", classes)
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
@@ -203,23 +231,23 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     found = connected_components(ws, links, "cc-a")
 
     labelled = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("key", "m")
-    rest = ws.save("rest", labelled.join(mixed, "key").join(classes.select("node", "n", "sketch"), "node"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    labelled = labelled.join(classes.select("node", "n"), "node")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("total")).where("low < high")
+    mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    rest = ws.save("rest", labelled.join(mixed, "key").select("key", "node", "component", "blocks"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rest.select(
+    dealt = rest.join(texts, "node").select(
         "key",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         "node",
         "component",
-        "n",
-        "sketch",
+        "text",
     )
-    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    more = ws.save("links-2", _confirm(more, texts))
+    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long")
+    more = ws.save("links-2", more)
     stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     found = connected_components(ws, stars.unionByName(more), "cc-b")
 
