@@ -3,8 +3,332 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusq import oracle
+from corpusq.functions import pii, text
+from corpusq.functions.chunk import chunk_table
+from corpusq.functions.score import API, CLI, STAGED
+from corpusq.operators import anomaly, clean, duplicates, reports, simulate
+from corpusq.plans import pipeline
+from corpusq.plans.workspace import Workspace
+from corpusq.sources import readers, writers
+from corpusq.streaming import scorer
+
+#: The staged variant with duplicates by equal text, every member flagged: what SQL can repeat.
+GOLD = replace(STAGED, duplicates="members")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.documents_as_raw(table(spark, sf_dir, "documents"))
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.scored(raw(spark, sf_dir), GOLD)
+
+
+def _report(name: str):
+    QUERIES[name] = lambda spark, sf_dir: reports.run_sql(gold(spark, sf_dir), name)
+    ORACLE_SQL[name] = oracle.GOLD + reports.SQL[name].format(gold="gold")
+
+
+for _name in reports.SQL:
+    _report(_name)
+
+WITH = "WITH RECURSIVE "
+SILVER = WITH + oracle.silver() + "\n"
+T = oracle.tokens
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_ids, CAST(5 AS BIGINT) AS n_columns FROM documents")
+def a36_ingest_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"), F.lit(len(d.columns)).cast("long").alias("n_columns"))
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
+def s02_sample(spark, sf_dir):
+    return readers.sample_exact(table(spark, sf_dir, "documents"), 100, "doc_id").select("doc_id", "text")
+
+
+@query(WITH + oracle.RAW + " SELECT * FROM raw")
+def s06_raw(spark, sf_dir):
+    return raw(spark, sf_dir)
+
+
+@query("SELECT 'text' AS column, count(*) FILTER (WHERE text IS NULL) AS nulls FROM documents UNION ALL SELECT 'lang', count(*) FILTER (WHERE lang IS NULL) FROM documents UNION ALL SELECT 'source', count(*) FILTER (WHERE source IS NULL) FROM documents")
+def a15_null_counts(spark, sf_dir):
+    return reports.null_counts(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
+
+
+@query("SELECT min(length(text)) AS min_chars, max(length(text)) AS max_chars, avg(length(text)) AS mean_chars, median(length(text)) AS median_chars FROM documents")
+def a16_text_lengths(spark, sf_dir):
+    return reports.text_lengths(table(spark, sf_dir, "documents"))
+
+
+@query(SILVER + "SELECT * FROM silver")
+def f01_silver(spark, sf_dir):
+    return clean.clean(raw(spark, sf_dir))
+
+
+_S, _N = oracle.strip("text"), oracle.tokens(oracle.strip("text"))
+_ASCII = f"CAST(length(regexp_replace({_S}, '[^\\x00-\\x7F]', '', 'g')) AS DOUBLE) / length({_S}) >= 0.9"
+
+
+@query(f"""WITH f AS (SELECT text IS NOT NULL AS a, {_S} <> '' AS b, {_N} >= 20 AS c, {_ASCII} AS d FROM documents),
+n AS (SELECT count(*) AS n0, count(*) FILTER (a) AS n1, count(*) FILTER (a AND b) AS n2, count(*) FILTER (a AND b AND c) AS n3, count(*) FILTER (a AND b AND c AND d) AS n4 FROM f),
+s AS (SELECT 0 AS step_no, 'input' AS step, n0 AS n, n0 AS before, n0 AS total FROM n UNION ALL SELECT 1, 'not_null', n1, n0, n0 FROM n UNION ALL SELECT 2, 'not_blank', n2, n1, n0 FROM n
+ UNION ALL SELECT 3, 'long_enough', n3, n2, n0 FROM n UNION ALL SELECT 4, 'mostly_ascii', n4, n3, n0 FROM n)
+SELECT step_no, step, n, before - n AS removed, round((before - n) * 100.0 / before, 4)::DOUBLE AS pct_removed, round(n * 100.0 / total, 4)::DOUBLE AS pct_retained FROM s""")
+def a35_funnel(spark, sf_dir):
+    return clean.funnel(raw(spark, sf_dir))
+
+
+def _described(c: str, rel: str) -> str:
+    return f"SELECT '{c}' AS column, count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, CAST(min({c}) AS DOUBLE) AS min, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS p50, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM {rel}"
+
+
+_NUMBERS = ["token_count", "chunk_count", "avg_chunk_tokens", "index_readiness_score"]
+
+
+@query(oracle.GOLD + " UNION ALL ".join(_described(c, "gold") for c in _NUMBERS))
+def a10_describe(spark, sf_dir):
+    return reports.describe(gold(spark, sf_dir), _NUMBERS)
+
+
+@query(oracle.GOLD + "SELECT review_id, user_id, business_id, stars, useful, funny, cool, date, text, token_count, chunk_count, avg_chunk_tokens, min_chunk_tokens, max_chunk_tokens, chunk_quality_flag, is_duplicate, has_pii, pii_types, chunk_score, duplicate_score, pii_score, index_readiness_score, index_ready, recommendation FROM gold")
+def t15_scored_staged(spark, sf_dir):
+    return gold(spark, sf_dir).drop("duplicate_cluster_id")
+
+
+_CLI = oracle.gold(50, 50, "keep_first", do_strip=False, ascii=False)
+
+
+@query(_CLI + "SELECT review_id, text, token_count, chunk_count, chunk_quality_flag, is_duplicate, has_pii, pii_types, index_readiness_score, recommendation FROM gold WHERE index_readiness_score >= 70")
+def t15_scored_cli(spark, sf_dir):
+    df = pipeline.scored(raw(spark, sf_dir), CLI)
+    return df.select("review_id", "text", "token_count", "chunk_count", "chunk_quality_flag", "is_duplicate", "has_pii", "pii_types", "index_readiness_score", "recommendation")
+
+
+_API = oracle.gold(50, 50, "none", ascii=False, min_tokens=0)
+
+
+@query(_API + "SELECT review_id, chunk_quality_flag, chunk_score, chunk_count, avg_chunk_tokens, has_pii, pii_types, pii_score, duplicate_score, index_readiness_score, recommendation FROM gold WHERE review_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE length(text) BETWEEN 10 AND 10000)")
+def t17_scored_api(spark, sf_dir):
+    rows = clean.validate_requests(raw(spark, sf_dir)).where("error is null")
+    return pipeline.score_rows(rows, API).drop("metadata")
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NULL THEN 'text is missing' WHEN length(text) < 10 THEN 'text is shorter than 10 characters' WHEN length(text) > 10000 THEN 'text is longer than 10000 characters' WHEN {_S} = '' THEN 'text is blank' END AS error FROM documents")
+def f12_request_errors(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("double").alias("stars"))
+    return clean.validate_requests(rows).select("doc_id", "error")
+
+
+@query(f"SELECT doc_id, CAST({T('text')} AS INTEGER) AS tokens, CAST(length(text) AS INTEGER) AS chars, CAST(len(list_filter(string_split_regex(text, '{oracle.WS}+'), lambda x: x <> '')) AS INTEGER) AS words, {oracle.SENTENCES} AS sentences FROM documents")
+def t02_text_functions(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.count_tokens(c).alias("tokens"), F.length(c).alias("chars"), F.size(text.words(c)).alias("words"), text.split_sentences(c).alias("sentences"))
+
+
+_CONV = f"WITH RECURSIVE silver AS (SELECT CAST(doc_id AS VARCHAR) AS review_id, text, CAST({T('text')} AS INTEGER) AS token_count FROM documents WHERE {_S} <> ''), {oracle.CHUNKS.strip()} "
+
+
+@query(_CONV + "SELECT review_id, chunk_id, text, tokens, sentences FROM chunks")
+def t04_chunks(spark, sf_dir):
+    return chunk_table(table(spark, sf_dir, "documents").withColumn("review_id", F.col("doc_id").cast("string")), "review_id")
+
+
+@query(f"SELECT conv_id, turn, t AS pii_types, len(t) > 0 AS has_pii FROM (SELECT conv_id, turn, {oracle.pii()} AS t FROM conversations)")
+def t06_pii_conversations(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", pii.pii_types(c).alias("pii_types"), pii.has_pii(c).alias("has_pii"))
+
+
+@query(f"SELECT doc_id, array_to_string({oracle.pii()}, ',') AS pii_types FROM documents")
+def t06_pii_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(pii.pii_types(F.col("text")), ",").alias("pii_types"))
+
+
+@query(oracle.GOLD + "SELECT t AS pii_type, count(*) AS n FROM (SELECT unnest(types) AS t FROM gold) GROUP BY t")
+def a13_pii_type_counts(spark, sf_dir):
+    return reports.pii_type_counts(gold(spark, sf_dir))
+
+
+def _redact_sql(style: str) -> str:
+    now, counts = "text", []
+    for kind, p in pii.REDACT.items():
+        counts.append(f"len(regexp_extract_all({now}, '{p}', 0, 'i'))")
+        now = f"regexp_replace({now}, '{p}', '{pii.REPLACEMENTS[style][kind]}', 'gi')"
+    total = " + ".join(counts)
+    return f"SELECT doc_id, {now} AS redacted_text, CAST({total} AS INTEGER) AS total_redactions, coalesce(CAST({total} AS DOUBLE) / nullif(len(list_filter(string_split_regex(text, '{oracle.WS}+'), lambda x: x <> '')), 0), 0) AS redaction_rate FROM documents"
+
+
+def _redact(style: str):
+    def f(spark, sf_dir):
+        d = table(spark, sf_dir, "documents").withColumn("r", pii.redact(F.col("text"), style=style))
+        return d.select("doc_id", "r.redacted_text", "r.total_redactions", "r.redaction_rate")
+
+    f.__name__ = f"t08_redact_{style}"
+    return query(_redact_sql(style))(f)
+
+
+_redact("bracket")
+_redact("generic")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) <> doc_id AS is_duplicate FROM documents")
+def a26_keep_first(spark, sf_dir):
+    return duplicates.keep_first(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "is_duplicate")
+
+
+@query("WITH g AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1), r AS (SELECT text, dense_rank() OVER (ORDER BY first) - 1 AS group_no FROM g) SELECT d.doc_id, r.group_no FROM documents d JOIN r ON d.text = r.text")
+def a27_group_numbers(spark, sf_dir):
+    return duplicates.group_numbers(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query()
+def t28_lsh_duplicates(spark, sf_dir):
+    df = clean.clean(raw(spark, sf_dir))
+    return duplicates.lsh(df, Workspace(spark, "lsh")).select("review_id", "is_duplicate", "duplicate_cluster_id")
+
+
+@query()
+def a17_lsh_clusters(spark, sf_dir):
+    return reports.distinct_clusters(duplicates.lsh(clean.clean(raw(spark, sf_dir)), Workspace(spark, "lsh")))
+
+
+@query("""WITH d AS (SELECT min(doc_id) AS id, lower(text) AS t FROM documents WHERE text IS NOT NULL GROUP BY text), g AS (SELECT DISTINCT id, substring(t, CAST(i AS INTEGER), 3) AS g FROM d, unnest(range(1, length(t) - 1)) AS u(i) WHERE length(t) >= 3),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY ALL)
+SELECT a, b, round(CAST(i AS DOUBLE) / (na.n + nb.n - i), 6) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE i >= 0.8 * (na.n + nb.n - i) - 1e-9""")
+def t27_jaccard_pairs(spark, sf_dir):
+    return duplicates.jaccard_pairs(table(spark, sf_dir, "documents"), Workspace(spark, "pairs"))
+
+
+@query(oracle.GOLD + "SELECT review_id, stars, date, index_readiness_score FROM gold WHERE regexp_matches(text, '(?i)street|avenue') OR regexp_matches(review_id, '(?i)street|avenue')")
+def f11_search(spark, sf_dir):
+    return reports.search(gold(spark, sf_dir), "street|avenue").select("review_id", "stars", "date", "index_readiness_score")
+
+
+@query(oracle.GOLD + "SELECT review_id, stars, index_readiness_score, recommendation, substring(text, 1, 100) || '...' AS text_preview FROM gold WHERE regexp_matches(text, '(?i)the') OR regexp_matches(review_id, '(?i)the') ORDER BY index_readiness_score DESC, review_id LIMIT 50")
+def o05_search_view(spark, sf_dir):
+    return reports.search_view(reports.search(gold(spark, sf_dir), "the"))
+
+
+@query(oracle.GOLD + "SELECT recommendation, review_id, index_readiness_score FROM gold QUALIFY row_number() OVER (PARTITION BY recommendation ORDER BY review_id) <= 2")
+def o05_top_per_tier(spark, sf_dir):
+    return reports.top_per_tier(gold(spark, sf_dir))
+
+
+@query(oracle.GOLD + "SELECT review_id AS id, text, index_readiness_score AS quality_score FROM gold WHERE index_ready")
+def s14_vector_records(spark, sf_dir):
+    return writers.vector_batches(gold(spark, sf_dir)).select("id", "text", F.col("metadata.quality_score").alias("quality_score"))
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT v.vec_id, list_dot_product(v.embedding::DOUBLE[], q.e::DOUBLE[]) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(q.e::DOUBLE[], q.e::DOUBLE[])) AS similarity
+FROM embeddings v, q WHERE v.label >= 4 ORDER BY similarity DESC, v.vec_id LIMIT 10""")
+def s16_nearest(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    probe = v.where("vec_id = 0").first()["embedding"]
+    return reports.nearest(v, probe, 10, F.col("label") >= 4)
+
+
+@query("SELECT doc_id, date_trunc('month', CAST('2020-01-01' AS TIMESTAMP) + to_days(CAST(doc_id % 730 AS INTEGER))) AS month, substring(text, 1, 100) AS preview, CASE WHEN doc_id % 2 = 0 THEN '[\"email\", \"phone\"]' ELSE '[]' END AS as_json, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_back FROM documents")
+def p07_projections(spark, sf_dir):
+    even = F.pmod("doc_id", F.lit(2)) == 0
+    types = F.when(even, F.array(F.lit("email"), F.lit("phone"))).otherwise(F.array().cast("array<string>"))
+    d = table(spark, sf_dir, "documents").withColumns({"types": types, "date": F.date_add(F.lit("2020-01-01").cast("date"), F.pmod("doc_id", F.lit(730)).cast("int")).cast("timestamp")})
+    d = d.withColumn("as_json", text.json_list(F.col("types")))
+    return d.select("doc_id", text.month_of(F.col("date")).alias("month"), text.preview(F.col("text")).alias("preview"), "as_json", F.size(text.from_json_list(F.col("as_json"))).alias("n_back"))
+
+
+def _series(source: str) -> tuple[Callable, str]:
+    if source == "orders":
+        return (lambda s, d: anomaly.by_period(table(s, d, "orders"), "o_totalprice", F.date_trunc("month", F.col("o_orderdate")))), "p AS (SELECT date_trunc('month', o_orderdate) AS period, avg(o_totalprice) AS metric_mean, stddev_samp(o_totalprice) AS metric_std, count(o_totalprice) AS review_count FROM orders GROUP BY 1)"
+    if source == "events":
+        return (lambda s, d: anomaly.by_period(table(s, d, "events"), "value", F.date_trunc("day", F.col("ts")))), "p AS (SELECT date_trunc('day', ts) AS period, avg(value) AS metric_mean, stddev_samp(value) AS metric_std, count(value) AS review_count FROM events GROUP BY 1)"
+    return (lambda s, d: anomaly.by_period(gold(s, d), "index_readiness_score", F.date_trunc("month", F.col("date").cast("timestamp")))), oracle.GOLD.strip().removeprefix("WITH RECURSIVE ") + ", p AS (SELECT date_trunc('month', CAST(date AS TIMESTAMP)) AS period, avg(index_readiness_score) AS metric_mean, stddev_samp(index_readiness_score) AS metric_std, count(index_readiness_score) AS review_count FROM gold GROUP BY 1)"
+
+
+_LABEL = "CASE WHEN coalesce({lo}, false) THEN 'low' WHEN coalesce({hi}, false) THEN 'high' ELSE 'normal' END AS anomaly_type, coalesce({lo}, false) OR coalesce({hi}, false) AS is_anomaly"
+_METHODS = {
+    "zscore": "z AS (SELECT p.*, CASE WHEN (SELECT stddev_samp(metric_mean) FROM p) > 0 THEN (metric_mean - (SELECT avg(metric_mean) FROM p)) / (SELECT stddev_samp(metric_mean) FROM p) ELSE 0 END AS zscore FROM p), found AS (SELECT z.*, abs(zscore) AS anomaly_severity, " + _LABEL.format(lo="zscore < -2", hi="zscore > 2") + " FROM z)",
+    "iqr": "q AS (SELECT quantile_cont(metric_mean, 0.25) AS q1, quantile_cont(metric_mean, 0.75) AS q3 FROM p), b AS (SELECT p.*, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, q3 - q1 AS w FROM p, q), found AS (SELECT b.* EXCLUDE (lo, hi, w), CASE WHEN metric_mean BETWEEN lo AND hi THEN 0 ELSE greatest(lo - metric_mean, metric_mean - hi) / w END AS anomaly_severity, " + _LABEL.format(lo="metric_mean < lo", hi="metric_mean > hi") + " FROM b)",
+    "moving_avg": "m AS (SELECT p.*, CASE WHEN count(*) OVER w = 3 THEN avg(metric_mean) OVER w END AS moving_avg FROM p WINDOW w AS (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), d AS (SELECT m.*, (metric_mean - moving_avg) / moving_avg AS deviation FROM m), found AS (SELECT d.*, abs(deviation) AS anomaly_severity, " + _LABEL.format(lo="deviation < -0.2", hi="deviation > 0.2") + " FROM d)",
+}
+
+
+def _anomalies(source: str, method: str) -> None:
+    series, ctes = _series(source)
+
+    def f(spark, sf_dir):
+        return anomaly.detect(series(spark, sf_dir), method)
+
+    def g(spark, sf_dir):
+        return anomaly.summary(f(spark, sf_dir))
+
+    f.__name__, g.__name__ = f"w_{method}_{source}", f"a33_summary_{method}_{source}"
+    head = f"WITH RECURSIVE {ctes}, {_METHODS[method]} "
+    query(head + "SELECT * FROM found")(f)
+    pick = lambda p: f"list_sort(coalesce(list(strftime(period, '%Y-%m-%d %H:%M:%S')) FILTER ({p}), []))"
+    query(head + f"SELECT count(*) AS total_periods, count(*) FILTER (is_anomaly) AS anomaly_count, count(*) FILTER (is_anomaly) * 100.0::DOUBLE / count(*) AS anomaly_rate, {pick('is_anomaly')} AS anomalous_periods, {pick(chr(97) + 'nomaly_type = ' + repr('low'))} AS low_quality_periods, {pick('anomaly_type = ' + repr('high'))} AS high_quality_periods FROM found")(g)
+
+
+for _source in ("documents", "orders", "events"):
+    for _method in _METHODS:
+        _anomalies(_source, _method)
+
+
+def _sim_sql(where: str) -> str:
+    return f"""(SELECT least(70 + CASE WHEN o > 40 THEN 10 ELSE 0 END + CASE WHEN d < 5 THEN 5 ELSE 0 END + CASE WHEN p < 10 THEN 5 ELSE 0 END + CASE WHEN s > 80 THEN 10 ELSE 0 END, 100)::DOUBLE AS acc, greatest(850 - o / 100 * 230, 400) AS rt,
+  greatest(18 - (s - 70) / 30 * 6, 5) AS hall, least(65 + o * 0.4::DOUBLE, 100) AS util
+  FROM (SELECT avg(index_readiness_score) AS s, avg((chunk_quality_flag = 'optimal')::INT) * 100 AS o, avg(is_duplicate::INT) * 100 AS d, avg(has_pii::INT) * 100 AS p FROM gold WHERE {where}))"""
+
+
+_FIVE = "round_even(acc, 1) AS retrieval_accuracy, CAST(floor(rt) AS INTEGER) AS response_time_ms, round_even(hall, 1) AS hallucination_rate, round_even(util, 1) AS chunk_utilization, round_even(least(3.5 + ((acc - 70) / 100 + (18 - hall) / 100) * 1.5, 5)::DOUBLE, 2) AS user_satisfaction"
+
+
+@query(oracle.GOLD + f"SELECT {_FIVE} FROM {_sim_sql('true')}")
+def t18_simulate(spark, sf_dir):
+    return simulate.simulate(gold(spark, sf_dir))
+
+
+@query(
+    oracle.GOLD
+    + f", a AS (SELECT {_FIVE} FROM {_sim_sql('true')}), b AS (SELECT {_FIVE} FROM {_sim_sql('index_readiness_score >= 70')}), c AS ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, a.{m}::DOUBLE AS without_filter, b.{m}::DOUBLE AS with_filter, {-1 if m in simulate.LESS_IS_BETTER else 1} * (b.{m}::DOUBLE - a.{m}::DOUBLE) AS improvement FROM a, b" for m in simulate.METRICS)
+    + ") SELECT *, improvement / without_filter * 100 AS pct_improvement FROM c"
+)
+def t19_compare(spark, sf_dir):
+    return simulate.compare(gold(spark, sf_dir))
+
+
+@query("SELECT count(*) AS total_requests, CAST(sum(event_id % 5) AS BIGINT) AS total_reviews_scored, floor(avg(value) * 100 + 0.5) / 100 AS average_response_time_ms FROM events")
+def r03_service_stats(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.pmod("event_id", F.lit(5)).alias("n_reviews"), F.col("value").alias("latency_ms"))
+    return scorer.service_stats(log)
+
+
+@query()
+def s18_checks(spark, sf_dir):
+    return writers.check_layer(gold(spark, sf_dir), ["review_id", "text", "index_readiness_score"], ["text"], {"token_count": 20})
