@@ -225,9 +225,9 @@ def t27_jaccard_pairs(spark, sf_dir):
     return duplicates.jaccard_pairs(table(spark, sf_dir, "documents"), Workspace(spark, "pairs"))
 
 
-@query(oracle.GOLD + "SELECT review_id, stars, date, index_readiness_score FROM gold WHERE regexp_matches(text, '(?i)street|avenue') OR regexp_matches(review_id, '(?i)street|avenue')")
+@query(oracle.GOLD + "SELECT review_id, stars, date, index_readiness_score FROM gold WHERE regexp_matches(text, '(?i)moron|disgusting') OR regexp_matches(review_id, '(?i)moron|disgusting')")
 def f11_search(spark, sf_dir):
-    return reports.search(gold(spark, sf_dir), "street|avenue").select("review_id", "stars", "date", "index_readiness_score")
+    return reports.search(gold(spark, sf_dir), "moron|disgusting").select("review_id", "stars", "date", "index_readiness_score")
 
 
 @query(oracle.GOLD + "SELECT review_id, stars, index_readiness_score, recommendation, substring(text, 1, 100) || '...' AS text_preview FROM gold WHERE regexp_matches(text, '(?i)the') OR regexp_matches(review_id, '(?i)the') ORDER BY index_readiness_score DESC, review_id LIMIT 50")
