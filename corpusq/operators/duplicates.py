@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.plans.components import connected_components
+from corpusq.plans.once import spread
 from corpusq.plans.workspace import Workspace
 
 PERMUTATIONS, BANDS, ROWS = 128, 9, 13
@@ -23,7 +24,7 @@ def keep_first(df: DataFrame, key: str = "review_id") -> DataFrame:
     A hot text is combined before its shuffle; a row compares itself with its text's first.
     """
     first = df.groupBy(F.sha2("text", 256).alias("_t")).agg(F.min(key).alias("_first"))
-    out = df.withColumn("_t", F.sha2("text", 256)).join(first, "_t", "left")
+    out = df.withColumn("_t", F.sha2("text", 256)).join(spread(first), "_t", "left")
     again = F.coalesce(F.col(key) != F.col("_first"), F.lit(False))
     return out.withColumns({"is_duplicate": again, "duplicate_cluster_id": F.when(again, F.xxhash64("_t").bitwiseAND((1 << 62) - 1)).otherwise(F.lit(-1).cast("long"))}).drop("_t", "_first")
 
@@ -31,7 +32,7 @@ def keep_first(df: DataFrame, key: str = "review_id") -> DataFrame:
 def members(df: DataFrame, key: str = "review_id") -> DataFrame:
     """is_duplicate for every row whose text occurs again; the cluster is named by its smallest key's hash."""
     n = df.groupBy(F.sha2("text", 256).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    out = df.withColumn("_t", F.sha2("text", 256)).join(n, "_t", "left")
+    out = df.withColumn("_t", F.sha2("text", 256)).join(spread(n), "_t", "left")
     again = F.coalesce(F.col("_n") > 1, F.lit(False))
     return out.withColumns({"is_duplicate": again, "duplicate_cluster_id": F.when(again, F.xxhash64("_t").bitwiseAND((1 << 62) - 1)).otherwise(F.lit(-1).cast("long"))}).drop("_t", "_n")
 
@@ -85,7 +86,7 @@ def lsh_clusters(df: DataFrame, ws: Workspace, key: str = "review_id") -> DataFr
     """
     keyed = ws.save("bands", band_keys(df, key)).select("id", F.posexplode("bands").alias("band", "h"))
     hubs = keyed.groupBy("band", "h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
-    edges = keyed.join(hubs, ["band", "h"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    edges = keyed.join(spread(hubs), ["band", "h"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     return connected_components(ws, edges, "lsh").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
@@ -115,7 +116,7 @@ def jaccard_pairs(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold:
     sets = ws.save("sets", trigram_sets(df.join(first, df[key] == first["first"], "left_semi"), key).withColumn("n", F.size("grams")))
     tokens = sets.select("id", "n", F.explode("grams").alias("g"))
     df_of = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    ranked = tokens.join(df_of, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))
+    ranked = tokens.join(spread(df_of), "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     prefix = ranked.select("id", "n", F.explode(F.transform(F.slice("s", F.lit(1), keep.cast("int")), lambda x: x["g"])).alias("g"))
     prefix = ws.save("prefix", prefix)

@@ -15,3 +15,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with the columns added or replaced."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly; for the aggregated side of a join on its grouping key.
+
+    Without it the aggregate's own partitioning serves the join, and AQE can't split the partition of a
+    hot key on the other side, as it does between two plain exchanges. The aggregate is the small side.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
