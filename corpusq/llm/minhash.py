@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from corpusq.llm.batches import text_bytes
 from corpusq.llm.shingles import common, shingle_set
 from corpusq.plans.components import connected_components
+from corpusq.plans.once import spread
 from corpusq.plans.workspace import Workspace
 
 BANDS, ROWS = 32, 4
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
     stars = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
-    members = ws.save("members", keyed.join(stars, "key").select("key", "node", "center"))
+    members = ws.save("members", keyed.join(spread(stars), "key").select("key", "node", "center"))
     nodes = members.select("node").distinct()
     texts = ws.save("texts", d.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi"))
 
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     labelled = labelled.join(classes.select("node", "n"), "node")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("total")).where("low < high")
     mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    rest = ws.save("rest", labelled.join(mixed, "key").select("key", "node", "component", "blocks"))
+    rest = ws.save("rest", labelled.join(spread(mixed), "key").select("key", "node", "component", "blocks"))
     rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = rest.join(texts, "node").select(
