@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm.batches import text_bytes
+from corpusq.plans.once import spread
 from corpusq.plans.workspace import Workspace
 
 WINDOW = 16
@@ -123,7 +124,7 @@ def dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
     chunks = d.where("doc_id is not null").mapInArrow(_chunk, "doc_id long, i int, digest long, size int")
     chunks = ws.save("chunks", chunks)
     first = chunks.groupBy("digest", "size").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    copies = chunks.join(first, ["digest", "size"]).where("doc_id > source")
+    copies = chunks.join(spread(first), ["digest", "size"]).where("doc_id > source")
     copies = copies.groupBy("doc_id").agg(F.collect_list("i").alias("copies"), F.collect_list("source").alias("sources"))
     out = d.join(copies, "doc_id", "left").select("doc_id", "text", "copies", "sources")
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_chunks long, n_copies long, n_removed long, n_spans long, kept_sha256 string, copied_from array<long>")
