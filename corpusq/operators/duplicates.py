@@ -125,3 +125,16 @@ def jaccard_pairs(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold:
     sa, sb = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     both = near.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("x", "y"))).withColumn("u", F.size("x") + F.size("y") - F.col("i"))
     return both.where(F.col("i") >= F.lit(threshold) * F.col("u") - 1e-9).select("a", "b", F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
+
+
+def jaccard_documents(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """key, class_id, n_links for every row: the smallest key of its equal texts, and how many other classes `jaccard_pairs` links to that.
+
+    A null text is a class by itself.
+    """
+    pairs = ws.save("pairs", jaccard_pairs(df, ws, key, threshold))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    first = df.where("text is not null").groupBy(F.sha2("text", 256).alias("_t")).agg(F.min(key).alias("_first"))
+    classes = df.select(key, F.sha2("text", 256).alias("_t")).join(spread(first), "_t", "left").select(key, F.coalesce("_first", key).alias("class_id"))
+    out = classes.join(spread(links), F.col("class_id") == F.col("_id"), "left")
+    return out.select(key, "class_id", F.coalesce("_n", F.lit(0)).alias("n_links"))

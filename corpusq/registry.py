@@ -225,6 +225,13 @@ def t27_jaccard_pairs(spark, sf_dir):
     return duplicates.jaccard_pairs(table(spark, sf_dir, "documents"), Workspace(spark, "pairs"))
 
 
+@query(f"""WITH p AS ({ORACLE_SQL["t27_jaccard_pairs"]}), l AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id),
+c AS (SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS class_id FROM documents)
+SELECT c.doc_id, c.class_id, coalesce(l.n, 0) AS n_links FROM c LEFT JOIN l ON l.id = c.class_id""")
+def t27_jaccard_documents(spark, sf_dir):
+    return duplicates.jaccard_documents(table(spark, sf_dir, "documents"), Workspace(spark, "links"))
+
+
 @query(oracle.GOLD + "SELECT review_id, stars, date, index_readiness_score FROM gold WHERE regexp_matches(text, '(?i)moron|disgusting') OR regexp_matches(review_id, '(?i)moron|disgusting')")
 def f11_search(spark, sf_dir):
     return reports.search(gold(spark, sf_dir), "moron|disgusting").select("review_id", "stars", "date", "index_readiness_score")

@@ -115,3 +115,10 @@ def test_stream(spark, tmp_path):
     assert [r.review_id for r in out] == ["a"] and out[0].duplicate_score == 100
     bad = scorer.rejected_stream(spark.createDataFrame(rows, "review_id string, text string, stars double"))
     assert {r.review_id for r in bad.collect()} == {"b", "c", "d"}
+
+
+def test_jaccard_documents_have_every_copy(spark):
+    near = "a long sentence that comes again with one more letter"
+    rows = [(3, "only copies here"), (1, "only copies here"), (5, near), (4, near), (6, near + "s"), (7, None), (8, None), (9, "by itself")]
+    got = duplicates.jaccard_documents(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "jd")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 0), (3, 1, 0), (4, 4, 1), (5, 4, 1), (6, 6, 1), (7, 7, 0), (8, 8, 0), (9, 9, 0)]
