@@ -19,6 +19,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_table(spark, sf_dir, "documents"), Workspace(spark, "op1"))
 
 
+def op1_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the lines of fewer than MIN_TOKENS tokens, which op1_line_dedup and its SQL leave alone."""
+    return linededup.report(_table(spark, sf_dir, "documents"), Workspace(spark, "op1all"), min_tokens=1)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -65,6 +70,7 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_line_dedup_all": op1_line_dedup_all,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
@@ -76,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_projection_forest": op10_projection_forest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op1_line_dedup_all": linededup.ORACLE_ALL}
