@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusq.llm.batches import text_bytes
 from corpusq.llm.shingles import common, shingle_set
@@ -48,6 +49,7 @@ COORDS = BANDS * ROWS
 BLOCK = 1 << 20
 COLUMNS = 2048
 CACHE_BYTES = 64 << 20
+UNNAMED = 1 << 62
 
 
 def _mix(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -258,7 +260,27 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a text, and _set (digest of its shingle set) as their last column."""
+    for b in batches:
+        sets = [xxhash.xxh3_128_digest(shingle_set(x).tobytes()) for x in text_bytes(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sets, pa.binary())], [*b.schema.names, "_set"])
+
+
 def keep_first(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The rows of docs, all their columns, without the near copies of a document with a smaller id."""
-    kept = ws.save("kept", near_duplicates(docs, ws).where("kept").select("doc_id").distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The rows of docs, all their columns, without the near copies of a document with a smaller id.
+
+    A row without an id takes one from its text, from UNNAMED on, so it stays unless it is a copy of a named
+    document or of another such row. Of the rows with one id and one shingle set, one stays; blank rows without an id all stay.
+    """
+    unnamed = F.lit(UNNAMED) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(UNNAMED - 1)
+    d = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    found = near_duplicates(d.select(F.col("_id").alias("doc_id"), "text"), ws).where("kept").groupBy(F.col("doc_id").alias("_id"))
+    again = (F.count(F.lit(1)) > 1) & ((F.col("_id") < UNNAMED) | (F.max("n_shingles") > 0))
+    kept = ws.save("kept", found.agg(again.alias("again")))
+    if kept.where("again").isEmpty():
+        return d.join(kept, "_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    single = d.join(kept.where("not again"), "_id", "left_semi")
+    several = d.join(kept.where("again"), "_id", "left_semi")
+    one = several.mapInArrow(_with_set, StructType([*several.schema.fields, StructField("_set", BinaryType())])).dropDuplicates(["_id", "_set"])
+    return single.unionByName(one.drop("_set")).select(*[F.col(f"`{c}`") for c in docs.columns])

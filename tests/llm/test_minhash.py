@@ -99,3 +99,14 @@ def test_keep_first_keeps_columns(spark, docs):
     d = docs(["a b c d e f", "a b c d e f", None, "other words here"], extra=True)
     kept = minhash.keep_first(d, Workspace(spark, "mh"))
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_keep_first_without_ids_and_with_repeated_rows(spark, docs):
+    same = "a b c d e f"
+    d = docs([(None, "a text of its own"), (None, "one more text"), (None, "one more text"), (None, same), (None, ""), (None, None), (3, same), (3, same), (4, same), (5, "other words here"), (5, "other words here"), (5, "quite another text")], extra=True)
+    kept = minhash.keep_first(d, Workspace(spark, "mh"))
+    assert kept.columns == d.columns
+    want = [(None, "a text of its own"), (None, "one more text"), (None, ""), (None, None), (3, same), (5, "other words here"), (5, "quite another text")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    alone = minhash.keep_first(docs([(None, "a text of its own"), (1, same)]), Workspace(spark, "mh"))
+    assert alone.count() == 2
