@@ -138,8 +138,11 @@ def finish(offset: int, length: int, headers: dict[str, str], block: bytes) -> R
     return Record(offset, length, kind, name("warc-record-id") or "", name("warc-refers-to"), headers.get("warc-target-uri"), payload, size, digest)
 
 
-def take(data: bytes, at: int) -> Record:
-    """The valid record, in a gzip member or plain, at `at`; Bad if there is none."""
+def take(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """The valid record, in a gzip member or plain, at `at`, and the end of its bytes; Bad if there is none.
+
+    A member of more than one record gives all that are valid, and its gaps, each at the whole member's place.
+    """
     if data.startswith(MAGIC, at):
         z, parts, fed, view = zlib.decompressobj(31), [], at, memoryview(data)
         try:
@@ -151,12 +154,20 @@ def take(data: bytes, at: int) -> Record:
         if not z.eof:
             raise Bad("the member has no end")
         plain = b"".join(parts)
-        headers, block, end = parse_record(plain)
-        if end != len(plain):
-            raise Bad("a member of more than one record")
-        return finish(at, fed - at - len(z.unused_data), headers, block)
+        stop = fed - len(z.unused_data)
+        try:
+            headers, block, end = parse_record(plain)
+            if end == len(plain):
+                return [finish(at, stop - at, headers, block)], stop
+            reason = "a member of more than one record"
+        except Bad as e:
+            reason = str(e)
+        found = [x._replace(offset=at, length=stop - at) for x in salvage(plain)]
+        if not any(isinstance(x, Record) for x in found):
+            raise Bad(reason)
+        return found, stop
     headers, block, end = parse_record(data, at)
-    return finish(at, end - at, headers, block)
+    return [finish(at, end - at, headers, block)], end
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -167,7 +178,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             at = pad.end()
             continue
         try:
-            found = take(data, at)
+            found, end = take(data, at)
         except Bad as e:
             if lost is None:
                 lost, reason = at, str(e)
@@ -177,8 +188,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         if lost is not None:
             yield Gap(lost, at - lost, reason)
             lost = None
-        yield found
-        at += found.length
+        yield from found
+        at = end
     if lost is not None:
         yield Gap(lost, len(data) - lost, reason)
 

@@ -77,3 +77,12 @@ def test_read_reports_gaps(spark, tmp_path):
     got = warc.read(spark, f"file://{tmp_path}").collect()
     assert sorted(r.page_id for r in got if r.kind == "response") == [0, 1, 3]
     assert len([r for r in got if r.kind == "gap" and r.reason]) == 2
+
+
+def test_records_of_one_member():
+    parts = [warc.build(i, f"http://x/{i}", b"page %d" % i, 6, hashlib.sha256(b"page %d" % i).hexdigest(), None) for i in range(4)]
+    parts[1] = parts[1].replace(b"page 1", b"page x")
+    whole = warc.member(b"".join(parts))
+    got = list(warc.salvage(whole + warc.member(parts[0])))
+    assert [x.payload if isinstance(x, warc.Record) else "gap" for x in got] == [b"page 0", "gap", b"page 2", b"page 3", b"page 0"]
+    assert {(x.offset, x.length) for x in got[:4]} == {(0, len(whole))} and got[4].offset == len(whole)
