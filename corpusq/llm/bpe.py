@@ -15,7 +15,12 @@ pattern gives the same pieces on both sides of the cut:
 
 Added tokens count as vocabulary, so their strings are never cut. A text without certain pairs
 is one fragment. Work is row-local, without a shuffle; the table of encoded fragments that a worker
-keeps is bounded and only saves time.
+keeps is bounded and only saves time: once it is full, what wasn't asked for since the last time goes.
+
+A short fragment of letters (with a space before them) or digits is one piece of the split pattern,
+so its bytes are merged directly by rank, without the library's normalising and splitting. That is
+sound if a token's id rises with its merge and every token encodes to itself, which is checked when a
+vocabulary is loaded; otherwise, and for all other fragments, the library encodes.
 
 Defined results: a null or empty text has no ids, and both digests are those of no bytes; repeated
 rows are encoded each by itself; an empty table gives an empty result; other columns are ignored by
@@ -26,6 +31,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +42,10 @@ from pyspark.sql import DataFrame
 
 from corpusq.llm.batches import text_bytes
 
-KEEP_ENTRIES = 300_000
+KEEP_ENTRIES = 200_000
 KEEP_BYTES = 64
+#: Letters are ASCII or U+00C0 to U+017F without the signs among them.
+ONE_PIECE = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+| ?[0-9]+")
 SEPARATOR = b"\xff"  # in no UTF-8 text
 #: Last bytes of the white-space characters beyond ASCII.
 WIDE_SPACE = [0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
@@ -49,10 +58,30 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Ids of fragments, encoded when first asked for. Two generations of at most KEEP_ENTRIES: when the young one is full, it becomes the old one."""
+
+    def __init__(self, encode) -> None:
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, x: bytes) -> bytes:
+        ids = self.old.get(x)
+        if ids is None:
+            ids = self.encode(x)
+            if len(x) > KEEP_BYTES:
+                return ids
+        if len(self) >= KEEP_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[x] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one byte-level BPE file."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,7 +94,23 @@ class Codec:
         tokens |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.bytes_of = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.cuts = self.certain(tokens.values())
-        self.known: dict[bytes, bytes] = {}
+        self.merge = self.by_rank(spec, of)
+        self.known = Known(self.fragment)
+
+    def by_rank(self, spec: dict, of: dict[str, int]):
+        """A function from the bytes of one piece to its ids, or None if the vocabulary needs the library."""
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        vocab, added = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if t not in added}
+        whole = [t for t in ranks if ONE_PIECE.fullmatch(t)]
+        rising = made == sorted(set(made)) and max((i for t, i in ranks.items() if len(t) == 1), default=0) < min(made, default=1)
+        if not rising or [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in whole], add_special_tokens=False)] != [[ranks[t]] for t in whole]:
+            return None
+        return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     @staticmethod
     def certain(tokens) -> np.ndarray:
@@ -94,24 +139,15 @@ class Codec:
         out[at] = b
         return out.tobytes().split(SEPARATOR)
 
+    def fragment(self, x: bytes) -> bytes:
+        """The ids of one fragment."""
+        if self.merge is not None and len(x) <= KEEP_BYTES and ONE_PIECE.fullmatch(x):
+            return np.array(self.merge(x), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        parts, known = self.fragments(text), self.known
-        new = [x for x in set(parts) if x not in known]
-        if len(known) + len(new) > KEEP_ENTRIES:
-            known.clear()
-            new = list(set(parts))
-        long = []
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)):
-            known[x] = np.asarray(e.ids, "<u4").tobytes()
-            if len(x) > KEEP_BYTES:
-                long.append(x)
-        out = b"".join(map(known.__getitem__, parts))
-        for x in long:
-            del known[x]
-        return out
+        return b"".join(map(self.known.__getitem__, self.fragments(text))) if text else b""
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids as UTF-8; bytes that are no UTF-8 become U+FFFD."""

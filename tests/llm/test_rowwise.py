@@ -73,6 +73,23 @@ def test_bpe_table(docs, library):
     assert bpe.digests(docs([])).count() == 0
 
 
+def test_bpe_ways_agree(library, monkeypatch):
+    rng = random.Random(12)
+    c = bpe.Codec(bpe.default_path())
+    words = [rng.choice(["", " "]) + "".join(rng.choice("aeiouthnsrlABCßéñü") for _ in range(rng.randrange(1, 24))) for _ in range(4000)]
+    words += [" " + str(rng.randrange(10**9)) for _ in range(500)]
+    pieces = [w.encode() for w in words if bpe.ONE_PIECE.fullmatch(w.encode())]
+    assert c.merge is not None and len(pieces) == len(words)
+    assert [c.merge(x) for x in pieces] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    monkeypatch.setattr(bpe, "KEEP_ENTRIES", 50)
+    few, plain = bpe.Codec(bpe.default_path()), bpe.Codec(bpe.default_path())
+    plain.merge = None
+    for _ in range(30):
+        text = "".join(rng.choices([*words[:300], " don't", "\n\n", "<|endoftext|>", "你好"], k=200)).encode()
+        assert few.encode(text) == plain.encode(text) == c.encode(text)
+        assert len(few.known) <= 50 and len(few.known.old) <= 50
+
+
 def test_bpe_makes_cuts():
     parts = bpe.codec(bpe.default_path()).fragments(b"The quick brown fox, 12 times.")
     assert b"".join(parts) == b"The quick brown fox, 12 times." and len(parts) > 5
