@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.functions.text import is_blank, words
+from corpusq.functions.text import count_words, is_ascii, is_blank
+from corpusq.plans.once import free_name, once
 
 # Detection patterns per type; a type is present if any of its patterns is found.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -35,53 +36,110 @@ REPLACEMENTS = {
 }
 
 
-def _any(text: Column, flags: str, patterns: Sequence[str]) -> Column:
-    return text.rlike(flags + "(?:" + "|".join(patterns) + ")")
+def _flags(text: Column, build: Callable[[str, str], Column], flags: str = "") -> Column:
+    """build(flags, digit): for ASCII texts without the Unicode properties, which then decide nothing but cost most of the time."""
+    plain = f"(?{flags})" if flags else ""
+    return F.when(is_ascii(text), build(plain, "[0-9]")).otherwise(build(f"(?{flags}U)", r"(?U)\d"))
 
 
-def pii_types(text: Column) -> Column:
-    """The types present, in alphabetical order; none for a blank text."""
-    found = F.filter(
+def _any(text: Column, first: str, patterns: Sequence[str], flags: str = "") -> Column:
+    """Whether a pattern is found; all hold a digit, and `first` names the characters that a match can begin with."""
+    found = "(?=[" + first + "])(?:" + "|".join(patterns) + ")"
+    return _flags(text, lambda f, digit: text.rlike(digit) & text.rlike(f + found), flags)
+
+
+def _types(text: Column) -> Column:
+    return F.filter(
         F.array(
-            F.when(_any(text, "(?iU)", ADDRESS), "address"),
-            F.when(_any(text, "(?U)", [EMAIL]), "email"),
-            F.when(_any(text, "(?U)", PHONE), "phone"),
+            F.when(_any(text, r"\dP", ADDRESS, "i"), "address"),
+            F.when(F.contains(text, F.lit("@")) & _flags(text, lambda f, _: text.rlike(f + EMAIL)), "email"),
+            F.when(_any(text, r"\d(+", PHONE), "phone"),
         ),
         lambda x: x.isNotNull(),
     )
-    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(found)
+
+
+def pii_types(text: Column) -> Column:
+    """The types present, in alphabetical order; none for a blank text."""
+    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(_types(text))
 
 
 def has_pii(text: Column) -> Column:
     return F.size(pii_types(text)) > 0
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: What a match of each redaction pattern can begin with; all but an e-mail address hold a digit.
+FIRST = {"phone": r"\d(+", "address": r"\d", "credit_card": r"\d"}
+
+
+def _matches(text: Column, kind: str) -> Column:
+    """How often a redaction pattern is found."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    if kind not in FIRST:
+        return F.when(F.contains(text, F.lit("@")), _flags(text, lambda f, _: count(f + REDACT[kind]), "i")).otherwise(0)
+    return _flags(text, lambda f, digit: F.when(text.rlike(digit), count(f + f"(?=[{FIRST[kind]}])" + REDACT[kind])).otherwise(0), "i")
+
+
 def redact(text: Column, types: Column | Sequence[str] | None = None, style: str = "bracket") -> Column:
     """struct<redacted_text, original_length, redacted_length, redactions_made, total_redactions, redaction_rate>.
 
     types: an array column or a list; None means all, an empty list nothing, unknown names are
-    ignored. Types are applied one after the other, each to what its predecessors left.
+    ignored. Types are applied one after the other, each once, to what its predecessors left; a text
+    without a match is searched but not rewritten.
     """
     if types is not None and not isinstance(types, Column):
         types = F.array(*[F.lit(t) for t in types]).cast("array<string>")
-    now, counts = text, []
-    for kind, pattern in REDACT.items():
-        flagged = "(?iU)" + pattern
+
+    def apply(kinds: list[str], now: Column, counts: list[Column]) -> Column:
+        if not kinds:
+            return F.struct(now.alias("text"), F.array(*counts).alias("counts"))
+        kind, rest = kinds[0], kinds[1:]
         wanted = F.lit(True) if types is None else F.coalesce(F.array_contains(types, kind), types.isNull())
-        counts.append((kind, F.when(wanted, F.regexp_count(now, F.lit(flagged))).otherwise(0).cast("int")))
         put = REPLACEMENTS[style][kind].replace("\\", "\\\\").replace("$", "\\$")
-        now = F.when(wanted, F.regexp_replace(now, flagged, put)).otherwise(now)
-    total = sum((c for _, c in counts), F.lit(0))
-    n = F.size(words(text))
-    return F.struct(
-        now.alias("redacted_text"),
-        F.length(text).alias("original_length"),
-        F.length(now).alias("redacted_length"),
-        F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in counts]), lambda e: e["value"] > 0)).alias("redactions_made"),
-        total.cast("int").alias("total_redactions"),
-        F.when(n > 0, total / n).otherwise(0.0).alias("redaction_rate"),
-    )
+
+        def replaced(s: Column) -> Column:
+            return F.when(s["n"] > 0, F.regexp_replace(s["text"], "(?iU)" + REDACT[kind], put)).otherwise(s["text"])
+
+        found = F.struct(now.alias("text"), F.when(wanted, _matches(now, kind)).otherwise(0).cast("int").alias("n"))
+        return _let(found, lambda s: _let(replaced(s), lambda t: apply(rest, t, [*counts, s["n"]])))
+
+    def described(r: Column) -> Column:
+        made = F.filter(F.arrays_zip(F.array(*[F.lit(k) for k in REDACT]).alias("key"), r["counts"].alias("value")), lambda e: e["value"] > 0)
+        total = F.when(text.isNotNull(), F.aggregate(r["counts"], F.lit(0), lambda a, n: a + n))
+        n = count_words(text)
+        return F.struct(
+            r["text"].alias("redacted_text"),
+            F.length(text).alias("original_length"),
+            F.length(r["text"]).alias("redacted_length"),
+            F.map_from_entries(made).alias("redactions_made"),
+            total.alias("total_redactions"),
+            F.when(n > 0, total / n).otherwise(0.0).alias("redaction_rate"),
+        )
+
+    return _let(apply(list(REDACT), text, []), described)
 
 
 def quick_redact(text: Column, types: Sequence[str] | None = None) -> Column:
     return redact(text, types)["redacted_text"]
+
+
+def redact_table(df: DataFrame, text: str = "text", types: str = "pii_types_list", key: str = "review_id") -> DataFrame:
+    """key, original_text, redacted_text, redactions_made (their number), redaction_rate of every row.
+
+    With a column `types` (array of type names) a row is redacted for its own types only, an empty array
+    for none; a null array, or a table without the column, means all. A null text is redacted to null, with rate 0.
+    """
+    made, name = redact(F.col(f"`{text}`"), F.col(f"`{types}`") if types in df.columns else None), free_name(df, "redacted")
+    r = F.col(name)
+    return once(df, **{name: made}).select(
+        F.col(f"`{key}`"),
+        F.col(f"`{text}`").alias("original_text"),
+        r["redacted_text"].alias("redacted_text"),
+        F.coalesce(r["total_redactions"], F.lit(0)).alias("redactions_made"),
+        r["redaction_rate"].alias("redaction_rate"),
+    )

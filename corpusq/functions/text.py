@@ -12,17 +12,36 @@ TOKEN = r"(?U)\w+|[^\w\s]"
 SPACES = r"(?U)\s+"
 
 
+#: The same for texts of ASCII characters alone, where the engine needs no Unicode properties.
+ASCII_TOKEN = r"\w+|[^\w\s]"
+#: The characters with the property White_Space.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def _count_runs(c: Column, run: str) -> Column:
+    """Runs of `run` and other characters that aren't white space: each run becomes one letter, then letters and marks are counted."""
+    return F.length(F.translate(F.regexp_replace(c, run, "a"), BLANKS, ""))
+
+
 def count_tokens(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(TOKEN)).cast("int")
+    return F.when(is_ascii(c), _count_runs(c, r"\w+")).otherwise(_count_runs(c, r"(?U)[a-zA-Z0-9_\w]+"))
+
+
+def count_words(c: Column) -> Column:
+    return _count_runs(c, r"(?U)\S+")
 
 
 def words(c: Column) -> Column:
@@ -35,7 +54,7 @@ def split_sentences(c: Column) -> Column:
 
 def ascii_share(c: Column) -> Column:
     """Share of characters below U+0080; null for an empty text."""
-    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\x00-\x7F]", "")) / F.length(c))
+    return F.when(F.length(c) == 0, None).when(is_ascii(c), 1.0).otherwise(F.length(F.regexp_replace(c, r"[^\x00-\x7F]+", "")) / F.length(c))
 
 
 def is_mostly_ascii(c: Column, share: float = 0.9) -> Column:

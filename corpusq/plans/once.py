@@ -11,6 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or that with underscores before it, such that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with the columns added or replaced."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
@@ -24,3 +32,12 @@ def spread(df: DataFrame) -> DataFrame:
     hot key on the other side, as it does between two plain exchanges. The aggregate is the small side.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """df, dealt out if it has fewer partitions than the cluster has cores; for work on texts that dwarfs moving them.
+
+    A table of many files is never moved. Only for plans without a shuffle, whose partitions are known.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
