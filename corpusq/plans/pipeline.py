@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.functions.chunk import chunk_stats, chunk_text
+from corpusq.functions import text as text_functions
+from corpusq.functions.chunk import Counter, chunk_stats
 from corpusq.functions.pii import pii_types
-from corpusq.functions.score import CLI, STAGED, Variant, with_scores
+from corpusq.functions.score import STAGED, Variant, with_scores
 from corpusq.functions.text import json_list
 from corpusq.operators import duplicates
 from corpusq.operators.clean import clean
@@ -16,40 +20,56 @@ from corpusq.plans.workspace import Workspace
 from corpusq.schema import SCORED_COLUMNS
 
 
-def with_chunks(df: DataFrame) -> DataFrame:
-    return df.withColumn("chunks", chunk_text(F.col("text")))
+@dataclass(frozen=True)
+class Tokens:
+    """A token counter as a column function and, for the chunk kernel, as a Python function (None: the pattern's own)."""
+
+    column: Callable[[Column], Column] = text_functions.count_tokens
+    counter: Counter | None = None
+
+    @staticmethod
+    def of(counter: Counter) -> Tokens:
+        """From a Python function alone; the column form counts batch by batch."""
+
+        @F.pandas_udf("int")
+        def column(texts):
+            return texts.map(lambda t: None if t is None else counter(t))
+
+        return Tokens(column, counter)
 
 
-def features(silver: DataFrame, v: Variant, ws: Workspace | None = None) -> DataFrame:
+PATTERN = Tokens()
+
+
+def features(silver: DataFrame, v: Variant, ws: Workspace | None = None, tokens: Tokens = PATTERN) -> DataFrame:
     """silver with chunk statistics, duplicates and personal data; all but duplicates row by row."""
-    df = silver.withColumn("_q", chunk_stats(F.col("text")))
+    df = silver.withColumn("_q", chunk_stats(F.col("text"), counter=tokens.counter))
     df = df.select("*", "_q.chunk_count", "_q.avg_chunk_tokens", "_q.min_chunk_tokens", "_q.max_chunk_tokens", F.col("_q.quality_flag").alias("chunk_quality_flag")).drop("_q")
     df = once(df, _types=pii_types(F.col("text")))
     df = df.withColumns({"has_pii": F.size("_types") > 0, "pii_types": json_list(F.col("_types"))}).drop("_types")
-    if v.duplicates == "lsh":
-        return duplicates.lsh(df, ws or Workspace(df.sparkSession, "lsh"))
+    if v.duplicates in ("lsh", "jaccard"):
+        ws = ws or Workspace(df.sparkSession, "lsh")
+        df = ws.save("features", df)  # read twice: for the keys, and with the clusters
+        return duplicates.lsh(df, ws) if v.duplicates == "lsh" else duplicates.verified(df, ws)
     if v.duplicates == "members":
         return duplicates.members(df)
     if v.duplicates == "keep_first":
         return duplicates.keep_first(df)
-    return df.withColumns({"is_duplicate": F.lit(False), "duplicate_cluster_id": F.lit(-1).cast("long")})
+    if v.duplicates == "none":
+        return df.withColumns({"is_duplicate": F.lit(False), "duplicate_cluster_id": F.lit(-1).cast("long")})
+    raise ValueError(f"unknown kind of duplicates: {v.duplicates}")
 
 
-def scored(raw: DataFrame, v: Variant = STAGED, ws: Workspace | None = None) -> DataFrame:
+def scored(raw: DataFrame, v: Variant = STAGED, ws: Workspace | None = None, tokens: Tokens = PATTERN) -> DataFrame:
     """The 25 columns of the scored layer; the CLI variant keeps all columns and rows of its least score."""
-    df = with_scores(features(clean(raw, v), v, ws), v)
+    df = with_scores(features(clean(raw, v, tokens.column), v, ws, tokens), v)
     if v.min_score is not None:
         return df.where(F.col("index_readiness_score") >= v.min_score)
     return df.select(*SCORED_COLUMNS)
 
 
-def score_rows(rows: DataFrame, v: Variant) -> DataFrame:
-    """One response per valid request, without duplicates or timing: the service's row scorer."""
+def score_rows(rows: DataFrame, v: Variant, keep: Sequence[str] = ()) -> DataFrame:
+    """One response per valid request, without duplicates or timing: the service's row scorer. keep: columns that pass through."""
     df = with_scores(features(clean(rows, v), v), v)
-    return df.select("review_id", "chunk_quality_flag", "chunk_score", "chunk_count", "avg_chunk_tokens", "has_pii", "pii_types", "pii_score", "duplicate_score", "index_readiness_score", "recommendation", F.struct("stars", F.length("text").alias("text_length"), "chunk_count").alias("metadata"))
-
-
-def run_batch(raw: DataFrame, out: str, min_score: float = 70) -> None:
-    """The command line's job: score and keep what reaches min_score."""
-    v = Variant(**{**CLI.__dict__, "min_score": min_score})
-    scored(raw, v).write.mode("overwrite").parquet(out)
+    metadata = F.struct("stars", F.length("text").alias("text_length"), "chunk_count").alias("metadata")
+    return df.select(*keep, "review_id", "chunk_quality_flag", "chunk_score", "chunk_count", "avg_chunk_tokens", "has_pii", "pii_types", "pii_score", "duplicate_score", "index_readiness_score", "recommendation", metadata)
