@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.functions.score import STAGED, Variant
 from corpusq.functions.text import count_tokens, is_blank, is_mostly_ascii, strip
-from corpusq.plans.once import once
+from corpusq.plans.once import once, spread
+
+BATCH_ROWS = 100
 
 
 def _steps(v: Variant) -> list[tuple[str, Column]]:
@@ -20,12 +24,12 @@ def _steps(v: Variant) -> list[tuple[str, Column]]:
     return steps
 
 
-def clean(raw: DataFrame, v: Variant = STAGED) -> DataFrame:
-    """The rows that pass all steps, with token_count."""
+def clean(raw: DataFrame, v: Variant = STAGED, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
+    """The rows that pass all steps, with token_count by any counter."""
     df = raw.where("text is not null")
     stripped = strip(F.col("text"))
     df = once(df, text=stripped).where("text <> ''") if v.strip else df.where(stripped != "")
-    df = once(df, token_count=count_tokens(F.col("text")))
+    df = once(df, token_count=counter(F.col("text")))
     if v.min_tokens:
         df = df.where(F.col("token_count") >= v.min_tokens)
     if v.ascii_share is not None:
@@ -49,7 +53,7 @@ def funnel(raw: DataFrame, v: Variant = STAGED) -> DataFrame:
 
 
 def validate_requests(rows: DataFrame) -> DataFrame:
-    """rows (text, stars) with error, null if the request is valid; whether they fit a batch is for the caller."""
+    """rows (text, stars) with error, null if the request is valid; see `validate_batches` for batches."""
     n = F.length("text")
     error = (
         F.when(F.col("text").isNull(), "text is missing")
@@ -59,3 +63,15 @@ def validate_requests(rows: DataFrame) -> DataFrame:
         .when((F.col("stars") < 1) | (F.col("stars") > 5), "stars are not within 1 and 5")
     )
     return rows.withColumn("error", error)
+
+
+def validate_batches(rows: DataFrame, batch: str, most: int = BATCH_ROWS) -> DataFrame:
+    """As `validate_requests` for requests that come in batches; an invalid row or more than `most` rows fail the whole batch.
+
+    error is a row's own, or what its batch fails for. Sizes and errors are combined per batch before their shuffle.
+    """
+    own = validate_requests(rows)
+    of = own.groupBy(F.col(batch).alias("_batch")).agg(F.count(F.lit(1)).alias("_n"), F.count("error").alias("_bad"))
+    out = own.join(spread(of), own[batch].eqNullSafe(F.col("_batch")), "left")
+    error = F.when(F.col("_n") > most, f"the batch has more than {most} rows").when(F.col("error").isNotNull(), F.col("error")).when(F.col("_bad") > 0, "another row of the batch is invalid")
+    return out.withColumn("error", error).drop("_batch", "_n", "_bad")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.functions.score import LABELS, tier_rank
+from corpusq.functions.score import tier_label, tier_rank
 from corpusq.functions.text import from_json_list, matches, preview
 
 R1 = "floor(({}) * 10 + 0.5) / 10"
@@ -128,6 +128,11 @@ def pii_type_counts(gold: DataFrame) -> DataFrame:
     return gold.select(F.explode(from_json_list(F.col("pii_types"))).alias("pii_type")).groupBy("pii_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pii_type")
 
 
+def labels(gold: DataFrame) -> DataFrame:
+    """review_id with the display labels of its tier and of has_pii."""
+    return gold.select("review_id", tier_label(F.col("recommendation")).alias("tier_label"), F.when(F.col("has_pii"), "Contains PII").otherwise("No PII").alias("pii_label"))
+
+
 def filtered(gold: DataFrame, first_day: str | None = None, last_day: str | None = None, stars: Sequence[float] = (), tier: str | None = None) -> DataFrame:
     """Rows within the days (both included), of the stars and of the tier; what isn't given doesn't filter."""
     day = F.to_date(F.col("date").cast("timestamp"))
@@ -150,12 +155,10 @@ def search_view(hits: DataFrame, n: int = 50) -> DataFrame:
 
 
 def top_per_tier(gold: DataFrame, n: int = 2) -> DataFrame:
-    """The first n rows of each tier by review_id. Each tier is a top-k, so no tier is sorted whole."""
-    out = None
-    for tier in LABELS:
-        part = gold.where(F.col("recommendation") == tier).orderBy("review_id").limit(n).select("recommendation", "review_id", "index_readiness_score")
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy(tier_rank(F.col("recommendation")), "review_id")
+    """The first n rows of each tier by review_id, from one scan; the limit applies per task before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("recommendation").orderBy("review_id"))
+    rows = gold.select("recommendation", "review_id", "index_readiness_score").withColumn("place", place).where(F.col("place") <= n).drop("place")
+    return rows.orderBy(tier_rank(F.col("recommendation")), "review_id")
 
 
 def distinct_clusters(gold: DataFrame) -> DataFrame:
@@ -180,6 +183,3 @@ def service_cost(gold: DataFrame, millions: float = 10, per_thousand: float = 0.
     total = millions * 1e6
     return gold.agg(ready.alias("ready")).select((F.lit(total) * (1 - F.col("ready"))).alias("reviews_filtered"), (F.lit(total * per_thousand / 1000) * (1 - F.col("ready"))).alias("monthly_savings"), (F.lit(total * per_thousand / 1000 * 12) * (1 - F.col("ready"))).alias("annual_savings"))
 
-
-def missing_columns(df: DataFrame, required: Mapping[str, str] | Sequence[str]) -> list[str]:
-    return [c for c in required if c not in df.columns]

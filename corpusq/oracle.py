@@ -104,6 +104,22 @@ chunk_stats AS MATERIALIZED (
 )"""
 
 
+#: Rows whose text is equal to another's or shares 0.8 of its trigrams, with the least review_id of their component.
+VERIFIED = """
+texts_of AS MATERIALIZED (SELECT text, min(review_id) AS id, count(*) AS copies, lower(text) AS t FROM silver GROUP BY text),
+grams AS MATERIALIZED (SELECT DISTINCT id, substring(t, CAST(i AS INTEGER), 3) AS g FROM texts_of, unnest(range(1, length(t) - 1)) AS u(i) WHERE length(t) >= 3),
+gram_counts AS MATERIALIZED (SELECT id, count(*) AS n FROM grams GROUP BY id),
+both_have AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS i FROM grams x JOIN grams y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+near AS MATERIALIZED (SELECT a, b FROM both_have JOIN gram_counts na ON na.id = a JOIN gram_counts nb ON nb.id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+near_both AS MATERIALIZED (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT a AS id, a AS root FROM near_both UNION SELECT e.b, r.root FROM reach r JOIN near_both e ON e.a = r.id),
+clusters AS MATERIALIZED (SELECT id, min(root) AS cluster FROM reach GROUP BY id),
+verified AS MATERIALIZED (
+  SELECT s.review_id, coalesce(c.cluster, CASE WHEN t.copies > 1 THEN t.id END) AS cluster
+  FROM silver s JOIN texts_of t ON t.text = s.text LEFT JOIN clusters c ON c.id = t.id
+)"""
+
+
 def pii(text="text"):
     return f"""list_filter([CASE WHEN regexp_matches({text}, '(?i)(?:{ADDRESS})') THEN 'address' END,
          CASE WHEN regexp_matches({text}, '{EMAIL}') THEN 'email' END, CASE WHEN regexp_matches({text}, '{PHONE}') THEN 'phone' END], lambda x: x IS NOT NULL)"""
@@ -115,10 +131,12 @@ def gold(too_short=30, unknown=0, duplicates="members", **clean):
         "members": "count(*) OVER (PARTITION BY s.text) > 1",
         "keep_first": "min(s.review_id) OVER (PARTITION BY s.text) <> s.review_id",
         "none": "false",
+        "jaccard": "v.cluster IS NOT NULL",
     }[duplicates]
-    return f"""WITH RECURSIVE {silver(**clean)}, {CHUNKS.strip()}, marked AS (
-  SELECT s.*, c.chunk_count, c.avg_chunk_tokens, c.min_chunk_tokens, c.max_chunk_tokens, c.chunk_quality_flag, {dup} AS is_duplicate, {pii('s.text')} AS types
-  FROM silver s JOIN chunk_stats c ON c.review_id = s.review_id
+    near, cluster, join = (", " + VERIFIED.strip(), ", v.cluster", "LEFT JOIN verified v ON v.review_id = s.review_id") if duplicates == "jaccard" else ("", "", "")
+    return f"""WITH RECURSIVE {silver(**clean)}, {CHUNKS.strip()}{near}, marked AS (
+  SELECT s.*{cluster}, c.chunk_count, c.avg_chunk_tokens, c.min_chunk_tokens, c.max_chunk_tokens, c.chunk_quality_flag, {dup} AS is_duplicate, {pii('s.text')} AS types
+  FROM silver s JOIN chunk_stats c ON c.review_id = s.review_id {join}
 ), parts AS (
   SELECT *, len(types) > 0 AS has_pii, '[' || array_to_string(list_transform(types, lambda x: '"' || x || '"'), ', ') || ']' AS pii_types,
          CASE chunk_quality_flag WHEN 'optimal' THEN 100 WHEN 'too_short' THEN {too_short} WHEN 'too_long' THEN 0 WHEN 'empty' THEN 0 ELSE {unknown} END AS chunk_score,

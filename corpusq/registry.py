@@ -13,7 +13,9 @@ from corpusq.functions import pii, text
 from corpusq.functions.chunk import chunk_table
 from corpusq.functions.score import API, CLI, STAGED
 from corpusq.operators import anomaly, clean, duplicates, reports, simulate
+from corpusq.functions import sql as sql_functions
 from corpusq.plans import pipeline
+from corpusq.plans.once import once, widen
 from corpusq.plans.workspace import Workspace
 from corpusq.sources import readers, writers
 from corpusq.streaming import scorer
@@ -44,11 +46,27 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.scored(raw(spark, sf_dir), GOLD)
+    """The scored layer, from raw rows."""
+    return pipeline.scored(raw_wide(spark, sf_dir), GOLD)
+
+
+_LAYERS: dict[tuple, DataFrame] = {}
+
+
+def layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored layer as a table that is written once per application and input, as the reports read it column by column."""
+    key = spark.sparkContext.applicationId, readers.fingerprint(spark, f"{sf_dir}/documents.parquet")
+    if key not in _LAYERS:
+        _LAYERS[key] = Workspace(spark, "layer").save("gold", gold(spark, sf_dir))
+    return _LAYERS[key]
+
+
+def raw_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.documents_as_raw(widen(table(spark, sf_dir, "documents")))
 
 
 def _report(name: str):
-    QUERIES[name] = lambda spark, sf_dir: reports.run_sql(gold(spark, sf_dir), name)
+    QUERIES[name] = lambda spark, sf_dir: reports.run_sql(layer(spark, sf_dir), name)
     ORACLE_SQL[name] = oracle.GOLD + reports.SQL[name].format(gold="gold")
 
 
@@ -88,7 +106,7 @@ def a16_text_lengths(spark, sf_dir):
 
 @query(SILVER + "SELECT * FROM silver")
 def f01_silver(spark, sf_dir):
-    return clean.clean(raw(spark, sf_dir))
+    return clean.clean(raw_wide(spark, sf_dir))
 
 
 _S, _N = oracle.strip("text"), oracle.tokens(oracle.strip("text"))
@@ -101,7 +119,7 @@ s AS (SELECT 0 AS step_no, 'input' AS step, n0 AS n, n0 AS before, n0 AS total F
  UNION ALL SELECT 3, 'long_enough', n3, n2, n0 FROM n UNION ALL SELECT 4, 'mostly_ascii', n4, n3, n0 FROM n)
 SELECT step_no, step, n, before - n AS removed, round((before - n) * 100.0 / before, 4)::DOUBLE AS pct_removed, round(n * 100.0 / total, 4)::DOUBLE AS pct_retained FROM s""")
 def a35_funnel(spark, sf_dir):
-    return clean.funnel(raw(spark, sf_dir))
+    return clean.funnel(raw_wide(spark, sf_dir))
 
 
 def _described(c: str, rel: str) -> str:
@@ -113,7 +131,7 @@ _NUMBERS = ["token_count", "chunk_count", "avg_chunk_tokens", "index_readiness_s
 
 @query(oracle.GOLD + " UNION ALL ".join(_described(c, "gold") for c in _NUMBERS))
 def a10_describe(spark, sf_dir):
-    return reports.describe(gold(spark, sf_dir), _NUMBERS)
+    return reports.describe(layer(spark, sf_dir), _NUMBERS)
 
 
 @query(oracle.GOLD + "SELECT review_id, user_id, business_id, stars, useful, funny, cool, date, text, token_count, chunk_count, avg_chunk_tokens, min_chunk_tokens, max_chunk_tokens, chunk_quality_flag, is_duplicate, has_pii, pii_types, chunk_score, duplicate_score, pii_score, index_readiness_score, index_ready, recommendation FROM gold")
@@ -126,7 +144,7 @@ _CLI = oracle.gold(50, 50, "keep_first", do_strip=False, ascii=False)
 
 @query(_CLI + "SELECT review_id, text, token_count, chunk_count, chunk_quality_flag, is_duplicate, has_pii, pii_types, index_readiness_score, recommendation FROM gold WHERE index_readiness_score >= 70")
 def t15_scored_cli(spark, sf_dir):
-    df = pipeline.scored(raw(spark, sf_dir), CLI)
+    df = pipeline.scored(raw_wide(spark, sf_dir), CLI)
     return df.select("review_id", "text", "token_count", "chunk_count", "chunk_quality_flag", "is_duplicate", "has_pii", "pii_types", "index_readiness_score", "recommendation")
 
 
@@ -135,7 +153,7 @@ _API = oracle.gold(50, 50, "none", ascii=False, min_tokens=0)
 
 @query(_API + "SELECT review_id, chunk_quality_flag, chunk_score, chunk_count, avg_chunk_tokens, has_pii, pii_types, pii_score, duplicate_score, index_readiness_score, recommendation FROM gold WHERE review_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE length(text) BETWEEN 10 AND 10000)")
 def t17_scored_api(spark, sf_dir):
-    rows = clean.validate_requests(raw(spark, sf_dir)).where("error is null")
+    rows = clean.validate_requests(raw_wide(spark, sf_dir)).where("error is null")
     return pipeline.score_rows(rows, API).drop("metadata")
 
 
@@ -156,7 +174,7 @@ _CONV = f"WITH RECURSIVE silver AS (SELECT CAST(doc_id AS VARCHAR) AS review_id,
 
 @query(_CONV + "SELECT review_id, chunk_id, text, tokens, sentences FROM chunks")
 def t04_chunks(spark, sf_dir):
-    return chunk_table(table(spark, sf_dir, "documents").withColumn("review_id", F.col("doc_id").cast("string")), "review_id")
+    return chunk_table(widen(table(spark, sf_dir, "documents")).withColumn("review_id", F.col("doc_id").cast("string")), "review_id")
 
 
 @query(f"SELECT conv_id, turn, t AS pii_types, len(t) > 0 AS has_pii FROM (SELECT conv_id, turn, {oracle.pii()} AS t FROM conversations)")
@@ -167,36 +185,60 @@ def t06_pii_conversations(spark, sf_dir):
 
 @query(f"SELECT doc_id, array_to_string({oracle.pii()}, ',') AS pii_types FROM documents")
 def t06_pii_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(pii.pii_types(F.col("text")), ",").alias("pii_types"))
+    return widen(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(pii.pii_types(F.col("text")), ",").alias("pii_types"))
 
 
 @query(oracle.GOLD + "SELECT t AS pii_type, count(*) AS n FROM (SELECT unnest(types) AS t FROM gold) GROUP BY t")
 def a13_pii_type_counts(spark, sf_dir):
-    return reports.pii_type_counts(gold(spark, sf_dir))
+    return reports.pii_type_counts(layer(spark, sf_dir))
 
 
-def _redact_sql(style: str) -> str:
-    now, counts = "text", []
+def _redact_sql(style: str, select: str, types: str | None = None) -> str:
+    """The redaction of documents step by step; select over doc_id, text, now, the counts n_TYPE, their sum and the words."""
+    now, counts, each = "text", [], []
     for kind, p in pii.REDACT.items():
-        counts.append(f"len(regexp_extract_all({now}, '{p}', 0, 'i'))")
-        now = f"regexp_replace({now}, '{p}', '{pii.REPLACEMENTS[style][kind]}', 'gi')"
-    total = " + ".join(counts)
-    return f"SELECT doc_id, {now} AS redacted_text, CAST({total} AS INTEGER) AS total_redactions, coalesce(CAST({total} AS DOUBLE) / nullif(len(list_filter(string_split_regex(text, '{oracle.WS}+'), lambda x: x <> '')), 0), 0) AS redaction_rate FROM documents"
+        wanted = f"({types} IS NULL OR list_contains({types}, '{kind}'))" if types else "true"
+        counts.append(f"CASE WHEN {wanted} THEN len(regexp_extract_all({now}, '{p}', 0, 'i')) ELSE 0 END")
+        each.append(f"CAST({counts[-1]} AS INTEGER) AS n_{kind}")
+        now = f"CASE WHEN {wanted} THEN regexp_replace({now}, '{p}', '{pii.REPLACEMENTS[style][kind]}', 'gi') ELSE {now} END"
+    words = f"len(list_filter(string_split_regex(text, '{oracle.WS}+'), lambda x: x <> ''))"
+    return f"WITH r AS (SELECT doc_id, text, {now} AS now, {', '.join(each)}, CAST({' + '.join(counts)} AS INTEGER) AS total, {words} AS words FROM documents) SELECT {select} FROM r"
+
+
+_RATE = "coalesce(CAST(total AS DOUBLE) / nullif(words, 0), 0) AS redaction_rate"
 
 
 def _redact(style: str):
     def f(spark, sf_dir):
-        d = table(spark, sf_dir, "documents").withColumn("r", pii.redact(F.col("text"), style=style))
+        d = once(widen(table(spark, sf_dir, "documents")), r=pii.redact(F.col("text"), style=style))
         return d.select("doc_id", "r.redacted_text", "r.total_redactions", "r.redaction_rate")
 
     f.__name__ = f"t08_redact_{style}"
-    return query(_redact_sql(style))(f)
+    return query(_redact_sql(style, f"doc_id, now AS redacted_text, total AS total_redactions, {_RATE}"))(f)
 
 
 _redact("bracket")
 _redact("generic")
 
 
+@query(_redact_sql("bracket", "doc_id, CAST(length(text) AS INTEGER) AS original_length, CAST(length(now) AS INTEGER) AS redacted_length, " + ", ".join(f"n_{k}" for k in pii.REDACT)))
+def t09_redaction_metadata(spark, sf_dir):
+    d = once(widen(table(spark, sf_dir, "documents")), r=pii.redact(F.col("text")))
+    made = [F.coalesce(F.try_element_at("r.redactions_made", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k in pii.REDACT]
+    return d.select("doc_id", "r.original_length", "r.redacted_length", *made)
+
+
+@query(_redact_sql("bracket", f"CAST(doc_id AS VARCHAR) AS review_id, text AS original_text, now AS redacted_text, total AS redactions_made, {_RATE}", oracle.pii()))
+def t10_redact_table(spark, sf_dir):
+    d = widen(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("review_id"), "text")
+    return pii.redact_table(once(d, pii_types_list=pii.pii_types(F.col("text"))))
+
+
+@query(_redact_sql("bracket", "doc_id, now AS redacted"))
+def t11_quick_redact(spark, sf_dir):
+    return widen(table(spark, sf_dir, "documents")).select("doc_id", pii.quick_redact(F.col("text")).alias("redacted"))
+
+
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) <> doc_id AS is_duplicate FROM documents")
 def a26_keep_first(spark, sf_dir):
     return duplicates.keep_first(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "is_duplicate")
@@ -204,18 +246,53 @@ def a26_keep_first(spark, sf_dir):
 
 @query("WITH g AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1), r AS (SELECT text, dense_rank() OVER (ORDER BY first) - 1 AS group_no FROM g) SELECT d.doc_id, r.group_no FROM documents d JOIN r ON d.text = r.text")
 def a27_group_numbers(spark, sf_dir):
-    return duplicates.group_numbers(table(spark, sf_dir, "documents"), "doc_id")
+    return duplicates.group_numbers(table(spark, sf_dir, "documents"), Workspace(spark, "numbers"), "doc_id")
 
 
 @query()
 def t28_lsh_duplicates(spark, sf_dir):
-    df = clean.clean(raw(spark, sf_dir))
-    return duplicates.lsh(df, Workspace(spark, "lsh")).select("review_id", "is_duplicate", "duplicate_cluster_id")
+    ws = Workspace(spark, "lsh")
+    df = ws.save("silver", clean.clean(raw_wide(spark, sf_dir)).select("review_id", "text"))
+    return duplicates.lsh(df, ws).select("review_id", "is_duplicate", "duplicate_cluster_id")
+
+
+@query()
+def t15_scored_staged_lsh(spark, sf_dir):
+    """The staged variant with its unverified candidates."""
+    return pipeline.scored(raw_wide(spark, sf_dir), STAGED).drop("duplicate_cluster_id")
+
+
+#: The staged variant with verified near-duplicates.
+VERIFIED = replace(STAGED, duplicates="jaccard")
+_VERIFIED = oracle.gold(duplicates="jaccard")
+
+
+@query(_VERIFIED + "SELECT review_id, is_duplicate, CASE WHEN is_duplicate THEN cluster END AS cluster FROM gold")
+def t28_verified_clusters(spark, sf_dir):
+    ws = Workspace(spark, "verified")
+    df = ws.save("silver", clean.clean(raw_wide(spark, sf_dir)).select("review_id", "text"))
+    found = duplicates.verified_clusters(df, ws)
+    return df.join(found.withColumnRenamed("id", "review_id"), "review_id", "left").select("review_id", F.col("cluster").isNotNull().alias("is_duplicate"), "cluster")
+
+
+@query(_VERIFIED + "SELECT CAST(count(DISTINCT cluster) FILTER (is_duplicate) AS BIGINT) AS clusters, count(*) FILTER (is_duplicate) AS duplicates, coalesce(count(*) FILTER (is_duplicate)::DOUBLE / nullif(count(DISTINCT cluster) FILTER (is_duplicate), 0), 0) AS mean_size FROM gold")
+def a17_verified_clusters(spark, sf_dir):
+    ws = Workspace(spark, "verified")
+    df = ws.save("silver", clean.clean(raw_wide(spark, sf_dir)).select("review_id", "text"))
+    return reports.distinct_clusters(duplicates.verified(df, ws))
+
+
+@query(_VERIFIED + "SELECT review_id, token_count, chunk_count, chunk_quality_flag, is_duplicate, has_pii, pii_types, index_readiness_score, recommendation FROM gold")
+def t15_scored_staged_verified(spark, sf_dir):
+    df = pipeline.scored(raw_wide(spark, sf_dir), VERIFIED)
+    return df.select("review_id", "token_count", "chunk_count", "chunk_quality_flag", "is_duplicate", "has_pii", "pii_types", "index_readiness_score", "recommendation")
 
 
 @query()
 def a17_lsh_clusters(spark, sf_dir):
-    return reports.distinct_clusters(duplicates.lsh(clean.clean(raw(spark, sf_dir)), Workspace(spark, "lsh")))
+    ws = Workspace(spark, "lsh")
+    df = ws.save("silver", clean.clean(raw_wide(spark, sf_dir)).select("review_id", "text"))
+    return reports.distinct_clusters(duplicates.lsh(df, ws))
 
 
 @query("""WITH d AS (SELECT min(doc_id) AS id, lower(text) AS t FROM documents WHERE text IS NOT NULL GROUP BY text), g AS (SELECT DISTINCT id, substring(t, CAST(i AS INTEGER), 3) AS g FROM d, unnest(range(1, length(t) - 1)) AS u(i) WHERE length(t) >= 3),
@@ -234,22 +311,22 @@ def t27_jaccard_documents(spark, sf_dir):
 
 @query(oracle.GOLD + "SELECT review_id, stars, date, index_readiness_score FROM gold WHERE regexp_matches(text, '(?i)moron|disgusting') OR regexp_matches(review_id, '(?i)moron|disgusting')")
 def f11_search(spark, sf_dir):
-    return reports.search(gold(spark, sf_dir), "moron|disgusting").select("review_id", "stars", "date", "index_readiness_score")
+    return reports.search(layer(spark, sf_dir), "moron|disgusting").select("review_id", "stars", "date", "index_readiness_score")
 
 
 @query(oracle.GOLD + "SELECT review_id, stars, index_readiness_score, recommendation, substring(text, 1, 100) || '...' AS text_preview FROM gold WHERE regexp_matches(text, '(?i)the') OR regexp_matches(review_id, '(?i)the') ORDER BY index_readiness_score DESC, review_id LIMIT 50")
 def o05_search_view(spark, sf_dir):
-    return reports.search_view(reports.search(gold(spark, sf_dir), "the"))
+    return reports.search_view(reports.search(layer(spark, sf_dir), "the"))
 
 
 @query(oracle.GOLD + "SELECT recommendation, review_id, index_readiness_score FROM gold QUALIFY row_number() OVER (PARTITION BY recommendation ORDER BY review_id) <= 2")
 def o05_top_per_tier(spark, sf_dir):
-    return reports.top_per_tier(gold(spark, sf_dir))
+    return reports.top_per_tier(layer(spark, sf_dir))
 
 
 @query(oracle.GOLD + "SELECT review_id AS id, text, index_readiness_score AS quality_score FROM gold WHERE index_ready")
 def s14_vector_records(spark, sf_dir):
-    return writers.vector_batches(gold(spark, sf_dir)).select("id", "text", F.col("metadata.quality_score").alias("quality_score"))
+    return writers.vector_batches(layer(spark, sf_dir)).select("id", "text", F.col("metadata.quality_score").alias("quality_score"))
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT v.vec_id, list_dot_product(v.embedding::DOUBLE[], q.e::DOUBLE[]) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(q.e::DOUBLE[], q.e::DOUBLE[])) AS similarity
@@ -274,7 +351,7 @@ def _series(source: str) -> tuple[Callable, str]:
         return (lambda s, d: anomaly.by_period(table(s, d, "orders"), "o_totalprice", F.date_trunc("month", F.col("o_orderdate")))), "p AS (SELECT date_trunc('month', o_orderdate) AS period, avg(o_totalprice) AS metric_mean, stddev_samp(o_totalprice) AS metric_std, count(o_totalprice) AS review_count FROM orders GROUP BY 1)"
     if source == "events":
         return (lambda s, d: anomaly.by_period(table(s, d, "events"), "value", F.date_trunc("day", F.col("ts")))), "p AS (SELECT date_trunc('day', ts) AS period, avg(value) AS metric_mean, stddev_samp(value) AS metric_std, count(value) AS review_count FROM events GROUP BY 1)"
-    return (lambda s, d: anomaly.by_period(gold(s, d), "index_readiness_score", F.date_trunc("month", F.col("date").cast("timestamp")))), oracle.GOLD.strip().removeprefix("WITH RECURSIVE ") + ", p AS (SELECT date_trunc('month', CAST(date AS TIMESTAMP)) AS period, avg(index_readiness_score) AS metric_mean, stddev_samp(index_readiness_score) AS metric_std, count(index_readiness_score) AS review_count FROM gold GROUP BY 1)"
+    return (lambda s, d: anomaly.by_period(layer(s, d), "index_readiness_score", F.date_trunc("month", F.col("date").cast("timestamp")))), oracle.GOLD.strip().removeprefix("WITH RECURSIVE ") + ", p AS (SELECT date_trunc('month', CAST(date AS TIMESTAMP)) AS period, avg(index_readiness_score) AS metric_mean, stddev_samp(index_readiness_score) AS metric_std, count(index_readiness_score) AS review_count FROM gold GROUP BY 1)"
 
 
 _LABEL = "CASE WHEN coalesce({lo}, false) THEN 'low' WHEN coalesce({hi}, false) THEN 'high' ELSE 'normal' END AS anomaly_type, coalesce({lo}, false) OR coalesce({hi}, false) AS is_anomaly"
@@ -317,7 +394,7 @@ _FIVE = "round_even(acc, 1) AS retrieval_accuracy, CAST(floor(rt) AS INTEGER) AS
 
 @query(oracle.GOLD + f"SELECT {_FIVE} FROM {_sim_sql('true')}")
 def t18_simulate(spark, sf_dir):
-    return simulate.simulate(gold(spark, sf_dir))
+    return simulate.simulate(layer(spark, sf_dir))
 
 
 @query(
@@ -327,7 +404,7 @@ def t18_simulate(spark, sf_dir):
     + ") SELECT *, improvement / without_filter * 100 AS pct_improvement FROM c"
 )
 def t19_compare(spark, sf_dir):
-    return simulate.compare(gold(spark, sf_dir))
+    return simulate.compare(layer(spark, sf_dir))
 
 
 @query("SELECT count(*) AS total_requests, CAST(sum(event_id % 5) AS BIGINT) AS total_reviews_scored, floor(avg(value) * 100 + 0.5) / 100 AS average_response_time_ms FROM events")
@@ -336,6 +413,103 @@ def r03_service_stats(spark, sf_dir):
     return scorer.service_stats(log)
 
 
-@query()
+@query(oracle.GOLD + "SELECT 'required columns' AS rule, true AS passed, '' AS found UNION ALL SELECT 'no null text', count(*) FILTER (text IS NULL) = 0, CAST(count(*) FILTER (text IS NULL) AS VARCHAR) FROM gold UNION ALL SELECT 'token_count at least 20', min(token_count) >= 20, CAST(min(token_count) AS VARCHAR) || '.0' FROM gold")
 def s18_checks(spark, sf_dir):
-    return writers.check_layer(gold(spark, sf_dir), ["review_id", "text", "index_readiness_score"], ["text"], {"token_count": 20})
+    return writers.check_layer(layer(spark, sf_dir), ["review_id", "text", "index_readiness_score"], ["text"], {"token_count": 20})
+
+
+@query(oracle.GOLD + "SELECT review_id, CASE recommendation WHEN 'index' THEN 'Index Ready' WHEN 'review' THEN 'Needs Review' WHEN 'reject' THEN 'Reject' END AS tier_label, CASE WHEN has_pii THEN 'Contains PII' ELSE 'No PII' END AS pii_label FROM gold")
+def p11_labels(spark, sf_dir):
+    return reports.labels(layer(spark, sf_dir))
+
+
+@query(oracle.GOLD + "SELECT review_id, date, stars FROM gold WHERE CAST(CAST(date AS TIMESTAMP) AS DATE) BETWEEN CAST('2020-02-01' AS DATE) AND CAST('2021-01-31' AS DATE) AND stars IN (1, 2, 5) AND recommendation = 'index'")
+def r05_filtered(spark, sf_dir):
+    return reports.filtered(layer(spark, sf_dir), "2020-02-01", "2021-01-31", [1.0, 2.0, 5.0], "index").select("review_id", "date", "stars")
+
+
+@query(oracle.GOLD + "SELECT review_id AS ids, text AS documents, index_readiness_score AS quality_score, chunk_count FROM gold WHERE index_ready")
+def s15_collection_records(spark, sf_dir):
+    return writers.collection_records(layer(spark, sf_dir)).select("ids", "documents", "metadatas.quality_score", "metadatas.chunk_count")
+
+
+@query(oracle.GOLD + "SELECT 'Review' AS class, text, review_id, stars, index_readiness_score AS quality_score, has_pii FROM gold WHERE index_ready")
+def s15_class_objects(spark, sf_dir):
+    return writers.class_objects(layer(spark, sf_dir)).select("class", "properties.*")
+
+
+@query(oracle.GOLD + "SELECT review_id, text, stars FROM gold WHERE regexp_matches(text, '(?i)moron|disgusting') OR regexp_matches(review_id, '(?i)moron|disgusting')")
+def s12_exported_hits(spark, sf_dir):
+    at = f"{Workspace(spark, 'hits').path}/hits"
+    writers.export_hits(reports.search(layer(spark, sf_dir), "moron|disgusting").select("review_id", "text", "stars"), at)
+    return writers.read_csv(spark, at, "review_id string, text string, stars double")
+
+
+def _json_lines(spark, sf_dir, label: str, broken: bool = False) -> str:
+    """The raw documents written as JSON lines, every tenth cut off if asked for."""
+    at = f"{Workspace(spark, label).path}/lines"
+    lines = raw(spark, sf_dir).select("review_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    cut = F.when(F.substring("review_id", -1, 1) == "3", F.substring("value", 1, 20)).otherwise(F.col("value")) if broken else F.col("value")
+    lines.select(cut.alias("value")).write.text(at)
+    return at
+
+
+@query(WITH + oracle.RAW + " SELECT * FROM raw")
+def s04_json_round_trip(spark, sf_dir):
+    return readers.read_json(spark, _json_lines(spark, sf_dir, "json"))
+
+
+@query(WITH + oracle.RAW + " SELECT * FROM raw WHERE review_id NOT LIKE '%3'")
+def s03_malformed_lines(spark, sf_dir):
+    return readers.read_jsonl(spark, _json_lines(spark, sf_dir, "broken", broken=True))
+
+
+@query("SELECT count(*) AS lines, count(*) FILTER (doc_id % 10 = 3) AS malformed, least(count(*) FILTER (doc_id % 10 <> 3), 50) AS first_rows FROM documents")
+def s01_line_counts(spark, sf_dir):
+    at = _json_lines(spark, sf_dir, "lines", broken=True)
+    row = readers.count_lines(spark, at), readers.count_malformed(spark, at), readers.read_first(spark, at, 50).count()
+    return spark.createDataFrame([row], "lines long, malformed long, first_rows long")
+
+
+@query(WITH + oracle.RAW + " SELECT review_id, text FROM raw WHERE stars >= 3")
+def s08_overwritten_layer(spark, sf_dir):
+    at = f"{Workspace(spark, 'layers').path}/layer"
+    writers.write_layer(raw(spark, sf_dir).select("review_id", "text", "stars"), at)
+    writers.overwrite_in_place(spark, spark.read.parquet(at).where("stars >= 3"), at)
+    return readers.read_parquet(spark, at).select("review_id", "text")
+
+
+@query("SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang")
+def s09_table_function(spark, sf_dir):
+    readers.table_function(spark, f"{sf_dir}/documents.parquet", "corpusq_documents")
+    return spark.sql("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS DECIMAL(38, 0)) AS chars FROM corpusq_documents GROUP BY lang")
+
+
+@query(_CONV.replace(f"WHERE {_S} <> ''", "") + f"SELECT doc_id, CAST({T('text')} AS INTEGER) AS tokens, CAST(len({oracle.SENTENCES}) AS INTEGER) AS sentences, coalesce(c.n, 0) AS chunks, array_to_string({oracle.pii()}, ',') AS pii FROM documents d LEFT JOIN (SELECT review_id, CAST(count(*) AS INTEGER) AS n FROM chunks GROUP BY review_id) c ON c.review_id = CAST(d.doc_id AS VARCHAR)")
+def u01_sql_functions(spark, sf_dir):
+    sql_functions.register(spark)
+    return spark.sql("SELECT doc_id, count_tokens(text) AS tokens, size(split_sentences(text)) AS sentences, size(chunk_text(text)) AS chunks, array_join(detect_pii(text), ',') AS pii FROM {d}", d=widen(table(spark, sf_dir, "documents")))
+
+
+_STARS = "CAST(doc_id % 7 AS DOUBLE)"
+_BATCH = "CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 61 END"
+_ERROR = f"CASE WHEN text IS NULL THEN 'text is missing' WHEN length(text) < 10 THEN 'text is shorter than 10 characters' WHEN length(text) > 10000 THEN 'text is longer than 10000 characters' WHEN {_S} = '' THEN 'text is blank' WHEN {_STARS} < 1 OR {_STARS} > 5 THEN 'stars are not within 1 and 5' END"
+
+
+def _requests(spark, sf_dir, stars: str = _STARS) -> DataFrame:
+    d = widen(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("doc_id").cast("string").alias("review_id"), "text", F.expr(stars).alias("stars"), F.expr(_BATCH).alias("batch"))
+
+
+@query(f"WITH e AS (SELECT doc_id, {_BATCH} AS batch, {_ERROR} AS own FROM documents) SELECT doc_id, own AS error, CASE WHEN count(*) OVER b > 100 THEN 'the batch has more than 100 rows' WHEN own IS NOT NULL THEN own WHEN count(own) OVER b > 0 THEN 'another row of the batch is invalid' END AS batch_error FROM e WINDOW b AS (PARTITION BY batch)")
+def f12_batch_errors(spark, sf_dir):
+    rows = clean.validate_requests(_requests(spark, sf_dir)).withColumnRenamed("error", "own")
+    return clean.validate_batches(rows, "batch").select("doc_id", F.col("own").alias("error"), F.col("error").alias("batch_error"))
+
+
+_BATCHES = _API.replace("FROM documents\n", f"FROM documents WHERE {_BATCH} IN (SELECT {_BATCH} FROM documents GROUP BY 1 HAVING count(*) <= 100 AND count(CASE WHEN text IS NULL OR length(text) NOT BETWEEN 10 AND 10000 OR {_S} = '' THEN 1 END) = 0)\n", 1)
+
+
+@query(_BATCHES + f"SELECT {_BATCH.replace('doc_id', 'CAST(review_id AS BIGINT)')} AS batch, count(*) AS total_reviews, round_even(avg(index_readiness_score), 1) AS avg_score FROM gold GROUP BY 1")
+def r02_batches(spark, sf_dir):
+    return scorer.score_batches(_requests(spark, sf_dir, "CAST(1 + doc_id % 5 AS DOUBLE)"), "batch")

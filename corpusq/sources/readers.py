@@ -51,6 +51,18 @@ def table_function(spark: SparkSession, path: str, view: str) -> DataFrame:
     return df
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, length, time of change) of all files below a path; says whether an input is still the same."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def documents_as_raw(documents: DataFrame) -> DataFrame:
     """The documents table in the raw schema, with stars, counts and a date derived from doc_id."""
     i = F.col("doc_id")

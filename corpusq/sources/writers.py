@@ -17,14 +17,22 @@ def write_layer(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 
 def overwrite_in_place(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace a path that df itself reads: write beside it, then rename."""
+    """Replace a path that df itself reads: write beside it, move the old table aside, the new one in, and then delete.
+
+    The old or the new table exists whole at every moment: at the path, or (after a crash between the two moves) at path + ".old".
+    """
     df.write.mode("overwrite").option("compression", "snappy").parquet(path + ".next")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".next")
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(path + tail) for tail in ("", ".next", ".old"))
     fs = at.getFileSystem(conf)
-    fs.delete(at, True)
+    fs.delete(old, True)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(new, at):
+        fs.rename(old, at)
         raise OSError(f"could not rename {path}.next")
+    fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
 
 
 def export_ready(scored: DataFrame) -> DataFrame:
@@ -40,6 +48,42 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def export_hits(hits: DataFrame, path: str) -> None:
+    """All rows of a search as CSV, not only those of its view."""
+    write_csv(hits, path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `write_csv` wrote."""
+    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+
+
+def collection_records(scored: DataFrame) -> DataFrame:
+    """Index-ready rows as a document collection takes them: ids, documents, metadatas (stars, date, quality_score, chunk_count)."""
+    metadata = F.struct("stars", "date", F.col("index_readiness_score").alias("quality_score"), "chunk_count")
+    return scored.where("index_ready").select(F.col("review_id").alias("ids"), F.col("text").alias("documents"), metadata.alias("metadatas"))
+
+
+#: A class of an object store for `class_objects`.
+CLASS_SCHEMA = {
+    "class": "Review",
+    "properties": [
+        {"name": "text", "dataType": ["text"]},
+        {"name": "review_id", "dataType": ["string"]},
+        {"name": "stars", "dataType": ["number"]},
+        {"name": "quality_score", "dataType": ["number"]},
+        {"name": "has_pii", "dataType": ["boolean"]},
+    ],
+}
+
+
+def class_objects(scored: DataFrame) -> DataFrame:
+    """Index-ready rows with the properties of CLASS_SCHEMA."""
+    values = {"text": F.col("text"), "review_id": F.col("review_id"), "stars": F.col("stars"), "quality_score": F.col("index_readiness_score"), "has_pii": F.col("has_pii")}
+    properties = F.struct(*[values[p["name"]].alias(p["name"]) for p in CLASS_SCHEMA["properties"]])
+    return scored.where("index_ready").select(F.lit(CLASS_SCHEMA["class"]).alias("class"), properties.alias("properties"))
+
+
 def vector_batches(scored: DataFrame, size: int = BATCH) -> DataFrame:
     """Index-ready rows as upload records with a batch number per partition: (partition, batch), id, text, metadata.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusq.functions.score import API, Variant
-from corpusq.operators.clean import validate_requests
+from corpusq.operators.clean import validate_batches, validate_requests
 from corpusq.plans.pipeline import score_rows
 
 
@@ -28,6 +28,13 @@ def serve(requests: DataFrame, out: str, checkpoint: str, v: Variant = API) -> S
     return score_stream(requests, v).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def score_batches(rows: DataFrame, batch: str, v: Variant = API) -> DataFrame:
+    """batch, total_reviews, avg_score (one decimal) of every batch without an error; see `validate_batches`."""
+    valid = validate_batches(rows, batch).where("error is null").drop("error")
+    scores = score_rows(valid, v, keep=[batch])
+    return scores.groupBy(batch).agg(F.count(F.lit(1)).alias("total_reviews"), (F.rint(F.avg("index_readiness_score") * 10) / 10).alias("avg_score"))
+
+
 def service_stats(log: DataFrame) -> DataFrame:
     """One row from a log (endpoint, n_reviews, latency_ms): requests, reviews, mean latency rounded to 2."""
     return log.agg(

@@ -1,13 +1,20 @@
 """Sources, sinks, cleaning, duplicates, anomalies, simulation and streaming."""
 
 import json
+import random
+from collections import Counter
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusq.functions.score import API
+from corpusq.functions import pii
+from corpusq.functions.chunk import chunks_of
+from corpusq.functions.score import API, STAGED
 from corpusq.operators import anomaly, clean, duplicates, reports, simulate
-from corpusq.plans import pipeline
+from corpusq.plans import linkage, pipeline
 from corpusq.plans.components import connected_components
 from corpusq.plans.workspace import Workspace
 from corpusq.sources import readers, writers
@@ -122,3 +129,145 @@ def test_jaccard_documents_have_every_copy(spark):
     rows = [(3, "only copies here"), (1, "only copies here"), (5, near), (4, near), (6, near + "s"), (7, None), (8, None), (9, "by itself")]
     got = duplicates.jaccard_documents(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "jd")).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 0), (3, 1, 0), (4, 4, 1), (5, 4, 1), (6, 6, 1), (7, 7, 0), (8, 8, 0), (9, 9, 0)]
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_keep_first_of_rows_that_share_a_key(spark):
+    rows = [("a", "t"), ("a", "t"), ("b", "t"), (None, "t"), ("c", None), ("d", None), (None, "u"), (None, "u")]
+    df = spark.createDataFrame(rows, "review_id string, text string").selectExpr("*", "1 AS _t", "2 AS text_digest", "3 AS first_key")
+    got = duplicates.keep_first(df)
+    assert got.columns[:5] == df.columns
+    assert rows_of(got.select("review_id", "text", "is_duplicate")) == sorted([("a", "t", False)] * 2 + [("b", "t", True), (None, "t", True), ("c", None, False), ("d", None, False)] + [(None, "u", False)] * 2, key=str)
+    assert got.where("is_duplicate = (duplicate_cluster_id = -1)").isEmpty()
+    assert rows_of(duplicates.members(df).select("review_id", "is_duplicate").distinct()) == sorted([("a", True), ("b", True), (None, True), ("c", False), ("d", False)], key=str)
+
+
+@pytest.mark.parametrize("find", [duplicates.lsh, duplicates.verified])
+def test_near_duplicates_keep_all_columns(spark, find):
+    rows = [("a", LONG * 2), ("b", LONG * 2), ("c", LONG * 2 + "x"), ("d", "zebras juggle vivid xylophones"), ("e", "ab"), ("f", None), (None, LONG * 2), ("d", "something else entirely, not like it")]
+    df = spark.createDataFrame(rows, "review_id string, text string").selectExpr("*", "1 AS id", "2 AS cluster", "3 AS node", "4 AS cluster_name", "5 AS t")
+    got = find(df, Workspace(spark, "near"))
+    assert got.columns == [*df.columns, "is_duplicate", "duplicate_cluster_id"] and got.count() == 8
+    flags = {r.review_id: (r.is_duplicate, r.duplicate_cluster_id) for r in got.collect()}
+    assert flags["a"][0] and flags["a"] == flags["b"] == flags["c"] and flags["d"] == flags["e"] == flags["f"] == flags[None] == (False, -1)
+    assert {(r.id, r.cluster, r.t) for r in got.collect()} == {(1, 2, 5)}
+    assert find(df.limit(0), Workspace(spark, "near")).count() == 0
+
+
+def test_verified_equals_all_pairs(spark):
+    rng = random.Random(4)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) + str(rng.randrange(90)) for _ in range(60)]
+        for _ in range(rng.choice([1, 3, 9])):
+            texts.append(" ".join(w if rng.random() > 0.04 else "q" + str(rng.randrange(999)) for w in base))
+    texts += ["ab", "ab", "Xy z", "xY Z"]
+    grams = [{t.lower()[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or grams[i] and 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j]):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    names = [f"r{i:04d}" for i in range(len(texts))]
+    want = sorted((names[i], min(n for n, r in zip(names, root) if r == root[i])) for i in range(len(texts)) if root.count(root[i]) > 1)
+    df = spark.createDataFrame(list(zip(names, texts)), "review_id string, text string")
+    assert rows_of(duplicates.verified_clusters(df, Workspace(spark, "v"))) == want and len(want) > 50
+
+
+def test_group_numbers_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "RANGE_SAMPLE", 9)
+    rng = random.Random(3)
+    rows = [(f"k{i:04d}", f"text {rng.randrange(120)}") for i in range(400)] + [("z1", None), ("z2", None)]
+    rng.shuffle(rows)
+    first = {}
+    for k, t in sorted(rows):
+        first.setdefault(t, []).append(k)
+    order = sorted(v[0] for t, v in first.items() if t and len(v) > 1)
+    want = sorted((k, order.index(v[0])) for t, v in first.items() if t and len(v) > 1 for k in v)
+    df = spark.createDataFrame(rows, "review_id string, text string")
+    assert rows_of(duplicates.group_numbers(df, Workspace(spark, "g"))) == want
+    assert duplicates.group_numbers(df.limit(0), Workspace(spark, "g")).count() == 0
+
+
+def test_linkage_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "ROWS", 16)
+    rng = np.random.default_rng(5)
+    sets = {i: np.unique(rng.integers(0, 60, 12).astype("<u8")) for i in range(150)}
+    sets |= {200 + i: np.unique(np.append(sets[i], np.uint64(1000 + i))) for i in range(40)}
+    sets |= {300: np.arange(5000, dtype="<u8"), 301: np.arange(4000, dtype="<u8")}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    keyed = spark.createDataFrame([(7, i) for i in sets] + [(8, i) for i in sets if i % 2], "key long, node long")
+    table = spark.createDataFrame([(i, len(x), x.tobytes()) for i, x in sets.items()], "node long, n long, elements binary")
+    got = linkage.similar_components(Workspace(spark, "ln"), keyed, lambda nodes: table.join(nodes, "node", "left_semi"), 75)
+    sizes = Counter(root.values())
+    assert {(r.node, r.component) for r in got.collect()} == {(i, r) for i, r in root.items() if sizes[r] > 1}
+
+
+def test_many_small_sets_in_one_bucket(spark):
+    n = 50_000
+    ids = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"))
+
+    def sets_of(nodes):
+        def run(batches):
+            for b in batches:
+                own = [np.sort(np.array([5 * i, 5 * i + 1, 5 * i + 2, 5 * i + 3, 10**9], "<u8")) for i in (x // 2 * 2 for x in b.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([5] * len(own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "n", "elements"])
+
+        return nodes.mapInArrow(run, "node long, n long, elements binary")
+
+    got = linkage.similar_components(Workspace(spark, "many"), ids, sets_of, 75)
+    assert got.where("component <> node - node % 2").isEmpty() and got.count() == n
+
+
+def test_unknown_duplicates_and_counters(spark, raw):
+    with pytest.raises(ValueError, match="unknown kind"):
+        pipeline.scored(raw, replace(STAGED, duplicates="jacard"))
+    by_four = pipeline.Tokens.of(lambda t: len(t) // 4)
+    df = pipeline.scored(raw, replace(STAGED, duplicates="none"), tokens=by_four)
+    for r in df.collect():
+        text = r.text
+        assert r.token_count == len(text) // 4 and r.chunk_count == len(chunks_of(text, counter=by_four.counter))
+    assert pipeline.scored(raw, replace(STAGED, duplicates="jaccard"), Workspace(spark, "t")).where("is_duplicate").count() == 3
+
+
+def test_batches(spark):
+    rows = [(1, "a", LONG, 4.0), (1, "b", LONG * 6, 4.0), (2, "c", LONG, 4.0), (2, "d", LONG, 9.0), (None, "e", LONG, 1.0)] + [(3, f"x{i}", LONG, 2.0) for i in range(101)]
+    df = spark.createDataFrame(rows, "batch int, review_id string, text string, stars double")
+    errors = {r.review_id: r.error for r in clean.validate_batches(df, "batch").collect()}
+    assert errors["a"] is None and errors["e"] is None and errors["c"] == "another row of the batch is invalid" and "stars" in errors["d"] and "100 rows" in errors["x7"]
+    assert {(r.batch, r.total_reviews) for r in scorer.score_batches(df, "batch").collect()} == {(1, 2), (None, 1)}
+
+
+def test_redact_table(spark):
+    rows = [("a", "mail a@b.co or 555-123-4567", ["phone"]), ("b", "mail a@b.co", []), ("c", "mail a@b.co", None), ("d", None, None), ("e", "  ", ["email"])]
+    df = spark.createDataFrame(rows, "review_id string, text string, pii_types_list array<string>").withColumn("redacted", F.lit(1))
+    got = {r.review_id: r for r in pii.redact_table(df).collect()}
+    assert [got[k].redactions_made for k in "abcde"] == [1, 0, 1, 0, 0] and got["a"].redacted_text == "mail a@b.co or [PHONE REDACTED]" and got["b"].redacted_text == "mail a@b.co"
+    assert got["d"].redacted_text is None and got["e"].redaction_rate == 0.0 and got["a"].redaction_rate == 0.25
+    assert pii.redact_table(df.drop("pii_types_list")).columns == ["review_id", "original_text", "redacted_text", "redactions_made", "redaction_rate"]
+
+
+def test_windowed_log(spark, tmp_path):
+    log = [("2024-01-01 00:00:10", 5.0), ("2024-01-01 00:00:50", 7.0), ("2024-01-01 00:01:10", 1.0)]
+    df = spark.createDataFrame(log, "ts string, latency_ms double").withColumn("ts", F.to_timestamp("ts"))
+    assert [(r.requests, r.mean_ms) for r in scorer.stats_per_window(df).orderBy("start").collect()] == [(2, 6.0), (1, 1.0)]
+
+
+def test_overwrite_leaves_one_table(spark, tmp_path):
+    path = f"file://{tmp_path}/layer"
+    spark.range(10).write.parquet(path)
+    for n in (6, 3):
+        writers.overwrite_in_place(spark, spark.read.parquet(path).limit(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["layer"]
