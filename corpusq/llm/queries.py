@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_projection_forest": op10_projection_forest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op1_line_dedup_all": linededup.ORACLE_ALL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op1_line_dedup_all": linededup.ORACLE_ALL, "op7_warc": warc.ORACLE}
