@@ -136,7 +136,7 @@ def similar_components(ws: Workspace, keyed: DataFrame, sets_of: Callable[[DataF
     stars = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
     members = ws.save("members", keyed.join(spread(stars), "key").select("key", "node", "center"))
     sets = ws.save("sets", sets_of(members.select("node").distinct()))
-    sizes = sets.select("node", "n")
+    sizes = sets.groupBy("node").agg(F.sum("n").alias("n"))  # a node may have several sets
 
     first = members.where("node <> center").groupBy("node").agg(F.min("center").alias("key")).join(sizes, "node")
     parts = first.groupBy("key").agg(_parts().alias("parts"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +28,28 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_corpusq"
 
 
+_open: list[Workspace] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at the end the tables of all workspaces made inside; what is needed longer must have been written elsewhere."""
+    before = set(map(id, _open))
+    try:
+        yield
+    finally:
+        for ws in [w for w in _open if id(w) not in before]:
+            ws.clear()
+            _open.remove(ws)
+
+
 class Workspace:
-    """A folder of intermediate tables for one run of one operator."""
+    """A folder of intermediate tables for one run of one operator; it goes with the interpreter, or with `scratch`."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _open.append(self)
         atexit.register(self.clear)
 
     def save(self, name: str, df: DataFrame) -> DataFrame:

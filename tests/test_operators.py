@@ -14,7 +14,7 @@ from corpusq.functions import pii
 from corpusq.functions.chunk import chunks_of
 from corpusq.functions.score import API, STAGED
 from corpusq.operators import anomaly, clean, duplicates, reports, simulate
-from corpusq.plans import linkage, pipeline
+from corpusq.plans import linkage, pipeline, workspace
 from corpusq.plans.components import connected_components
 from corpusq.plans.workspace import Workspace
 from corpusq.sources import readers, writers
@@ -271,3 +271,13 @@ def test_overwrite_leaves_one_table(spark, tmp_path):
         writers.overwrite_in_place(spark, spark.read.parquet(path).limit(n), path)
         assert spark.read.parquet(path).count() == n
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["layer"]
+
+
+def test_scratch(spark):
+    outer = Workspace(spark, "outer")
+    with workspace.scratch():
+        inner = Workspace(spark, "inner")
+        kept = outer.save("t", inner.save("t", spark.range(3).toDF("id")))
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(f"{inner.path}/t")
