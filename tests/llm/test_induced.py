@@ -1,6 +1,7 @@
 """Induced sorting against sorted()."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -51,3 +52,35 @@ def test_equal_prefixes():
         want.setdefault(t[p : p + 50], []).append(p)
     want = sorted(sorted(v) for v in want.values() if len(v) > 1)
     assert sorted(sorted(v) for v in got.values()) == want
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10**6])
+def test_sampled_suffixes_are_ordered_in_parts(rows, monkeypatch):
+    monkeypatch.setattr(induced, "SORT_ROWS", rows)
+    test_order_and_common_prefixes(0, monkeypatch)
+    test_equal_prefixes()
+
+
+def test_a_text_beyond_memory(monkeypatch):
+    """14 MB of text with a budget of 256 KB: what is allocated, mostly the tails of 256 queues, stays below the text's own size."""
+    monkeypatch.setattr(induced, "BLOCK", 1 << 13)
+    monkeypatch.setattr(induced, "SORT_ROWS", 1 << 13)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    pieces = [" ".join(rng.choice(words) for _ in range(rng.randrange(10, 30))) for _ in range(4000)]
+    order = [rng.randrange(len(pieces)) if rng.random() < 0.1 else i % len(pieces) for i in range(130_000)]
+    budget, size = 1 << 18, 0
+    tracemalloc.start()
+    text = induced.Text(budget)
+    for i in order:
+        piece = (pieces[i] if size % 5 else f"{size} {pieces[i][:60]}").encode() + b"\xff"
+        text.put(piece)
+        size += 1
+    x = text.bytes()
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    members = sum(c.shape[1] for c in induced.equal_prefixes(x, text.size, budget))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert isinstance(x, np.memmap) and text.size > 12 << 20 and members > text.size // 2
+    assert peak < 10 << 20, peak

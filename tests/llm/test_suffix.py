@@ -71,3 +71,47 @@ def test_long_and_empty(spark, docs):
     got = {r.doc_id: r for r in suffix.dedup(docs([(1, long), (2, "z" + long[5:]), (3, long[100:300]), (4, "q" * 300_000)]), Workspace(spark, "sa")).collect()}
     assert got[1].n_removed == got[4].n_removed == 0 and got[2].n_removed == got[2].n_bytes - 1 and got[3].n_removed == 200
     assert suffix.dedup(docs([]), Workspace(spark, "sa")).count() == 0
+
+
+def test_many_parts_shards_and_hot_strings(spark, docs, monkeypatch):
+    for name, value in (("PART_BYTES", 2000), ("SHARD_BYTES", 1500), ("SAMPLE_BYTES", 20_000), ("HOT_LEAST", 3)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(16)
+    line = "this very common line stands in a third of all documents, whatever they are about"
+    rows = []
+    for i in range(200):
+        parts = [sentence(rng, rng.randrange(0, 12)) for _ in range(2)]
+        if i % 3 == 0:
+            parts.insert(1, line if i % 2 else line[rng.randrange(20) :])
+        rows.append((i, " ".join(parts)))
+    rows += [(500, None), (501, "")]
+    frame = docs(rows)
+    hot = suffix.hot_slots(frame, 10**9)
+    assert hot is None or hot.sum() < 5000
+    assert suffix.hot_slots(frame, 1).sum() >= len(line) - 40
+    got = [tuple(r) for r in suffix.dedup(frame, Workspace(spark, "sa")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain(rows)))
+
+
+def test_hot_strings_are_passed_over():
+    hot = np.zeros(1 << suffix.HOT_BITS, bool)
+    common = b"a line that is in very many documents"
+    hot[suffix._slot(suffix.gram_hashes(common))] = True
+    rng = random.Random(2)
+    mine = bytes(rng.randrange(97, 122) for _ in range(60))
+    start, count, gram = suffix.anchors(mine + common + mine[::-1], hot)
+    assert count.sum() == 2 * len(mine) + len(common) - 49 and not hot[suffix._slot(suffix.gram_hashes(mine))].any()
+    flagged = set((suffix.gram_hashes(common) ^ (suffix.gram_hashes(common) >> np.uint64(29))).tolist())
+    assert not flagged & set(gram.tolist())
+    assert flagged & set(suffix.anchors(common * 3, np.ones(1 << suffix.HOT_BITS, bool))[2].tolist())
+
+
+def test_shard_beyond_memory(monkeypatch):
+    monkeypatch.setattr(suffix.induced, "BLOCK", 500)
+    monkeypatch.setattr(suffix.induced, "SORT_ROWS", 300)
+    rng = random.Random(4)
+    base = bytes(rng.choice(b"abcdef ") for _ in range(900))
+    held = {0: [(rng.randrange(40), i, base[j : j + rng.randrange(50, 90)]) for i in range(400) for j in [rng.randrange(700)]]}
+    (blob,) = suffix._contexts(held).column(1).to_pylist()
+    key = lambda b: sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    assert key(suffix.copied_windows(iter([blob]), 0)) == key(suffix.copied_windows(iter([blob]))) != []
