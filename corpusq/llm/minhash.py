@@ -9,26 +9,23 @@ Groups of copies never become pairs:
 
 1. Documents with equal shingle sets form a class; its node is its smallest doc_id. Partial
    aggregation collapses a class before its shuffle.
-2. Each band bucket with two or more nodes is a star around its smallest node. Every node keeps one
-   star edge at first; edges are confirmed on the full sets and give components.
-3. A bucket whose nodes are all in one component needs nothing more. In the others, the full sets are
-   compared inside a task, by products of incidence matrices, and only links between components come
-   out, one per node and component. A large bucket is dealt out as pairs of blocks of about BLOCK
-   shingles, so no task holds it whole.
-4. Components of the confirmed edges are found by large-star/small-star.
+2. The band buckets of two or more nodes go to `plans.linkage`, which confirms links on full sets:
+   one star edge per node first, then the buckets whose nodes aren't in one component yet, compared by
+   pairs of blocks inside tasks. A block is bounded in rows and in shingles, sets move instead of
+   texts, and only links between components come out, one per node and component.
+3. Components of the confirmed edges are found by large-star/small-star.
 
 No bucket is capped, no row dropped, and pairs are never rows.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is kept;
-rows that share a doc_id count as one document in the graph and each has a row in the result; a null
-doc_id is reached through its class, but names no component unless its whole class has null ids
-(then component_id is null and kept false); an empty table gives an empty result; other columns are
-ignored by `near_duplicates` and kept by `keep_first`.
+ids are taken to be unique: rows that share a doc_id have one node if it is the smallest of their sets,
+and each has a row in the result; a null doc_id is reached through its class, but names no component
+unless its whole class has null ids (then component_id is null and kept false); an empty table gives
+an empty result; other columns are ignored by `near_duplicates` and kept by `keep_first`.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,16 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusq.llm.batches import text_bytes
-from corpusq.llm.shingles import common, shingle_set
-from corpusq.plans.components import connected_components
-from corpusq.plans.once import spread
+from corpusq.llm.shingles import shingle_set
+from corpusq.plans.linkage import similar_components
+from corpusq.plans.once import free_name
 from corpusq.plans.workspace import Workspace
 
 BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
-BLOCK = 1 << 20
-COLUMNS = 2048
-CACHE_BYTES = 64 << 20
+PERCENT = 75
 UNNAMED = 1 << 62
 
 
@@ -115,104 +110,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, text_a, text_b -> the pairs with 100 * intersection >= 75 * union."""
-    known: OrderedDict[int, np.ndarray] = OrderedDict()
-    held = 0
-
-    def of(i: int, text: bytes) -> np.ndarray:
-        nonlocal held
-        key = hash(text)
-        if (i, key) not in known:
-            known[i, key] = s = shingle_set(text)
-            held += s.nbytes
-            while held > CACHE_BYTES and len(known) > 2:
-                held -= known.popitem(last=False)[1].nbytes
-        known.move_to_end((i, key))
-        return known[i, key]
-
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for i, j, x, y in zip(a, b, text_bytes(batch.column(2)), text_bytes(batch.column(3))):
-            p, q = of(i, x), of(j, y)
-            both = common(p, q)
-            keep.append(both > 0 and 100 * both >= 75 * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each left set with each right one, by products of incidence matrices."""
-    sides = []
-    for sets in (left, right):
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        sides.append((row, np.concatenate(sets)))
-    vocabulary = np.intersect1d(np.unique(sides[0][1]), np.unique(sides[1][1]), assume_unique=True)
-    placed = []
-    for row, x in sides:
-        at = np.searchsorted(vocabulary, x)
-        at[at == len(vocabulary)] = 0
-        hit = vocabulary[at] == x if len(vocabulary) else np.zeros(len(x), bool)
-        order = np.argsort(at[hit], kind="stable")
-        placed.append((row[hit][order], at[hit][order]))
-    out = np.zeros((len(left), len(right)), np.float32)
-    for first in range(0, len(vocabulary), COLUMNS):
-        parts = []
-        for sets, (row, at) in zip((left, right), placed):
-            lo, hi = np.searchsorted(at, (first, first + COLUMNS))
-            m = np.zeros((len(sets), COLUMNS), np.float32)
-            m[row[lo:hi], at[lo:hi] - first] = 1
-            parts.append(m)
-        out += parts[0] @ parts[1].T
-    return out.astype(np.int64)
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by (key, i, j): side, node, component, text -> links between components.
-
-    side: which half of a pair of blocks the row belongs to: 0 left (i), 1 right (j), 2 both (i = j).
-    Of a node's links with the members of one component the first is enough.
-    """
-
-    def links(rows: list[tuple]) -> pa.RecordBatch | None:
-        left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
-        if not left or not right:
-            return None
-        same = rows[0][0] == 2
-        comp_l, comp_r = (np.array([r[2] for r in side], np.int64) for side in (left, right))
-        if comp_l.min() == comp_l.max() == comp_r.min() == comp_r.max():
-            return None
-        sets_l = [shingle_set(r[3]) for r in left]
-        sets_r = sets_l if same else [shingle_set(r[3]) for r in right]
-        both = _intersections(sets_l, sets_r)
-        n_l, n_r = (np.array([len(x) for x in sets], np.int64) for sets in (sets_l, sets_r))
-        linked = (both > 0) & (100 * both >= 75 * (n_l[:, None] + n_r[None, :] - both)) & (comp_l[:, None] != comp_r[None, :])
-        a, b = [], []
-        for i in np.flatnonzero(linked.any(axis=1)):
-            at = np.flatnonzero(linked[i])
-            at = at[np.unique(comp_r[at], return_index=True)[1]]
-            a += [left[i][1]] * len(at)
-            b += [right[j][1] for j in at]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
-
-    now, rows = None, []
-    for batch in batches:
-        head = list(zip(*(batch.column(k).to_pylist() for k in range(6))))
-        for (key, i, j, *row), text in zip(head, text_bytes(batch.column(6))):
-            if (key, i, j) != now:
-                if rows and (out := links(rows)) is not None:
-                    yield out
-                now, rows = (key, i, j), []
-            rows.append((*row, text))
-    if rows and (out := links(rows)) is not None:
-        yield out
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_similar, "a long, b long")
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, text -> node, n, elements: the full set of shingles."""
+    for b in batches:
+        sets = [shingle_set(x) for x in text_bytes(b.column(1))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "elements"])
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -220,39 +122,15 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = ws.save("profile", d.mapInArrow(_profile, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     some = profile.where("d1 is not null and doc_id is not null")
-    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = ws.save("classes", classes)
 
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
-    members = ws.save("members", keyed.join(spread(stars), "key").select("key", "node", "center"))
-    nodes = members.select("node").distinct()
-    texts = ws.save("texts", d.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi"))
-
-    first = members.where("node <> center").groupBy("node").agg(F.min("center").alias("a")).select("a", F.col("node").alias("b"))
-    links = ws.save("links-1", _confirm(first, texts))
-    found = connected_components(ws, links, "cc-a")
-
-    labelled = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = labelled.join(classes.select("node", "n"), "node")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("total")).where("low < high")
-    mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    rest = ws.save("rest", labelled.join(spread(mixed), "key").select("key", "node", "component", "blocks"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rest.join(texts, "node").select(
-        "key",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node",
-        "component",
-        "text",
-    )
-    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long")
-    more = ws.save("links-2", more)
-    stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    found = connected_components(ws, stars.unionByName(more), "cc-b")
+    texts = d.withColumnRenamed("doc_id", "node")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes, "node", "left_semi").mapInArrow(_sets, "node long, n long, elements binary")
+
+    found = similar_components(ws, classes.select("node", F.explode("bands").alias("key")), sets_of, PERCENT)
 
     of_class = classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("reached"))
     out = profile.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
@@ -260,27 +138,42 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a text, and _set (digest of its shingle set) as their last column."""
-    for b in batches:
-        sets = [xxhash.xxh3_128_digest(shingle_set(x).tobytes()) for x in text_bytes(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sets, pa.binary())], [*b.schema.names, "_set"])
-
-
 def keep_first(docs: DataFrame, ws: Workspace) -> DataFrame:
     """The rows of docs, all their columns, without the near copies of a document with a smaller id.
 
     A row without an id takes one from its text, from UNNAMED on, so it stays unless it is a copy of a named
     document or of another such row. Of the rows with one id and one shingle set, one stays; blank rows without an id all stay.
     """
+    own, digest = free_name(docs, "own_id"), free_name(docs, "set_digest")
+
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [xxhash.xxh3_128_digest(shingle_set(x).tobytes()) for x in text_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sets, pa.binary())], [*b.schema.names, digest])
+
     unnamed = F.lit(UNNAMED) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(UNNAMED - 1)
-    d = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    found = near_duplicates(d.select(F.col("_id").alias("doc_id"), "text"), ws).where("kept").groupBy(F.col("doc_id").alias("_id"))
-    again = (F.count(F.lit(1)) > 1) & ((F.col("_id") < UNNAMED) | (F.max("n_shingles") > 0))
+    d = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    found = near_duplicates(d.select(F.col(own).alias("doc_id"), "text"), ws).where("kept").groupBy(F.col("doc_id").alias(own))
+    again = (F.count(F.lit(1)) > 1) & ((F.col(own) < UNNAMED) | (F.max("n_shingles") > 0))
     kept = ws.save("kept", found.agg(again.alias("again")))
     if kept.where("again").isEmpty():
-        return d.join(kept, "_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    single = d.join(kept.where("not again"), "_id", "left_semi")
-    several = d.join(kept.where("again"), "_id", "left_semi")
-    one = several.mapInArrow(_with_set, StructType([*several.schema.fields, StructField("_set", BinaryType())])).dropDuplicates(["_id", "_set"])
-    return single.unionByName(one.drop("_set")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return d.join(kept, own, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    single = d.join(kept.where("not again"), own, "left_semi")
+    several = d.join(kept.where("again"), own, "left_semi")
+    one = several.mapInArrow(with_set, StructType([*several.schema.fields, StructField(digest, BinaryType())])).dropDuplicates([own, digest])
+    return single.unionByName(one.drop(digest)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: Full sets, all pairs that share a shingle, and their components.
+ORACLE = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+grams AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+near AS MATERIALIZED (SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * i >= {PERCENT} * (len(p.s) + len(q.s) - i)),
+both_ways AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT a AS doc_id, a AS root FROM both_ways UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.doc_id WHERE r.root < e.b),
+least AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.root, s.doc_id)) AS component_id, coalesce(l.root, s.doc_id) >= s.doc_id AS kept
+FROM sets s LEFT JOIN least l ON l.doc_id = s.doc_id
+"""

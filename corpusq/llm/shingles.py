@@ -29,14 +29,3 @@ def shingle_set(text: bytes) -> np.ndarray:
         out = (out + h[j : n - k + 1 + j]) * MIX[j]
     out ^= out >> np.uint64(32)
     return np.unique(out + np.uint64(k))
-
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many hashes two sorted distinct arrays share."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from corpusq.llm import minhash
 from corpusq.llm.shingles import shingle_set
@@ -108,5 +109,23 @@ def test_keep_first_without_ids_and_with_repeated_rows(spark, docs):
     assert kept.columns == d.columns
     want = [(None, "a text of its own"), (None, "one more text"), (None, ""), (None, None), (3, same), (5, "other words here"), (5, "quite another text")]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    clash = d.selectExpr("*", "1 AS again", "2 AS own_id", "3 AS set_digest", "4 AS _id")
+    assert sorted(((r.doc_id, r.text) for r in minhash.keep_first(clash, Workspace(spark, "mh")).collect()), key=str) == sorted(want, key=str)
     alone = minhash.keep_first(docs([(None, "a text of its own"), (1, same)]), Workspace(spark, "mh"))
     assert alone.count() == 2
+
+
+def test_many_five_word_texts_in_one_bucket(spark, monkeypatch):
+    """50,000 texts of one shingle each, all in the same bucket: memory is bounded by blocks, not by the bucket."""
+    n = 50_000
+    whole = minhash._profile
+
+    def same_bucket(batches):
+        for b in whole(batches):
+            bands = pa.array([[1, 2]] * b.num_rows, pa.list_(pa.int64()))
+            yield b.set_column(4, "bands", bands)
+
+    monkeypatch.setattr(minhash, "_profile", same_bucket)
+    frame = spark.range(n).selectExpr("id AS doc_id", "concat('a b c d w', id div 2, ' ') AS text", "'en' AS lang")
+    got = minhash.near_duplicates(frame, Workspace(spark, "mh"))
+    assert got.where("component_id <> doc_id - doc_id % 2 or n_shingles <> 1").isEmpty() and got.count() == n
