@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusq.plans import linkage
 from corpusq.plans.components import connected_components
-from corpusq.plans.linkage import similar_components
+from corpusq.plans.linkage import intersections, similar_components
 from corpusq.plans.once import free_name, spread
 from corpusq.plans.workspace import Workspace
 
@@ -196,33 +198,76 @@ def verified(df: DataFrame, ws: Workspace, key: str = "review_id", threshold: fl
     return _with_clusters(df, verified_clusters(df, ws, key, threshold), key)
 
 
-def trigram_sets(df: DataFrame, key: str) -> DataFrame:
-    """id, grams: hashes of the distinct lower-case character trigrams; rows with fewer than 3 characters are left out."""
-    chars = F.split(F.lower("text"), "")
-    base = df.select(F.col(key).alias("id"), chars.alias("c")).withColumn("c", F.filter("c", lambda x: x != "")).where(F.size("c") >= 3)
-    grams = F.transform(F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 2).alias("a"), F.slice("c", F.lit(2), F.size("c") - 2).alias("b"), F.slice("c", F.lit(3), F.size("c") - 2).alias("d")), lambda z: F.xxhash64(z["a"], z["b"], z["d"]))
-    return base.select("id", F.array_distinct(grams).alias("grams"))
+def _trigram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text -> id, n, elements: the distinct lower-case trigrams; texts of fewer than 3 characters are left out."""
+    for b in batches:
+        rows = [i for i, t in enumerate(b.column(1).to_pylist()) if t and len(t.lower()) >= 3]
+        sets = [np.unique(trigrams(b.column(1)[i].as_py())) for i in rows]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "elements"])
+
+
+def _similar(threshold: float):
+    """Rows in the order of (low, high, i, j): those, side, id, elements -> a, b, shared, total of the pairs that reach the threshold."""
+
+    def pairs(rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
+        if not left or not right:
+            return
+        sets_l, sets_r = ([np.frombuffer(r[2], "<u8") for r in side] for side in (left, right))
+        both = intersections(sets_l, sets_r)
+        total = np.array([len(x) for x in sets_l])[:, None] + np.array([len(x) for x in sets_r])[None, :] - both
+        hit = both >= threshold * total - 1e-9
+        if rows[0][0] == 2:
+            hit = np.triu(hit, 1)
+        for i in np.flatnonzero(hit.any(axis=1)).tolist():
+            at = np.flatnonzero(hit[i])
+            ends = [sorted((left[i][1], right[j][1])) for j in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ends], kind), pa.array([y for _, y in ends], kind), pa.array(both[i, at].astype(np.int64)), pa.array(total[i, at].astype(np.int64))], ["a", "b", "shared", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, kind = None, [], pa.null()
+        for batch in batches:
+            kind = batch.column(5).type
+            for *group, side, key, elements in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != now:
+                    yield from pairs(rows, kind)
+                    now, rows = group, []
+                rows.append((side, key, elements))
+        yield from pairs(rows, kind)
+
+    return run
 
 
 def jaccard_pairs(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """a, b, jaccard for all pairs of different texts with trigram similarity >= threshold; exact.
 
-    Prefix filter: of two similar sets each has a common element among its n - ceil(t n) + 1 rarest, so
-    only those are joined. Copies of a text are represented by their smallest key.
+    Copies of a text are represented by their smallest key. Trigrams are too few for rare ones to tell texts apart, so every
+    set is compared with all of about its size: sizes fall into geometric bands, and of two similar sets one's band is
+    the other's or the next. A band is cut into blocks bounded in rows and elements, and pairs of blocks are compared inside tasks.
+    The work grows with the square of a band; `verified_clusters` is the form for large tables.
     """
     first = df.where("text is not null").groupBy(F.sha2("text", 256).alias("t")).agg(F.min(key).alias("first")).select("first")
-    sets = ws.save("sets", trigram_sets(df.join(first, df[key] == first["first"], "left_semi"), key).withColumn("n", F.size("grams")))
-    tokens = sets.select("id", "n", F.explode("grams").alias("g"))
-    df_of = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    ranked = tokens.join(spread(df_of), "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = ranked.select("id", "n", F.explode(F.transform(F.slice("s", F.lit(1), keep.cast("int")), lambda x: x["g"])).alias("g"))
-    prefix = ws.save("prefix", prefix)
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "g"), prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "g")
-    near = a.join(b, "g").where(f"a < b and least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9").select("a", "b").distinct()
-    sa, sb = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    both = near.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("x", "y"))).withColumn("u", F.size("x") + F.size("y") - F.col("i"))
-    return both.where(F.col("i") >= F.lit(threshold) * F.col("u") - 1e-9).select("a", "b", F.round(F.col("i") / F.col("u"), 6).alias("jaccard"))
+    texts = df.join(first, df[key] == first["first"], "left_semi").where("text is not null").groupBy(F.col(key).alias("id")).agg(F.min("text").alias("text"))
+    kind = dict(df.dtypes)[key]
+    sets = texts.mapInArrow(_trigram_sets, f"id {kind}, n long, elements binary")
+    sets = ws.save("sets", sets.withColumn("band", F.floor(F.log("n") / math.log(1 / threshold) + 1e-9).cast("int")))
+    rows = F.greatest(F.ceil(F.sum("n") / linkage.BLOCK), F.ceil(F.count(F.lit(1)) / linkage.ROWS)).cast("int")
+    bands = ws.save("bands", sets.groupBy("band").agg(rows.alias("blocks")))  # a row per band of sizes
+
+    own = sets.join(bands, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    above = bands.select((F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = bands.select((F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    own = own.join(above, "band", "left").join(below, "band", "left")
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
+    me, band = F.col("own"), F.col("band")
+    same = F.transform(upto(F.col("blocks")), lambda x: place(band, band, F.least(me, x), F.greatest(me, x), F.when(me == x, 2).when(me < x, 0).otherwise(1)))
+    up = F.transform(upto(F.col("above")), lambda x: place(band, band + 1, me, x, F.lit(0)))
+    down = F.transform(upto(F.col("below")), lambda x: place(band - 1, band, x, me, F.lit(1)))
+    dealt = own.select("id", "elements", F.explode(F.concat(same, up, down)).alias("at")).select("at.*", "id", "elements")
+    group = ["low", "high", "i", "j"]
+    found = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_similar(threshold), f"a {kind}, b {kind}, shared long, total long")
+    return found.select("a", "b", F.round(F.col("shared") / F.col("total"), 6).alias("jaccard"))
 
 
 def jaccard_documents(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

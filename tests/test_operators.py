@@ -281,3 +281,23 @@ def test_scratch(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="(?i)path"):
         spark.read.parquet(f"{inner.path}/t")
+
+
+def test_jaccard_pairs_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "ROWS", 7)
+    rng = random.Random(9)
+    base = [rng.choice("abcdefghij ") for _ in range(300)]
+    texts = ["".join(base[: rng.randrange(60, 300)]) + "".join(rng.choice("xyz") for _ in range(rng.randrange(8))) for _ in range(60)] + ["abc", "ABC", "ab", None, "abc"]
+    grams = [{t.lower()[i : i + 3] for i in range(len(t) - 2)} if t else set() for t in texts]
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    ids = sorted(i for t, i in first.items() if t)
+    want = []
+    for i in ids:
+        for j in ids:
+            if i < j and grams[i] and grams[j] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) - 1e-9:
+                want.append((i, j, len(grams[i] & grams[j]) / len(grams[i] | grams[j])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, duplicates.jaccard_pairs(df, Workspace(spark, "jp")).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(want) > 50
+    assert all(abs(r[2] - w[2]) < 1e-6 for r, w in zip(got, want))
+    assert duplicates.jaccard_pairs(df.limit(0), Workspace(spark, "jp")).count() == 0
