@@ -1,19 +1,21 @@
 """Embedding near-duplicates with a forest of random-projection trees.
 
 Each tree splits recursively at the median along a random direction; vectors within a margin of the
-split go to both sides (spill), so close vectors rarely part. Thresholds are fitted on a bounded
-sample of SAMPLE vectors; the tree is a few numbers per node (directions come from a seed), and every
-vector is routed through all trees. Vectors that share a leaf are compared in double precision.
+split go to both sides (spill), so close vectors rarely part. The upper levels' thresholds are fitted on
+a bounded sample of SAMPLE vectors; a tree is a few numbers per node (directions come from a seed), and
+every vector is routed through all trees. A leaf that still has more than MOST members is split again,
+by a subtree of up to SPLITS nodes fitted on a sample of its own in a task, and so on level by level, so leaves
+don't grow with the table. Vectors that share a leaf are compared in double precision.
 
 A pair can share several leaves; it counts in the first one only, which each leaf can tell from its
 members' lists of leaves, so links are counted without forming pairs: a leaf yields one row per
 vector with its count and the smallest id of its component there. Equal vectors are one node with a
-multiplicity beforehand. A leaf with more than BLOCK members is dealt out as pairs of blocks, so no
-task holds it whole.
+multiplicity beforehand. A leaf that no direction splits, one of near copies, stays whole; with more than
+BLOCK members it is dealt out as pairs of blocks, so no task holds it.
 
 With margin MARGIN / sqrt(dimension) a pair at cosine 0.95 is parted by a split with a probability of
 about 0.02 in isotropic data (much less for closer pairs), by a tree of 8 levels 0.15, by all TREES
-trees below 1e-6.
+trees below 1e-6; by trees of 20 levels 0.33 and 1.5e-4.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component links with
 nothing and is kept; vectors of different length aren't compared; rows that share both id and vector
@@ -23,7 +25,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.plans.components import connected_components
+from corpusq.plans.once import spread
 from corpusq.plans.workspace import Workspace
 
 THRESHOLD = 0.95
@@ -41,8 +44,11 @@ MARGIN = 0.16
 SAMPLE = 16_384
 LEAF = 1024
 LEAST = 24
+MOST = 4096
 BLOCK = 4096
-MAX_NODES = 200_000
+SPLITS = 63
+SUB_SAMPLE = 2048
+ROUNDS = 12
 
 
 def unit(raw: bytes) -> np.ndarray:
@@ -69,9 +75,16 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(dim, pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "d1", "d2", "dim", "raw"])
 
 
+def split(p: np.ndarray, margin: float) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """(threshold, left, right) of projections, split at their median with spill; None if that hardly parts them."""
+    cut = float(np.median(p))
+    left, right = p <= cut + margin, p >= cut - margin
+    return (cut, left, right) if max(left.sum(), right.sum()) <= 0.85 * len(p) else None
+
+
 @dataclass
 class Tree:
-    """Nodes by number: threshold, children (left, right) or a leaf number; a node's direction follows from seed and number."""
+    """Nodes by number: threshold, children (left, right) or a leaf number, arrays once fitted; a node's direction follows from seed and number."""
 
     seed: int
     dim: int
@@ -91,17 +104,14 @@ class Tree:
         todo, leaf = [(self.add(), np.arange(len(x)))], first_leaf
         while todo:
             node, rows = todo.pop()
-            if len(rows) > size and len(self.cut) < MAX_NODES:
-                p = x[rows] @ self.direction(node)
-                cut = float(np.median(p))
-                left, right = rows[p <= cut + self.margin()], rows[p >= cut - self.margin()]
-                if max(len(left), len(right)) <= 0.85 * len(rows):
-                    self.cut[node] = cut
-                    self.kids[node] = (self.add(), self.add())
-                    todo += [(self.kids[node][0], left), (self.kids[node][1], right)]
-                    continue
+            if len(rows) > size and (parts := split(x[rows] @ self.direction(node), self.margin())):
+                self.cut[node] = parts[0]
+                self.kids[node] = (self.add(), self.add())
+                todo += [(self.kids[node][0], rows[parts[1]]), (self.kids[node][1], rows[parts[2]])]
+                continue
             self.leaf[node] = leaf
             leaf += 1
+        self.cut, self.kids, self.leaf = np.array(self.cut), np.array(self.kids, np.int32), np.array(self.leaf, np.int32)
         return leaf
 
     def add(self) -> int:
@@ -118,11 +128,11 @@ class Tree:
             if not len(rows):
                 continue
             if self.leaf[node] >= 0:
-                yield self.leaf[node], rows
+                yield int(self.leaf[node]), rows
                 continue
             p = x[rows] @ self.direction(node)
-            todo.append((self.kids[node][0], rows[p <= self.cut[node] + self.margin()]))
-            todo.append((self.kids[node][1], rows[p >= self.cut[node] - self.margin()]))
+            todo.append((int(self.kids[node][0]), rows[p <= self.cut[node] + self.margin()]))
+            todo.append((int(self.kids[node][1]), rows[p >= self.cut[node] - self.margin()]))
 
 
 def grow(classes: DataFrame, seed: int = 11) -> dict[int, list[Tree]]:
@@ -160,6 +170,121 @@ def leaves_of(forest: dict[int, list[Tree]], dims: list[int], raws: list[bytes])
     return [sorted(x) for x in out]
 
 
+class Subtree:
+    """The splits of one large leaf, as a heap: node k has children 2k and 2k + 1, and a threshold or none (NaN)."""
+
+    def __init__(self, leaf: int, dim: int, cuts: np.ndarray | None = None) -> None:
+        self.leaf, self.dim, self.margin = leaf, dim, MARGIN / np.sqrt(dim)
+        self.cuts = np.full(SPLITS + 1, np.nan) if cuts is None else cuts
+        self.known: dict[int, np.ndarray] = {}
+
+    def direction(self, k: int) -> np.ndarray:
+        if k not in self.known:
+            v = np.random.default_rng((self.leaf & ((1 << 64) - 1), k)).standard_normal(self.dim)
+            self.known[k] = v / np.linalg.norm(v)
+        return self.known[k]
+
+    def fit(self, x: np.ndarray, size: int) -> np.ndarray:
+        """The thresholds, from a sample of the leaf, until a node has at most `size` sampled rows."""
+        todo = [(1, np.arange(len(x)))]
+        while todo:
+            k, rows = todo.pop()
+            if k <= SPLITS and len(rows) > size and (parts := split(x[rows] @ self.direction(k), self.margin)):
+                self.cuts[k] = parts[0]
+                todo += [(2 * k, rows[parts[1]]), (2 * k + 1, rows[parts[2]])]
+        return self.cuts
+
+    def route(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, rows) for all leaves of the subtree that rows of x reach; a leaf's name is a hash of this one's and its node."""
+        todo = [(1, np.arange(len(x)))]
+        while todo:
+            k, rows = todo.pop()
+            if not len(rows):
+                continue
+            if k > SPLITS or np.isnan(self.cuts[k]):
+                name = np.array([self.leaf, k], "<i8").tobytes()
+                yield int.from_bytes(xxhash.xxh3_64_digest(name), "little", signed=True) if k > 1 else self.leaf, rows
+                continue
+            p = x[rows] @ self.direction(k)
+            todo.append((2 * k, rows[p <= self.cuts[k] + self.margin]))
+            todo.append((2 * k + 1, rows[p >= self.cuts[k] - self.margin]))
+
+
+def _by_leaf(of: Callable[[int, list[tuple]], tuple | None], names: list[str], types: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by their first column, the leaf -> of(leaf, rows), one row per leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            for leaf, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if leaf != now:
+                    if rows and (out := of(now, rows)) is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, types)], names)
+                    now, rows = leaf, []
+                rows.append(tuple(row))
+        if rows and (out := of(now, rows)) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, types)], names)
+
+    return run
+
+
+def deepen(routed: DataFrame, ws: Workspace) -> DataFrame:
+    """routed (node, copies, dim, raw, leaves) with leaves of at most about MOST members, except those that can't be split.
+
+    A leaf's sample of about SUB_SAMPLE members meets in a task, which fits its subtree; the thresholds join the members,
+    and those go on to the subtree's leaves. Nothing is read again for leaves that are small enough from the start.
+    """
+
+    def fitted(leaf: int, rows: list[tuple]) -> tuple | None:
+        dim, size = rows[0][0], max(LEAST, LEAF * len(rows) // max(rows[0][2], 1))
+        cuts = Subtree(leaf, dim).fit(np.array([unit(r[1]) for r in rows]), size)
+        return None if np.isnan(cuts[1]) else (leaf, cuts.tolist())
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf, rows, raws = b.column(0).to_numpy(), b.column(2).to_pylist(), b.column(3)
+            to, at = [], []
+            for x in np.unique(leaf).tolist():
+                mine = np.flatnonzero(leaf == x)
+                tree = Subtree(x, rows[mine[0]], np.array(b.column(4)[int(mine[0])].as_py(), float))
+                for new, part in tree.route(np.array([unit(raws[int(i)].as_py()) for i in mine])):
+                    to += [new] * len(part)
+                    at += mine[part].tolist()
+            picked = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(1).take(picked), b.column(2).take(picked), raws.take(picked)], ["leaf", "node", "dim", "raw"])
+
+    each = routed.select("node", F.explode("leaves").alias("leaf"))
+    large = ws.save("large-0", each.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST))
+    if large.isEmpty():
+        return routed
+    done = [each.join(large, "leaf", "left_anti").select("node", "leaf")]
+    members = routed.select(F.explode("leaves").alias("leaf"), "node", "dim", "raw")
+    members = ws.save("members-0", members.join(spread(large.select("leaf")), "leaf"))
+    for i in range(1, ROUNDS + 1):
+        share = F.pmod(F.xxhash64("node", "leaf", F.lit(i)), F.lit(1 << 30)) < F.lit(float(SUB_SAMPLE) * (1 << 30)) / F.col("n")
+        some = members.join(spread(large), "leaf").where(share).select("leaf", "dim", "raw", "n")
+        some = some.repartition("leaf").sortWithinPartitions("leaf", F.xxhash64("raw"))
+        cuts = ws.save(f"cuts-{i}", some.mapInArrow(_by_leaf(fitted, ["leaf", "cuts"], [pa.int64(), pa.list_(pa.float64())]), "leaf long, cuts array<double>"))
+        done.append(ws.save(f"whole-{i}", members.join(spread(cuts.select("leaf")), "leaf", "left_anti").select("node", "leaf")))
+        if cuts.isEmpty():
+            break
+        parted = members.join(spread(cuts), "leaf").select("leaf", "node", "dim", "raw", "cuts").mapInArrow(moved, "leaf long, node long, dim int, raw binary")
+        parted = ws.save(f"parted-{i}", parted)
+        large = ws.save(f"large-{i}", parted.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST))
+        done.append(parted.join(spread(large.select("leaf")), "leaf", "left_anti").select("node", "leaf"))
+        if large.isEmpty():
+            break
+        members = ws.save(f"members-{i}", parted.join(spread(large.select("leaf")), "leaf"))
+        ws.drop(f"members-{i - 1}")
+        if i == ROUNDS:
+            done.append(members.select("node", "leaf"))
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    leaves = every.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+    return ws.save("deepened", routed.drop("leaves").join(leaves, "node"))
+
+
 def _earlier(leaf: int, left: list, right: list) -> np.ndarray:
     """Whether two members share a leaf before this one, as a matrix."""
     number: dict[int, int] = {}
@@ -225,10 +350,10 @@ def near_duplicates(vectors: DataFrame, ws: Workspace) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = leaves_of(forest, b.column(2).to_pylist(), b.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], ["node", "copies", "dim", "raw", "leaves"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], ["node", "copies", "dim", "raw", "leaves"])
 
-    routed = classes.select("node", "copies", "dim", "raw").mapInArrow(route, "node long, copies long, dim int, raw binary, leaves array<int>")
-    routed = ws.save("routed", routed)
+    routed = classes.select("node", "copies", "dim", "raw").mapInArrow(route, "node long, copies long, dim int, raw binary, leaves array<long>")
+    routed = deepen(ws.save("routed", routed), ws)
     placed = routed.select("node", "copies", "raw", "leaves", F.explode("leaves").alias("leaf"))
     sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     placed = placed.join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -266,3 +391,17 @@ def near_duplicates(vectors: DataFrame, ws: Workspace) -> DataFrame:
     named = F.col("vec_id").isNotNull()
     component = F.when(named, F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.when(named, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+#: All pairs by cosine, and their components.
+ORACLE = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= {THRESHOLD}::DOUBLE * a.norm * b.norm),
+both_ways AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT a AS vec_id, a AS root FROM both_ways UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.vec_id WHERE r.root < e.b),
+least AS (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM both_ways GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(l.root, e.vec_id)) AS component_id, coalesce(l.root, e.vec_id) >= e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id LEFT JOIN least l ON l.vec_id = e.vec_id
+"""

@@ -1,6 +1,7 @@
 """Embedding links against all pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -69,3 +70,47 @@ def test_chain_and_empty(spark):
     assert {r[2] for r in got if r[0] <= 100} == {100 - len(chain) + 1}
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert forest.near_duplicates(frame, Workspace(spark, "rp")).count() == 0
+
+
+def planted(rng, n, dim, low=0.95, high=0.97):
+    """Random unit vectors, and for every tenth one at a cosine between low and high to it."""
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x[::10]
+    side = rng.standard_normal(near.shape)
+    side -= (side * near).sum(axis=1)[:, None] * near
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = rng.uniform(low + 1e-6, high, len(near))[:, None]
+    return np.concatenate([x, c * near + np.sqrt(1 - c * c) * side])
+
+
+def recall(spark, x, expected=None):
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = np.zeros(len(x), int)
+    for r in forest.near_duplicates(frame, Workspace(spark, "rp")).collect():
+        got[r.vec_id] = r.n_links
+    want = np.concatenate([(x[i : i + 1000] @ x.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(x), 1000)])
+    assert (got <= want).all() and want.sum() > 0
+    return got.sum() / want.sum()
+
+
+def test_recall_of_planted_pairs(spark):
+    assert recall(spark, planted(np.random.default_rng(8), 6000, 32)) >= 0.99
+
+
+def test_large_leaves_are_split_again(spark, monkeypatch):
+    for name, value in (("SAMPLE", 200), ("LEAF", 40), ("MOST", 150), ("SUB_SAMPLE", 100), ("SPLITS", 3), ("BLOCK", 64)):
+        monkeypatch.setattr(forest, name, value)
+    rng = np.random.default_rng(9)
+    x = planted(rng, 3000, 24)
+    near = rng.standard_normal(24)
+    x = np.concatenate([x, near / np.linalg.norm(near) + 0.01 * rng.standard_normal((300, 24))])  # a leaf that can't be split
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ws = Workspace(spark, "deep")
+    vectors = [(i, 1, 24, v.astype("<f8").tobytes(), [5, 6] if i % 2 else [5]) for i, v in enumerate(x)]
+    routed = spark.createDataFrame(vectors, "node long, copies long, dim int, raw binary, leaves array<long>")
+    sizes = Counter(leaf for r in forest.deepen(routed, ws).collect() for leaf in r.leaves)
+    assert len(sizes) > 40 and sorted(sizes.values())[-8] <= 400 and sum(sizes.values()) > 4500
+    assert recall(spark, x) >= 0.97
+    monkeypatch.setattr(forest, "ROUNDS", 1)
+    assert {r.node for r in forest.deepen(routed, ws).collect()} == set(range(len(x)))
