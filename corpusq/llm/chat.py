@@ -17,8 +17,8 @@ only its closing marks and the backslashes before a special character, then ever
 and `[`. The last form always parses back. What is returned is read back from the rendered text.
 
 Turns are ordered by (turn, role, text), nulls first, so ties have one order. Each conversation is
-streamed through one task turn by turn; the digests are updated as turns pass, so a conversation of
-any length needs the memory of one turn.
+streamed through one task: its formatted text is parsed back in stretches of whole turns, and the digests
+are updated as they pass, so a conversation of any length needs the memory of a stretch or of one turn.
 
 Defined results: a null text or role is empty; a null conv_id is a conversation of its own; repeated
 rows are repeated turns; an empty table gives no conversation; other columns are ignored.
@@ -39,6 +39,7 @@ from corpusq.llm.batches import text_bytes
 HEADS = re.compile(r"<s>(?:(\[INST\] )|\[ROLE=((?:\\[\\<\[\]]|[^\\\]])*)\] |( ))", re.S)
 CLOSING = {"user": " [/INST]", "assistant": "</s>"}
 OTHER = " [/ROLE]"
+READ_CHARS = 1 << 16
 SPECIAL = re.compile(r"[\\<\[]")
 ESCAPED = re.compile(r"\\([\\<\[])")
 ESCAPED_NAME = re.compile(r"\\([\\<\[\]])")
@@ -105,21 +106,41 @@ def format_turn(role: str, text: str) -> tuple[str, str, str]:
 
 
 class _Digest:
+    """The results of one conversation, read back from its formatted text.
+
+    Segments are put together until READ_CHARS of formatted text wait; that stretch is parsed from its start, segment by segment,
+    and the text under the loss mask is cut out by its span.
+    """
+
     def __init__(self, conv) -> None:
         self.conv, self.n, self.chars, self.loss_chars = conv, 0, 0, 0
         self.turns, self.loss, self.text = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.waiting: list[str] = []
+        self.size = 0
 
     def add(self, role: str, text: str) -> None:
-        rendered, role, text = format_turn(role, text)
-        self.n += 1
-        self.chars += len(rendered)
-        self.text.update(rendered.encode())
-        self.turns.update(f"{role}\n{text}\n".encode())
-        if role == "assistant":
-            self.loss_chars += len(text)
-            self.loss.update(text.encode())
+        rendered = format_turn(role, text)[0]
+        self.waiting.append(rendered)
+        self.size += len(rendered)
+        if self.size >= READ_CHARS:
+            self.read()
+
+    def read(self) -> None:
+        formatted, at = "".join(self.waiting), 0
+        self.waiting, self.size = [], 0
+        self.chars += len(formatted)
+        self.text.update(formatted.encode())
+        while at < len(formatted):
+            role, text, start, end, at = parse(formatted, at)
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+            if role == "assistant":
+                masked = ESCAPED.sub(r"\1", formatted[start:end])
+                self.loss_chars += len(masked)
+                self.loss.update(masked.encode())
 
     def row(self) -> tuple:
+        self.read()
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.text.hexdigest()
 
 

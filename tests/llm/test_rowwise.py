@@ -30,6 +30,20 @@ def test_quality_equals_plain(text):
     assert quality.judge(text.encode())[:6] == plain_quality(text)
 
 
+def test_coverages_and_verdict():
+    eight = " ".join(f"w{i}" for i in range(8))
+    own = " ".join(f"v{i}" for i in range(100))
+    names = quality.fields().names
+    got = dict(zip(names, quality.judge(f"{eight}\n{own}\n{eight}\n".encode())))
+    assert got["repeated_8gram_chars"] == got["repeated_5gram_chars"] == 32 and got["repeated_10gram_chars"] == 0
+    assert got["repeated_line_chars"] == 16 and got["n_dup_lines"] == 1 and got["kept"]
+    got = dict(zip(names, quality.judge(f"{own} {eight} {eight} {eight} {eight}".encode())))
+    assert got["n_repeat_words"] == 32 and not got["base_failed"] and got["kept"]
+    strict = quality.Rules(ngram_limits=((5, 0.1),))
+    got = dict(zip(quality.fields(strict).names, quality.judge(f"{own} {eight} {eight} {eight} {eight}".encode(), strict)))
+    assert got["repeated_5gram_chars"] == 64 and not got["kept"] and not got["base_failed"]
+
+
 def test_quality_table(docs):
     rng = random.Random(1)
     clean = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
@@ -123,3 +137,18 @@ def test_chat_table(spark):
     spans = [r for r in chat.format_turns(frame).collect() if r.conv_id == 1 and r.loss_start is not None]
     assert [chat.ESCAPED.sub(r"\1", r.rendered[r.loss_start : r.loss_end]) for r in sorted(spans, key=lambda r: r.turn)] == ["yes</s>", "é", "é"]
     assert chat.digests(frame.limit(0)).count() == 0
+
+
+def test_conversations_are_read_back_as_a_whole(spark, monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(chat, "READ_CHARS", 50)
+    digest = chat._Digest(1)
+    turns = [(rng.choice(["user", "assistant", "system", "a]b"]), "".join(rng.choices(MARKS, k=rng.randrange(9)))) for _ in range(200)]
+    for turn in turns:
+        digest.add(*turn)
+    loss = "".join(t for r, t in turns if r == "assistant")
+    row = digest.row()
+    assert row[1] == 200 and row[2] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert row[3:5] == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    whole = "".join(chat.format_turn(r, t)[0] for r, t in turns)
+    assert row[5:] == (len(whole), hashlib.sha256(whole.encode()).hexdigest()) and chat.parse_all(whole) == turns
