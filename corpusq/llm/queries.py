@@ -82,4 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_projection_forest": op10_projection_forest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op1_line_dedup_all": linededup.ORACLE_ALL, "op7_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE,
+    "op1_line_dedup_all": linededup.ORACLE_ALL,
+    "op5_suffix_dedup": suffix.ORACLE,
+    "op6_minhash": minhash.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
+    "op10_projection_forest": forest.ORACLE,
+}
