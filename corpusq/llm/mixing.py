@@ -10,14 +10,15 @@ the budget; it follows in closed form from prefix sums over children ordered by
 A leaf then takes whole epochs, and of the next epoch a prefix: that epoch's documents in the order
 of a seeded hash, as long as their running token sum stays within the rest. A hot leaf is never
 sorted whole: token sums per bucket of the hash range show in which bucket the prefix ends, and only
-that bucket (about BUCKET_ROWS rows) is ordered, for a cutoff. The documents themselves are then
-compared with their leaf's cutoff and don't move.
+that bucket (of at most about BUCKET_ROWS rows) is ordered, for a cutoff. The documents themselves are then
+compared with their leaf's cutoff and don't move. A leaf of n rows has about the square root of n
+buckets, so neither they nor the rows of one grow in proportion to a hot leaf.
 
 Defined results: a null level is a value of its own, `(none)`; a null or empty text has no tokens and
 is taken only if its place in the order lies before the cutoff; documents with equal hash and id
 (repeated rows, null ids) are taken together or not at all; unnamed children weigh 1; weights of 0 or
 less take nothing; a leaf without tokens takes nothing; an empty table gives an empty result; other
-columns are ignored by `choose` and kept by `mix`.
+columns are ignored by `choose` and kept by `mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def plan(docs: DataFrame, ws: Workspace, levels: Sequence[str], weights: Sequenc
     cuts = budgets(leaves, levels, weights, budget, max_epochs).where("tokens > 0")
     cuts = cuts.withColumn("take", F.floor(F.col("share") + 1e-6))
     cuts = cuts.withColumn("epochs", F.floor(F.col("take") / F.col("tokens")).cast("long")).withColumn("rest", F.col("take") - F.col("epochs") * F.col("tokens"))
-    cuts = ws.save("cuts", cuts.withColumn("width", F.ceil(F.lit(float(1 << 53)) / F.ceil(F.col("rows") / BUCKET_ROWS))))
+    cuts = ws.save("cuts", cuts.withColumn("width", F.ceil(F.lit(float(1 << 53)) / F.ceil(F.greatest(F.col("rows") / BUCKET_ROWS, F.sqrt("rows"))))))
 
     keyed = ids.join(cuts.select(*levels, "epochs", "rest", "width"), levels).where("rest > 0")
     keyed = keyed.withColumn("h", order_key(seed, F.col("epochs"), F.col("doc_id"))).withColumn("bucket", F.floor(F.col("h") / F.col("width")))
@@ -115,16 +116,24 @@ def _taken(rows: DataFrame, cuts: DataFrame, levels: Sequence[str], seed: int) -
 
 def choose(docs: DataFrame, ws: Workspace, levels: Sequence[str], weights: Sequence[Mapping[str, float]], *, budget: float | None = None, fraction: float = 1.0, max_epochs: int = 1, seed: int = 0) -> DataFrame:
     """doc_id, the levels, tokens, epoch: one row for each time a document is taken."""
-    ids, cuts = plan(docs, ws, levels, weights, budget, fraction, max_epochs, seed)
-    return _taken(ids, cuts, levels, seed).select("doc_id", *levels, "tokens", "epoch")
+    if clash := {"doc_id", "tokens", "epoch"} & set(levels):
+        raise ValueError(f"a level can't be named {', '.join(sorted(clash))}")
+    own = [f"level_{i}" for i in range(len(levels))]
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(levels, own)])
+    ids, cuts = plan(rows, ws, own, weights, budget, fraction, max_epochs, seed)
+    return _taken(ids, cuts, own, seed).select("doc_id", *[F.col(n).alias(c) for c, n in zip(levels, own)], "tokens", "epoch")
 
 
 def mix(docs: DataFrame, ws: Workspace, levels: Mapping[str, Column], weights: Sequence[Mapping[str, float]], *, budget: float | None = None, fraction: float = 1.0, max_epochs: int = 1, seed: int = 0) -> DataFrame:
-    """The rows of docs, all their columns, once for each time they are taken. levels: name to expression."""
-    names = [f"_level_{k}" for k in levels]
-    rows = docs.select("*", *[F.coalesce(e.cast("string"), F.lit(NONE)).alias(n) for n, e in zip(names, levels.values())])
-    _, cuts = plan(rows, ws, names, weights, budget, fraction, max_epochs, seed)
-    return _taken(rows, cuts, names, seed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, all their columns, once for each time they are taken. levels: name to expression.
+
+    A row travels as one struct, so its columns meet no other names.
+    """
+    own = [f"level_{i}" for i in range(len(levels))]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, "doc_id", "text", *[F.coalesce(e.cast("string"), F.lit(NONE)).alias(n) for n, e in zip(own, levels.values())])
+    _, cuts = plan(rows, ws, own, weights, budget, fraction, max_epochs, seed)
+    return _taken(rows.drop("text"), cuts, own, seed).select("row.*")
 
 
 #: Production weights: four domains, and a language's part of each.

@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusq.llm import mixing
@@ -106,3 +107,18 @@ def test_mix_keeps_columns(spark, docs):
     out = mixing.mix(d, Workspace(spark, "mix"), mixing.production_levels(), mixing.WEIGHTS, fraction=0.5, seed=1)
     assert out.columns == d.columns and 0 < out.count() < 120
     assert mixing.mix(d.limit(0), Workspace(spark, "mix"), mixing.production_levels(), mixing.WEIGHTS).count() == 0
+
+
+def test_names_do_not_clash(spark, docs):
+    names = ["epochs", "rest", "cutoff", "epoch", "tokens", "row", "level_0", "level_1", "_level_domain", "bucket", "share"]
+    d = docs([(i, "a b c d e") for i in range(40)] + [(None, None), (7, "x"), (50, "long " * 200_000)])
+    d = d.selectExpr("*", *[f"{i} + doc_id AS {c}" for i, c in enumerate(names)])
+    got = mixing.mix(d, Workspace(spark, "mix"), {"epoch": F.col("lang"), "rest": F.col("source")}, [{}, {}], seed=3)
+    assert got.columns == d.columns
+    want = {str(r) for r in d.collect()}
+    rows = [str(r) for r in got.collect()]
+    assert len(rows) == 43 and set(rows) == want
+    with pytest.raises(ValueError, match="epoch"):
+        mixing.choose(d, Workspace(spark, "mix"), ["epoch"], [{}])
+    some = mixing.choose(d.select("doc_id", "text", F.col("lang").alias("rest"), F.col("source").alias("cutoff"), F.lit(1).alias("level_0")), Workspace(spark, "mix"), ["rest", "cutoff"], [{}, {}])
+    assert some.columns == ["doc_id", "rest", "cutoff", "tokens", "epoch"] and some.count() == 43

@@ -1,6 +1,7 @@
 """The pipeline against brute force over the smallest tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from test_mixing import plain as plain_mix
 
 import corpus_pipeline as p
 from corpusq.llm import bpe, mixing, quality
+from corpusq.plans.workspace import Workspace
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,3 +94,47 @@ def test_empty_table(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_nulls_repeats_and_long_texts(spark):
+    rng = random.Random(31)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    license_, copied, long = "all rights reserved by the owners of this site", text(80), text(150_000)
+    rows = [
+        (1, copied, "en", "src1"),
+        (1, copied, "en", "src1"),
+        (2, copied + " tail", "en", "src2"),
+        (3, text(60) + "\n" + license_, "en", "src3"),
+        (4, text(60) + "\n" + license_, None, "src3"),
+        (5, text(60) + "\n" + license_, "en", None),
+        (6, None, "en", "src1"),
+        (7, "", "en", "src1"),
+        (8, long, "en", "src1"),
+        (None, text(50), "en", "src1"),
+        (None, text(50), "en", "src1"),
+        (None, copied, "en", "src1"),
+    ]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS drops", "2 AS epochs", "3 AS own_id")
+    seen = {}
+    for name, stage in p.STAGES:
+        docs = Workspace(spark, "t").save(name, stage(spark, docs, SF))
+        seen[name] = docs.collect()
+        assert name == "bpe_coding" or docs.columns[-3:] == ["drops", "epochs", "own_id"]
+    ids = lambda name: sorted((str(r.doc_id) for r in seen[name]))
+    assert ids("quality_rules") == sorted(["1", "1", "2", "3", "4", "5", "8", "None", "None", "None"])
+    lines = {r.doc_id: r.text for r in seen["line_dedup"]}
+    assert license_ in lines[3] and license_ not in lines[4] + lines[5] and lines[8] == long
+    assert ids("minhash_near_dedup") == sorted(["1", "3", "4", "5", "8", "None", "None"])
+    assert {r.doc_id for r in seen["mix_sources"]} <= {1, 3, 4, 5, 8, None} and len(seen["bpe_coding"]) == len(seen["mix_sources"])
+
+
+def test_tables_go_with_their_stage(spark, monkeypatch):
+    from corpusq.plans import workspace
+
+    before = len(workspace._open)
+    p.run(spark, SF).count()
+    assert len(workspace._open) == before + 1
+    at = workspace._open[-1].path
+    jvm = spark.sparkContext._jvm
+    names = [f.getPath().getName() for f in jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(jvm.org.apache.hadoop.fs.Path(at))]
+    assert names == ["mix_sources"]
