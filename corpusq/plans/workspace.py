@@ -58,11 +58,19 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def _at(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def has(self, name: str) -> bool:
+        """Whether a table was written whole and is still there."""
+        fs, at = self._at(f"{name}/_SUCCESS")
+        return fs.exists(at)
+
     def drop(self, name: str = "") -> None:
         """Delete one table, or all; what still reads it must have been written elsewhere."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = self._at(name)
+        fs.delete(at, True)
 
     def clear(self) -> None:
         try:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from corpusq import oracle
 from corpusq.functions import pii, text
+from corpusq.functions import sql as sql_functions
 from corpusq.functions.chunk import chunk_table
 from corpusq.functions.score import API, CLI, STAGED
 from corpusq.operators import anomaly, clean, duplicates, reports, simulate
-from corpusq.functions import sql as sql_functions
 from corpusq.plans import pipeline
 from corpusq.plans.once import once, widen
 from corpusq.plans.workspace import Workspace
@@ -50,15 +50,16 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.scored(raw_wide(spark, sf_dir), GOLD)
 
 
-_LAYERS: dict[tuple, DataFrame] = {}
+_LAYERS: dict[tuple, tuple[Workspace, DataFrame]] = {}
 
 
 def layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored layer as a table that is written once per application and input, as the reports read it column by column."""
     key = spark.sparkContext.applicationId, readers.fingerprint(spark, f"{sf_dir}/documents.parquet")
-    if key not in _LAYERS:
-        _LAYERS[key] = Workspace(spark, "layer").save("gold", gold(spark, sf_dir))
-    return _LAYERS[key]
+    if key not in _LAYERS or not _LAYERS[key][0].has("gold"):
+        ws = Workspace(spark, "layer")
+        _LAYERS[key] = ws, ws.save("gold", gold(spark, sf_dir))
+    return _LAYERS[key][1]
 
 
 def raw_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

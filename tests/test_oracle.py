@@ -34,3 +34,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_layer_is_written_once_and_again_if_it_is_gone(spark, monkeypatch):
+    calls = []
+    make = registry.gold
+    monkeypatch.setattr(registry, "gold", lambda *a: calls.append(a) or make(*a))
+    monkeypatch.setattr(registry, "_LAYERS", {})
+    n = registry.layer(spark, SF).count()
+    assert registry.layer(spark, SF).count() == n and len(calls) == 1
+    next(iter(registry._LAYERS.values()))[0].clear()
+    assert registry.layer(spark, SF).count() == n and len(calls) == 2
