@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 INDEX_AT, REVIEW_AT = 70, 50
 WEIGHTS = (0.4, 0.3, 0.3)
-TIERS = {"index": 1, "review": 2, "reject": 3}
 LABELS = {"index": "Index Ready", "review": "Needs Review", "reject": "Reject"}
 
 

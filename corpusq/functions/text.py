@@ -12,8 +12,6 @@ TOKEN = r"(?U)\w+|[^\w\s]"
 SPACES = r"(?U)\s+"
 
 
-#: The same for texts of ASCII characters alone, where the engine needs no Unicode properties.
-ASCII_TOKEN = r"\w+|[^\w\s]"
 #: The characters with the property White_Space.
 BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -86,8 +84,3 @@ def from_json_list(c: Column) -> Column:
 def month_of(c: Column) -> Column:
     return F.date_trunc("month", c.cast("timestamp"))
 
-
-def round_half_up(c: Column, digits: int = 0) -> Column:
-    """Binary rounding of non-negative doubles, the same in both engines."""
-    scale = float(10**digits)
-    return F.floor(c.cast("double") * scale + 0.5) / scale

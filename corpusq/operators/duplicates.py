@@ -60,7 +60,8 @@ def group_numbers(df: DataFrame, ws: Workspace, key: str = "review_id") -> DataF
     t = F.sha2("text", 256)
     found = df.where("text is not null").groupBy(t.alias("t")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = ws.save("groups", found.select("t", "first"))
-    sample = sorted(r[0] for r in groups.where("first is not null").select("first").orderBy(F.xxhash64("first"), "first").limit(RANGE_SAMPLE).collect())
+    some = F.pmod(F.xxhash64("first"), F.lit(1 << 30)) < (1 << 30) * min(1.0, RANGE_SAMPLE / max(groups.count(), 1))
+    sample = sorted(r[0] for r in groups.where(F.col("first").isNotNull() & some).select("first").limit(2 * RANGE_SAMPLE).collect())
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     before = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("first"))) if bounds else F.lit(0)

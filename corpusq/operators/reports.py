@@ -99,9 +99,6 @@ def run_sql(gold: DataFrame, name: str) -> DataFrame:
     return gold.sparkSession.sql(SQL[name], gold=gold)
 
 
-DESCRIBE = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-
-
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: count, mean, sample standard deviation, extremes and exact interpolated quartiles."""
     parts = []

@@ -70,6 +70,9 @@ def test_csv_and_vectors(spark, raw, tmp_path):
     writers.write_csv(writers.export_ready(df), str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert sorted(r.text for r in back.collect()) == sorted(r.text for r in writers.export_ready(df).collect())
+    writers.write_csv(writers.export_pii(df), str(tmp_path / "pii"))
+    found = writers.read_csv(spark, str(tmp_path / "pii"), "review_id string, text string, pii_types string, index_readiness_score double").collect()
+    assert [(r.review_id, r.pii_types) for r in found] == [("2", '["email"]')]
     assert writers.vector_batches(df, 1).groupBy("partition", "batch").count().agg(F.max("count")).first()[0] == 1
 
 
