@@ -3,7 +3,7 @@
 A gear rolling hash over the last WINDOW bytes marks a boundary where BITS of its bits are zero, so
 boundaries depend on nearby content only and come back after an insertion or deletion. (A boundary
 within QUIET bytes after another mark is passed over, which keeps runs of one byte in one chunk.) A
-chunk is named by its 64-bit digest and length. A chunk that also occurs in a document with a smaller
+chunk is named by a digest of 96 bits. A chunk that also occurs in a document with a smaller
 doc_id is a copy; a run of adjacent copies of MIN_SPAN bytes or more is removed, so that a short
 common phrase alone removes nothing.
 
@@ -67,25 +67,26 @@ def spans(ends: np.ndarray, copies: list[int], min_span: int = MIN_SPAN) -> list
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, i, digest, size of every chunk."""
+    """doc_id, text -> doc_id, i, digest, more (64 and 32 bits of a digest) of every chunk."""
     for b in batches:
-        doc, at, digest, size = [], [], [], []
+        doc, at, digest = [], [], []
         for d, x in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
             start, ends = 0, boundaries(x).tolist()
             for e in ends:
-                digest.append(xxhash.xxh3_64_intdigest(x[start:e]))
-                size.append(e - start)
+                digest.append(xxhash.xxh3_128_digest(x[start:e]))
                 start = e
             doc += [d] * len(ends)
             at += range(len(ends))
             if len(doc) > 200_000:
-                yield _rows(doc, at, digest, size)
-                doc, at, digest, size = [], [], [], []
-        yield _rows(doc, at, digest, size)
+                yield _rows(doc, at, digest)
+                doc, at, digest = [], [], []
+        yield _rows(doc, at, digest)
 
 
-def _rows(doc: list, at: list, digest: list, size: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(size, pa.int32())], ["doc_id", "i", "digest", "size"])
+def _rows(doc: list, at: list, digest: list[bytes]) -> pa.RecordBatch:
+    both = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+    more = both[:, 1].astype(np.int32)  # its lower half
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(both[:, 0].copy()), pa.array(more)], ["doc_id", "i", "digest", "more"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +122,10 @@ def dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
     copied_from: the smallest doc_ids that hold the removed chunks.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = d.where("doc_id is not null").mapInArrow(_chunk, "doc_id long, i int, digest long, size int")
+    chunks = d.where("doc_id is not null").mapInArrow(_chunk, "doc_id long, i int, digest long, more int")
     chunks = ws.save("chunks", chunks)
-    first = chunks.groupBy("digest", "size").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    copies = chunks.join(spread(first), ["digest", "size"]).where("doc_id > source")
+    first = chunks.groupBy("digest", "more").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    copies = chunks.join(spread(first), ["digest", "more"]).where("doc_id > source")
     copies = copies.groupBy("doc_id").agg(F.collect_list("i").alias("copies"), F.collect_list("source").alias("sources"))
     out = d.join(copies, "doc_id", "left").select("doc_id", "text", "copies", "sources")
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_chunks long, n_copies long, n_removed long, n_spans long, kept_sha256 string, copied_from array<long>")
