@@ -129,3 +129,28 @@ def dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
     copies = copies.groupBy("doc_id").agg(F.collect_list("i").alias("copies"), F.collect_list("source").alias("sources"))
     out = d.join(copies, "doc_id", "left").select("doc_id", "text", "copies", "sources")
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_chunks long, n_copies long, n_removed long, n_spans long, kept_sha256 string, copied_from array<long>")
+
+
+_LAGS = " + ".join(f"(coalesce(lag(v, {j}) OVER w, 0) << {j})" if j else "v" for j in range(WINDOW))
+#: The same by whole chunks instead of digests, texts as hexadecimal digits; only the low WINDOW bits of the rolling hash matter.
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+digits AS (SELECT '0123456789ABCDEF' AS x, {[int(g) & 0xFFFF for g in GEAR]} AS gear),
+bytes AS MATERIALIZED (SELECT doc_id, i, gear[16 * (strpos(x, substr(h, 2 * i + 1, 1)) - 1) + strpos(x, substr(h, 2 * i + 2, 1))]::BIGINT AS v FROM d, digits, unnest(range(0, n)) AS u(i)),
+rolled AS (SELECT doc_id, i, {_LAGS} AS s FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+marks AS (SELECT doc_id, i + 1 AS e FROM rolled WHERE (s >> {WINDOW - BITS}) & {(1 << BITS) - 1} = 0),
+spaced AS (SELECT doc_id, e FROM (SELECT *, e - lag(e) OVER (PARTITION BY doc_id ORDER BY e) AS gap FROM marks) WHERE gap IS NULL OR gap >= {QUIET}),
+ends AS (SELECT doc_id, e FROM spaced UNION SELECT doc_id, n FROM d WHERE n > 0),
+parts AS (SELECT doc_id, e, lag(e, 1, 0) OVER w AS b, row_number() OVER w AS i FROM ends WINDOW w AS (PARTITION BY doc_id ORDER BY e)),
+chunks AS MATERIALIZED (SELECT p.doc_id, p.i, p.b, p.e, substr(d.h, 2 * p.b + 1, 2 * (p.e - p.b)) AS c FROM parts p JOIN d ON d.doc_id = p.doc_id),
+firsts AS (SELECT c, min(doc_id) AS source FROM chunks GROUP BY c HAVING min(doc_id) < max(doc_id)),
+copies AS MATERIALIZED (SELECT k.doc_id, k.i, k.b, k.e, f.source, k.i - row_number() OVER (PARTITION BY k.doc_id ORDER BY k.i) AS run FROM chunks k JOIN firsts f ON f.c = k.c WHERE k.doc_id > f.source),
+runs AS (SELECT doc_id, run, min(b) AS a, max(e) AS z, list(source) AS sources FROM copies GROUP BY doc_id, run HAVING max(e) - min(b) >= {MIN_SPAN}),
+gaps AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS g FROM runs),
+cut AS (SELECT x.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, list_sort(list_distinct(flatten(list(sources)))) AS copied_from, string_agg(substr(h, 2 * g + 1, 2 * (a - g)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM gaps x JOIN d ON d.doc_id = x.doc_id GROUP BY x.doc_id),
+n AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_copies FROM copies GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n.n_chunks, 0) AS n_chunks, coalesce(m.n_copies, 0) AS n_copies, CAST(coalesce(cut.n_removed, 0) AS BIGINT) AS n_removed, coalesce(cut.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(cut.kept, d.h))) AS kept_sha256, coalesce(cut.copied_from, []) AS copied_from
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""

@@ -89,5 +89,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash": minhash.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_quality_rules": quality.ORACLE,
+    "op9_content_chunks": chunks.ORACLE,
     "op10_projection_forest": forest.ORACLE,
 }
