@@ -1,5 +1,6 @@
 """The entry's only guard: the llm folders may be absent, but not broken."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -10,7 +11,9 @@ COUNT = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()
 
 
 def run(folder):
-    return subprocess.run([sys.executable, "-c", COUNT], cwd=folder, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(folder)}, capture_output=True, text=True, timeout=120)
+    others = [p for p in os.environ.get("PYTHONPATH", "").split(":") if p and Path(p).resolve() != ROOT]
+    env = os.environ | {"PYTHONPATH": ":".join([str(folder), *others])}
+    return subprocess.run([sys.executable, "-c", COUNT], cwd=folder, env=env, capture_output=True, text=True, timeout=120)
 
 
 def test_without_and_with_broken_llm(tmp_path):
