@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusq.plans.once import free_name
 from corpusq.schema import RAW
 
 
@@ -13,9 +14,19 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 
 def sample_exact(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly k rows (or all), uniform and repeatable: the k least seeded digests, as a top-k."""
-    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    return df.withColumn("_digest", digest).orderBy("_digest", key).limit(k).drop("_digest")
+    """Exactly k rows (or all), uniform and repeatable: the k least seeded digests, as a top-k.
+
+    A bound on the digest, from the number of rows, keeps a task from sending more than its share of the k; if by chance
+    it leaves fewer than k, it isn't used.
+    """
+    name = free_name(df, "digest")
+    rows = df.withColumn(name, F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    share = (k + 8 * k**0.5 + 100) / max(df.count(), 1)
+    if share < 0.5:
+        some = rows.where(F.col(name) < f"{int(share * (1 << 128)):032x}")
+        if some.select(name).count() >= k:
+            rows = some
+    return rows.orderBy(name, key).limit(k).drop(name)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, sinks, cleaning, duplicates, anomalies, simulation and streaming."""
 
+import hashlib
 import json
 import random
 from collections import Counter
@@ -134,6 +135,14 @@ def test_jaccard_documents_have_every_copy(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 0), (3, 1, 0), (4, 4, 1), (5, 4, 1), (6, 6, 1), (7, 7, 0), (8, 8, 0), (9, 9, 0)]
 
 
+def test_sample_is_the_same_with_and_without_a_bound(spark):
+    df = spark.range(5000).selectExpr("id AS review_id", "1 AS digest")
+    least = sorted(range(5000), key=lambda i: hashlib.md5(f"42-{i}".encode()).hexdigest())
+    for k in (1, 20, 700, 4000, 6000):
+        got = readers.sample_exact(df, k, "review_id")
+        assert got.columns == df.columns and sorted(r.review_id for r in got.collect()) == sorted(least[:k])
+
+
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
