@@ -35,6 +35,7 @@ BLOCK = 1 << 20
 TOP = 200  # values are clipped here
 MEMORY = 64 << 20
 SORT_ROWS = 1 << 20
+SPILL = 1 << 16  # no queue writes less than this at a time
 PAD = 64
 
 
@@ -79,7 +80,7 @@ class Queue:
         self.count += len(pos)
         self.held += 5 * len(pos)
         self.budget[0] -= 5 * len(pos)
-        if self.budget[0] < 0 and self.held > 1 << 16:
+        if self.budget[0] < 0 and self.held > SPILL:
             if self.file is None:
                 self.file = tempfile.TemporaryFile()
                 self.sizes = []

@@ -7,7 +7,7 @@ are sorted, in shards that are independent of each other:
 1. Anchors. In each window of LENGTH bytes the leftmost of the least hashes of its GRAM-byte strings
    is the window's anchor; equal windows have equal anchors at equal offsets. Windows of a document
    with the same anchor are adjacent, and the bytes they cover are the anchor's context (about one
-   per 18 bytes). Contexts go by their anchor's hash to a part, as packed records of 33 bytes with a
+   per 14 bytes). Contexts go by their anchor's hash to a part, as packed records of 33 bytes with a
    128-bit digest of the context; of equal contexts in one batch only those of the smallest document travel on.
 2. Anchors of a single document are dropped. Of equal contexts all but those of the smallest document
    are copies as a whole. What is left are the distinct contexts of anchors that have several.
@@ -50,15 +50,16 @@ from corpusq.llm.batches import slices, text_bytes
 from corpusq.plans.workspace import Workspace
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 TABLE = np.random.default_rng(20240202).integers(0, 1 << 63, 256, np.uint64)
 FACTOR = 0x9E3779B97F4A7C15
 SEPARATOR = b"\xff"  # in no UTF-8 text
 RECORD = np.dtype([("gram", "<u4"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
 MAX_TASKS = 50_000
+BATCH_BYTES = 6 << 20
 SAMPLE_BYTES = 8 << 20
 HOT_SHARE, HOT_LEAST = 0.002, 8  # of the sampled documents
 HOT_BITS = 20
@@ -66,11 +67,15 @@ HOT_BITS = 20
 
 def gram_hashes(text: bytes) -> np.ndarray:
     """A hash of each GRAM-byte string of a text."""
+    join = lambda a, b, width, size: a[: len(text) - size + 1] * np.uint64(pow(FACTOR, size - width, 1 << 64)) + b[width : len(text) - size + 1 + width]
     h = TABLE[np.frombuffer(text, np.uint8)]
-    width = 1
-    while width < GRAM:
-        h = h[:-width] * np.uint64(pow(FACTOR, width, 1 << 64)) + h[width:]
-        width *= 2
+    width, parts = 1, []
+    while 2 * width <= GRAM:
+        parts.append((width, h))
+        h, width = join(h, h, width, 2 * width), 2 * width
+    for more, part in reversed(parts):
+        if width + more <= GRAM:
+            h, width = join(h, part, width, width + more), width + more
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h
@@ -126,7 +131,7 @@ def hot_slots(docs: DataFrame, total_bytes: int) -> np.ndarray | None:
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held >= floor), pa.int64())], ["slot"])
 
     sample = docs.select("text").sample(min(1.0, SAMPLE_BYTES / max(1, total_bytes)), seed=7) if total_bytes > SAMPLE_BYTES else docs.select("text")
-    slots = sample.coalesce(1).mapInArrow(count, "slot long").toArrow()["slot"].to_numpy()
+    slots = sample.repartition(1).mapInArrow(count, "slot long").toArrow()["slot"].to_numpy()
     if not len(slots):
         return None
     hot = np.zeros(1 << HOT_BITS, bool)
@@ -159,24 +164,28 @@ def _anchor_stage(parts: int, hot: np.ndarray | None) -> Callable[[Iterator[pa.R
         start, count, gram, digest = [], [], [], []
         for x in texts:
             s, n, g = anchors(x, hot)
-            digest += [xxhash.xxh3_128_digest(x[i:j]) for i, j in zip(s.tolist(), (s + n + (LENGTH - 1)).tolist())]
-            start.append(s)
-            count.append(n)
+            digest.append(b"".join([xxhash.xxh3_128_digest(x[i:j]) for i, j in zip(s.tolist(), (s + n + (LENGTH - 1)).tolist())]))
+            start.append(s.astype(np.uint32))
+            count.append(n.astype(np.uint8))
             gram.append(g)
-        if not digest:
+        if not any(digest):
             return
         f = {"at": np.concatenate(start), "n": np.concatenate(count), "gram": np.concatenate(gram), "doc": np.repeat(np.array(ids, np.int64), [len(x) for x in start])}
-        f["low"], f["high"] = np.frombuffer(b"".join(digest), "<u8").reshape(-1, 2).T
+        both = np.frombuffer(b"".join(digest), "<u8").reshape(-1, 2)
+        del digest, start, count, gram
+        f["low"], f["high"] = both[:, 0].copy(), both[:, 1].copy()
+        del both
         copy = _not_first(f["low"], f["high"], f["doc"])
         part = ((f["gram"] >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
         rest = np.flatnonzero(~copy)
         rest = rest[np.argsort(part[rest], kind="stable")]
         part = part[rest].astype(np.int32)
         ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
-        columns = {name: np.ascontiguousarray(f[name][rest].astype(RECORD[name])) for name in RECORD.names}
+        k, windows, docs = len(ends), _packed(f["at"][copy], f["n"][copy]), f["doc"][copy].astype("<i8").tobytes()
+        columns = {name: f.pop(name)[rest].astype(RECORD[name]) for name in RECORD.names}
         blobs = [b"".join(columns[name][i:j].tobytes() for name in RECORD.names) for i, j in zip([0, *ends], ends)]
-        k, windows = len(ends), _packed(f["at"][copy], f["n"][copy])
-        docs = pa.array([None] * k + [f["doc"][copy].astype("<i8").tobytes()], pa.binary())
+        del columns
+        docs = pa.array([None] * k + [docs], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [pa.array([*part[ends - 1].tolist(), (ids[0] ^ ids[-1]) % parts], pa.int32()), pa.array([*blobs, None], pa.binary()), docs, pa.array([None] * k + [windows.astype("<i8").tobytes()], pa.binary())],
             ["part", "records", "docs", "windows"],
@@ -185,13 +194,15 @@ def _anchor_stage(parts: int, hot: np.ndarray | None) -> Callable[[Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
-                ids.append(i)
-                texts.append(x)
-                size += len(x)
-                if size >= 24 << 20:
-                    yield from emit(ids, texts)
-                    ids, texts, size = [], [], 0
+            for at in range(0, b.num_rows, 500):
+                some = b.slice(at, 500)
+                for i, x in zip(some.column(0).to_pylist(), text_bytes(some.column(1))):
+                    ids.append(i)
+                    texts.append(x)
+                    size += len(x)
+                    if size >= BATCH_BYTES:
+                        yield from emit(ids, texts)
+                        ids, texts, size = [], [], 0
         yield from emit(ids, texts)
 
     return run
@@ -234,8 +245,8 @@ def _context_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         f = _fields(blobs)
         del blobs
-        copy = _not_first(f["low"], f["high"], f["doc"])
-        window = _packed(f["at"], f["n"])
+        copy = _not_first(f.pop("low"), f.pop("high"), f["doc"])
+        window = _packed(f.pop("at"), f.pop("n"))
         yield _facts(f["doc"][copy], window[copy])
         # of an anchor's other contexts those of one document can't be copies of each other
         rest = np.flatnonzero(~copy)
