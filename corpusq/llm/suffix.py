@@ -380,7 +380,7 @@ def dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
     by_bytes = lambda n, size: max(-(-n // size), min(2 * cores, -(-n // (1 << 20))), 1)
     parts = by_bytes(total, PART_BYTES)
     packed = named.mapInArrow(_anchor_stage(parts, hot_slots(named, total)), "part int, records binary, docs binary, windows binary")
-    packed = packed.repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
+    packed = packed.repartitionById(min(parts, MAX_TASKS), F.col("part")).sortWithinPartitions("part")
     kind = "doc_id long, window long, shard long"
     facts = ws.save("facts", packed.mapInArrow(_context_stage, kind))
 
@@ -389,7 +389,7 @@ def dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
     shards = by_bytes(open_.agg(F.sum(F.col("window").bitwiseAND(255) + LENGTH)).first()[0] or 0, SHARD_BYTES)
     opened = open_.groupBy("doc_id").agg(F.collect_list("window").alias("open"), F.collect_list("shard").alias("shard"))
     contexts = zipped.join(opened, "doc_id").select("doc_id", "z", "open", "shard").mapInArrow(_text_stage(shards), "part int, contexts binary")
-    resolved = contexts.repartition(min(shards, MAX_TASKS), "part").sortWithinPartitions("part").mapInArrow(_sort_stage, kind)
+    resolved = contexts.repartitionById(min(shards, MAX_TASKS), F.col("part")).sortWithinPartitions("part").mapInArrow(_sort_stage, kind)
     resolved = ws.save("resolved", resolved)
 
     copied = facts.where("shard < 0").unionByName(resolved).groupBy("doc_id").agg(F.collect_list("window").alias("copied"))
