@@ -98,7 +98,7 @@ def test_empty_table(spark):
 
 def test_nulls_repeats_and_long_texts(spark):
     rng = random.Random(31)
-    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
     license_, copied, long = "all rights reserved by the owners of this site", text(80), text(150_000)
     rows = [
         (1, copied, "en", "src1"),
