@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.llm import bpe, chat, chunks, forest, linededup, minhash, mixing, quality, suffix, warc
+from corpusq.plans.once import widen
 from corpusq.plans.workspace import Workspace
 
 
@@ -41,7 +42,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"))
+    return bpe.digests(widen(_table(spark, sf_dir, "documents")))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(_table(spark, sf_dir, "documents"))
+    return quality.measure(widen(_table(spark, sf_dir, "documents")))
 
 
 def op9_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
