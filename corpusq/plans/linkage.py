@@ -24,9 +24,9 @@ from corpusq.plans.components import connected_components
 from corpusq.plans.once import spread
 from corpusq.plans.workspace import Workspace
 
-ROWS = 2048
-BLOCK = 1 << 20
-STEP = 1 << 21
+ROWS = 1024
+BLOCK = 1 << 19
+STEP = 1 << 19
 COLUMNS = 512
 
 
