@@ -40,9 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusq.llm.batches import text_bytes
+from corpusq.llm.batches import pieces, text_bytes
 
-KEEP_ENTRIES = 200_000
+KEEP_ENTRIES = 100_000
 KEEP_BYTES = 64
 #: Letters are ASCII or U+00C0 to U+017F without the signs among them.
 ONE_PIECE = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+| ?[0-9]+")
@@ -171,7 +171,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or default_path())
-        for b in batches:
+        for b in pieces(batches, 1):
             n, ids_sha, text_sha = [], [], []
             for x in text_bytes(b.column(1)):
                 ids = c.encode(x)

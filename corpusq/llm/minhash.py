@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corpusq.llm.batches import text_bytes
+from corpusq.llm.batches import pieces, text_bytes
 from corpusq.llm.shingles import shingle_set
 from corpusq.plans.linkage import similar_components
 from corpusq.plans.once import free_name
@@ -94,7 +94,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, n_shingles, d1, d2 (digest of the set), bands."""
-    for b in batches:
+    for b in pieces(batches, 1):
         sets = [shingle_set(x) for x in text_bytes(b.column(1))]
         full = [i for i, s in enumerate(sets) if len(s)]
         keys, d1, d2 = ([None] * len(sets) for _ in range(3))
@@ -112,7 +112,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, text -> node, n, elements: the full set of shingles."""
-    for b in batches:
+    for b in pieces(batches, 1):
         sets = [shingle_set(x) for x in text_bytes(b.column(1))]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "elements"])
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusq.llm.batches import text_bytes
+from corpusq.llm.batches import pieces, text_bytes
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -112,7 +112,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, at):
             yield b.filter(pa.array([judge(x, rules)[KEPT] for x in text_bytes(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
