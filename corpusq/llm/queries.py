@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import bpe, chat, chunks, forest, linededup, minhash, mixing, quality, suffix, warc
+from corpusq.llm import bpe, chat, chunks, forest, importance, linededup, minhash, mixing, personal, quality, spelling, suffix, warc
 from corpusq.plans.once import widen
 from corpusq.plans.workspace import Workspace
 
@@ -69,6 +69,18 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(_table(spark, sf_dir, "embeddings"), Workspace(spark, "op10"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(widen(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), Workspace(spark, "op11"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(widen(_table(spark, sf_dir, "documents")), Workspace(spark, "op12"), damage=spelling.DAMAGE)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(widen(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op1_line_dedup_all": op1_line_dedup_all,
@@ -81,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_content_chunks": op9_content_chunks,
     "op10_projection_forest": op10_projection_forest,
+    "op11_importance": op11_importance,
+    "op12_spelling": op12_spelling,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +107,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": quality.ORACLE,
     "op9_content_chunks": chunks.ORACLE,
     "op10_projection_forest": forest.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op12_spelling": spelling.oracle(importance.crc_sql),
+    "op13_personal_data": personal.ORACLE,
 }
