@@ -153,3 +153,39 @@ def gold(too_short=30, unknown=0, duplicates="members", **clean):
 
 
 GOLD = gold()
+
+
+_MARK = r"[^\s\x0b\x{85}\p{Z}\p{L}\p{N}]"
+_PIECE = "''s|''t|''re|''ve|''m|''ll|''d| ?\\p{L}+| ?\\p{N}+| ?" + _MARK + f"+|{WS}+"
+#: Of a run of white space before a word, the last character is parted from the others first.
+_PARTS = rf"string_split(regexp_replace(%s, '({WS})({WS}[^\s\x0b\x{{85}}\p{{Z}}])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+_PIECES = f"flatten(list_transform({_PARTS}, lambda part: regexp_extract_all(part, '{_PIECE}')))"
+
+
+def byte_pairs(path: str) -> str:
+    """CTEs with the tokens n of every piece p that occurs in documents or in a word of them; merges go by rank, leftmost first, one a round."""
+    return f"""ranks AS MATERIALIZED (SELECT from_base64(token) AS token, rank FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'token': 'VARCHAR', 'rank': 'BIGINT'}})),
+words_of AS (SELECT DISTINCT unnest(string_split_regex(text, '{WS}+')) AS w FROM documents),
+pieces_of AS MATERIALIZED (SELECT DISTINCT p FROM (SELECT unnest({_PIECES % "text"}) AS p FROM documents UNION ALL SELECT unnest({_PIECES % "w"}) FROM words_of UNION ALL SELECT unnest({_PIECES % "(' ' || w)"}) FROM words_of UNION ALL SELECT ' ')),
+merging AS (
+  SELECT p, list_transform(range(1, 2 * strlen(p) + 1, 2), lambda i: unhex(hex(encode(p))[i:i + 1])) AS t FROM pieces_of
+  UNION ALL
+  SELECT p, t[:i - 1] || [t[i] || t[i + 1]] || t[i + 2:] FROM (
+    SELECT p, t, arg_min(i, (rank, i)) AS i FROM (SELECT p, t, i, t[i] || t[i + 1] AS token FROM merging, unnest(range(1, len(t))) AS u(i)) JOIN ranks USING (token) GROUP BY p, t)
+),
+piece_tokens AS MATERIALIZED (SELECT p, min(len(t)) AS n FROM merging GROUP BY p)"""
+
+
+def byte_pair_count(c: str) -> str:
+    return f"(SELECT coalesce(sum(n), 0) FROM (SELECT unnest({_PIECES % c}) AS p) JOIN piece_tokens USING (p))"
+
+
+def with_byte_pairs(sql: str, path: str) -> str:
+    """SQL that counts by the pattern, made to count byte pairs; packed words have a space behind them."""
+    head, tail = TOKENS.split("%s")
+    first, *rest = sql.split(head)
+    out = [first]
+    for part in rest:
+        c, after = part.split(tail, 1)
+        out.append(byte_pair_count("(w[j] || ' ')" if c == "w[j]" else c) + after)
+    return "".join(out).replace("WITH RECURSIVE ", f"WITH RECURSIVE {byte_pairs(path)}, ", 1)

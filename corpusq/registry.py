@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq import oracle
-from corpusq.functions import pii, text
+from corpusq.functions import bpe, pii, text
 from corpusq.functions import sql as sql_functions
 from corpusq.functions.chunk import chunk_table
 from corpusq.functions.score import API, CLI, STAGED
@@ -173,6 +173,30 @@ def t02_text_functions(spark, sf_dir):
 _CONV = f"WITH RECURSIVE silver AS (SELECT CAST(doc_id AS VARCHAR) AS review_id, text, CAST({T('text')} AS INTEGER) AS token_count FROM documents WHERE {_S} <> ''), {oracle.CHUNKS.strip()} "
 
 
+try:
+    import public_tokenizers
+
+    RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+except ImportError:  # without vocabularies there are no counts by them
+    RANKS = None
+
+
+def _byte_pairs(spark: SparkSession) -> pipeline.Tokens:
+    return pipeline.Tokens.of(bpe.BytePairs.load(spark, f"file://{RANKS}"))
+
+
+if RANKS:
+
+    @query(WITH + oracle.byte_pairs(RANKS) + f" SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST({oracle.byte_pair_count('text')} AS INTEGER) END AS tokens FROM documents")
+    def t01_bpe_tokens(spark, sf_dir):
+        return widen(table(spark, sf_dir, "documents")).select("doc_id", _byte_pairs(spark).column(F.col("text")).alias("tokens"))
+
+    @query(oracle.with_byte_pairs(oracle.GOLD, RANKS) + "SELECT review_id, token_count, chunk_count, avg_chunk_tokens, min_chunk_tokens, max_chunk_tokens, chunk_quality_flag, index_readiness_score, recommendation FROM gold")
+    def t15_scored_staged_bpe(spark, sf_dir):
+        df = pipeline.scored(raw_wide(spark, sf_dir), GOLD, tokens=_byte_pairs(spark))
+        return df.select("review_id", "token_count", "chunk_count", "avg_chunk_tokens", "min_chunk_tokens", "max_chunk_tokens", "chunk_quality_flag", "index_readiness_score", "recommendation")
+
+
 @query(_CONV + "SELECT review_id, chunk_id, text, tokens, sentences FROM chunks")
 def t04_chunks(spark, sf_dir):
     return chunk_table(widen(table(spark, sf_dir, "documents")).withColumn("review_id", F.col("doc_id").cast("string")), "review_id")
