@@ -116,13 +116,13 @@ def _grouped(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """dealt: key, i, j, side, node, component; the sets join after the deal, so a set moves once per block it meets."""
     full = dealt.join(sets.select("node", "elements"), "node").select("key", "i", "j", "side", "node", "component", "elements")
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_grouped(percent), "a long, b long")
 
 
-def _parts() -> Column:
+def block_parts() -> Column:
     """How many parts a group of sets needs (an aggregate over n)."""
     return F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count(F.lit(1)) / ROWS)).cast("int")
 
@@ -139,16 +139,16 @@ def similar_components(ws: Workspace, keyed: DataFrame, sets_of: Callable[[DataF
     sizes = sets.groupBy("node").agg(F.sum("n").alias("n"))  # a node may have several sets
 
     first = members.where("node <> center").groupBy("node").agg(F.min("center").alias("key")).join(sizes, "node")
-    parts = first.groupBy("key").agg(_parts().alias("parts"))
+    parts = first.groupBy("key").agg(block_parts().alias("parts"))
     first = first.join(spread(parts), "key")
     rim = first.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"), "node", F.col("node").alias("component"))
     hub = parts.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("key").alias("node"), F.col("key").alias("component"))
-    confirmed = ws.save("links-1", _compared(rim.unionByName(hub), sets, percent))
+    confirmed = ws.save("links-1", compared(rim.unionByName(hub), sets, percent))
     found = ws.save("found-1", connected_components(ws, confirmed, "cc-a"))
 
     labelled = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = labelled.join(sizes, "node")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), _parts().alias("blocks")).where("low < high").select("key", "blocks")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), block_parts().alias("blocks")).where("low < high").select("key", "blocks")
     rest = labelled.join(spread(mixed), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = rest.select(
@@ -159,7 +159,7 @@ def similar_components(ws: Workspace, keyed: DataFrame, sets_of: Callable[[DataF
         "node",
         "component",
     )
-    more = ws.save("links-2", _compared(ws.save("dealt", dealt), sets, percent))
+    more = ws.save("links-2", compared(ws.save("dealt", dealt), sets, percent))
     for name in ("members", "sets", "dealt"):
         ws.drop(name)
     edges = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))

@@ -14,6 +14,7 @@ from corpusq.functions import sql as sql_functions
 from corpusq.functions.chunk import chunk_table
 from corpusq.functions.score import API, CLI, STAGED
 from corpusq.operators import anomaly, clean, duplicates, reports, simulate
+from corpusq.operators.similar_index import SimilarIndex
 from corpusq.plans import pipeline
 from corpusq.plans.once import once, widen
 from corpusq.plans.workspace import Workspace
@@ -300,6 +301,40 @@ def t28_verified_clusters(spark, sf_dir):
     return df.join(found.withColumnRenamed("id", "review_id"), "review_id", "left").select("review_id", F.col("cluster").isNotNull().alias("is_duplicate"), "cluster")
 
 
+@query(_VERIFIED + "SELECT review_id, is_duplicate, CASE WHEN is_duplicate THEN cluster END AS cluster FROM gold")
+def j02_index_increments(spark, sf_dir):
+    """The clusters of `t28_verified_clusters` from an index that took the documents in four batches."""
+    ws = Workspace(spark, "increments")
+    df = ws.save("silver", clean.clean(raw_wide(spark, sf_dir)).select("review_id", "text"))
+    index = SimilarIndex(spark, f"{ws.path}/index")
+    for i in range(4):
+        index.insert(df.where(F.pmod(F.xxhash64("review_id"), F.lit(4)) == i))
+    return df.join(index.clusters(ws).withColumnRenamed("id", "review_id"), "review_id", "left").select("review_id", F.col("cluster").isNotNull().alias("is_duplicate"), "cluster")
+
+
+#: Rows whose id is divisible by 100 against an index of all others.
+_MATCHES = WITH + oracle.silver() + ", " + oracle.VERIFIED.strip() + """,
+asked AS (SELECT review_id, text FROM silver WHERE CAST(review_id AS BIGINT) % 100 = 0),
+held AS MATERIALIZED (SELECT text, min(review_id) AS least FROM silver WHERE CAST(review_id AS BIGINT) % 100 <> 0 GROUP BY text),
+held_id AS MATERIALIZED (SELECT t.id, h.least FROM held h JOIN texts_of t USING (text)),
+edge AS MATERIALIZED (SELECT e.a, e.b FROM near_both e JOIN held_id x ON x.id = e.a JOIN held_id y ON y.id = e.b),
+spread AS (SELECT id, id AS root FROM held_id UNION SELECT e.b, s.root FROM spread s JOIN edge e ON e.a = s.id),
+named AS MATERIALIZED (SELECT s.id, min(h.least) AS name FROM spread s JOIN held_id h ON h.id = s.root GROUP BY s.id),
+met AS (SELECT q.review_id, n.name FROM asked q JOIN texts_of t USING (text) JOIN named n ON n.id = t.id
+  UNION SELECT q.review_id, n.name FROM asked q JOIN texts_of t USING (text) JOIN near_both e ON e.a = t.id JOIN named n ON n.id = e.b)
+SELECT q.review_id, min(name) AS cluster, count(name) AS n_clusters FROM asked q LEFT JOIN met USING (review_id) GROUP BY q.review_id"""
+
+
+@query(_MATCHES)
+def j02_index_matches(spark, sf_dir):
+    ws = Workspace(spark, "matches")
+    df = ws.save("silver", clean.clean(raw_wide(spark, sf_dir)).select("review_id", "text"))
+    asked = F.col("review_id").cast("long") % 100 == 0
+    index = SimilarIndex(spark, f"{ws.path}/index")
+    index.insert(df.where(~asked))
+    return index.query(df.where(asked)).withColumnRenamed("id", "review_id")
+
+
 @query(_VERIFIED + "SELECT CAST(count(DISTINCT cluster) FILTER (is_duplicate) AS BIGINT) AS clusters, count(*) FILTER (is_duplicate) AS duplicates, coalesce(count(*) FILTER (is_duplicate)::DOUBLE / nullif(count(DISTINCT cluster) FILTER (is_duplicate), 0), 0) AS mean_size FROM gold")
 def a17_verified_clusters(spark, sf_dir):
     ws = Workspace(spark, "verified")
