@@ -29,7 +29,7 @@ _S = "[" + regex.escape(BLANKS) + "]"
 _NO = "[^" + regex.escape(BLANKS) + r"\p{L}\p{N}]"
 #: Fixed pattern: the pieces of a text.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?{_NO}++|{_S}+(?![^{regex.escape(BLANKS)}])|{_S}+")
-SHORT, KEEP_ENTRIES, KEEP_CHARS, AT_ONCE = 64, 1 << 18, 32, 1 << 20
+SHORT, KEEP_ENTRIES, KEEP_CHARS, AT_ONCE = 64, 200_000, 32, 1 << 20
 NONE = 1 << 62  # in place of a rank
 
 
@@ -39,15 +39,16 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class Counted(dict):
-    """Pieces and their tokens, counted when first asked for; emptied when full. Long pieces aren't kept."""
+    """Pieces and their tokens, counted when first asked for. When full, what wasn't asked for since the last time goes; long pieces aren't kept."""
 
     def __init__(self, merged: Callable[[bytes], int]) -> None:
-        self.merged = merged
+        self.merged, self.old = merged, {}
 
     def __missing__(self, piece: str) -> int:
-        n = self.merged(piece.encode("utf-8", "surrogatepass"))
+        n = self.old.get(piece) or self.merged(piece.encode("utf-8", "surrogatepass"))
         if len(piece) <= KEEP_CHARS:
             if len(self) >= KEEP_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = n
         return n

@@ -5,6 +5,8 @@ The row features need no state, so the batch plan applies to a stream as it is.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,9 +16,9 @@ from corpusq.operators.clean import validate_batches, validate_requests
 from corpusq.plans.pipeline import score_rows
 
 
-def score_stream(requests: DataFrame, v: Variant = API) -> DataFrame:
-    """Responses to the valid requests of a (streaming) table with review_id, text, stars."""
-    return score_rows(validate_requests(requests).where("error is null").drop("error"), v)
+def score_stream(requests: DataFrame, v: Variant = API, keep: Sequence[str] = ()) -> DataFrame:
+    """Responses to the valid requests of a (streaming) table with review_id, text, stars. keep: columns that pass through."""
+    return score_rows(validate_requests(requests).where("error is null").drop("error"), v, keep)
 
 
 def rejected_stream(requests: DataFrame) -> DataFrame:
