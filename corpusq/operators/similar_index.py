@@ -111,17 +111,20 @@ class SimilarIndex:
         posts: key, node of the new nodes. Of a node's links with one component the first comes out.
         """
         touched = posts.select("key").distinct()
-        old = ws.save("touched", self.table("posts").select("key", "node").join(touched, "key", "left_semi"))
-        roots = ws.save("touched-roots", self.roots(old.select("node").distinct(), ws, "root"))
-        old_sets = self.table("sets").join(roots.select("node"), "node", "left_semi")
-        all_sets = ws.save("met", sets.select("node", "n", "elements").unionByName(old_sets))
-        sizes = all_sets.select("node", "n")
-        members = old.join(roots, "node").select("key", "node", F.col("root").alias("component"), F.lit(False).alias("fresh"))
-        members = members.unionByName(posts.select("key", "node", F.col("node").alias("component"), F.lit(True).alias("fresh")))
+        old = self.table("posts").select("key", "node").join(touched, "key", "left_semi")
+        met = ws.save("met", posts.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False))))
+        several = met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+        met = ws.save("shared", met.join(several, "key", "left_semi"))  # few buckets have two members
+        ws.drop("met")
+        roots = ws.save("touched-roots", self.roots(met.where("not fresh").select("node").distinct(), ws, "root"))
+        all_sets = sets.select("node", "n", "elements").unionByName(self.table("sets"))
+        sizes = all_sets.select("node", "n").join(met.select("node").distinct(), "node", "left_semi")
+        members = met.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
         members = ws.save("buckets", members.join(sizes, "node"))
+        ws.drop("shared")
 
         if among:
-            first = ws.save("links-1", self._stars(members, sizes, all_sets))
+            first = ws.save("links-1", self._stars(members, all_sets))
             top = ws.save("found", connected_components(ws, self._between_roots(first, roots), "cc-links").select(F.col("node").alias("component"), F.col("component").alias("top")))
             labelled = members.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
         else:
@@ -144,11 +147,11 @@ class SimilarIndex:
         second = ws.save("links-2", compared(dealt, all_sets, self.percent))
         return first.unionByName(second) if among else second, roots
 
-    def _stars(self, members: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    def _stars(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b of the confirmed links of each new node with the first of the centres (a bucket's first node) of its buckets."""
         centers = members.groupBy("key").agg(F.min_by(F.struct("node", "component"), "node").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
         rays = members.where("fresh").join(spread(centers), "key").where("node <> c.node")
-        rays = rays.groupBy("node").agg(F.min_by("c", "c.node").alias("c")).join(sizes, "node")
+        rays = rays.groupBy("node").agg(F.min_by("c", "c.node").alias("c"), F.first("n").alias("n"))
         rays = rays.select("node", "n", F.col("c.node").alias("key"), F.col("c.component").alias("component"))
         stars = rays.groupBy("key").agg(block_parts().alias("parts"), F.first("component").alias("component"))
         place = (F.lit(0).alias("j"), F.lit(1).alias("side"), "node", F.col("node").alias("component"))
