@@ -1,14 +1,15 @@
 """Mixing sources to target weights with hierarchical budgets and seeded epochs.
 
 Documents hang in a tree of levels (domain, language, source). A node's budget of tokens is shared
-among its children in proportion to their weights; a child can take at most its subtree's tokens
-times max_epochs. What a child can't take goes to its siblings, again by weight, and leaves the
+among its children in proportion to their weights; a child can take at most max_epochs times the tokens of its
+subtree's leaves that have a positive weight on every level below it. What a child can't take goes to its siblings, again by weight, and leaves the
 parent only if all children are full. So a shortage is made up among siblings before ancestors.
 For children with weights w and capacities c the share is min(c, rate * w), where rate makes the sum
 the budget; it follows in closed form from prefix sums over children ordered by c / w.
 
 A leaf then takes whole epochs, and of the next epoch a prefix: that epoch's documents in the order
-of a seeded hash, as long as their running token sum stays within the rest. A hot leaf is never
+of a seeded hash, as long as their running token sum stays within the rest; what its next document is too large for (and
+the part of a token in a share) is not passed on. A hot leaf is never
 sorted whole: token sums per bucket of the hash range show in which bucket the prefix ends, and only
 that bucket (of at most about BUCKET_ROWS rows) is ordered, for a cutoff. The documents themselves are then
 compared with their leaf's cutoff and don't move. A leaf of n rows has about the square root of n
@@ -24,6 +25,7 @@ columns are ignored by `choose` and kept by `mix`, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,13 +62,18 @@ def share(children: DataFrame, parent: list[str]) -> DataFrame:
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[str, float]], budget: float, max_epochs: int) -> DataFrame:
     """leaves (the levels, tokens) with column share: tokens to take of each leaf."""
     levels = list(levels)
+
+    def weight(depth: int) -> Column:
+        named = [x for k, v in weights[depth].items() for x in (F.lit(k), F.lit(float(v)))]
+        return F.coalesce(F.try_element_at(F.create_map(*named), F.col(levels[depth])), F.lit(1.0)) if named else F.lit(1.0)
+
     nodes = None
     for depth in range(1, len(levels) + 1):
         path, name = levels[:depth], levels[depth - 1]
-        level = leaves.groupBy(*path).agg((F.sum("tokens") * max_epochs).cast("double").alias("c"))
-        named = [x for k, v in weights[depth - 1].items() for x in (F.lit(k), F.lit(float(v)))]
-        w = F.coalesce(F.try_element_at(F.create_map(*named), F.col(name)), F.lit(1.0)) if named else F.lit(1.0)
-        level = level.withColumn("w", w).withColumn("child", F.col(name))
+        # a node can take what its leaves of positive weight on the whole way down have; the rest is no capacity
+        reached = reduce(lambda a, b: a & b, [weight(d) > 0 for d in range(depth, len(levels))], F.lit(True))
+        level = leaves.groupBy(*path).agg((F.sum(F.when(reached, F.col("tokens")).otherwise(0)) * max_epochs).cast("double").alias("c"))
+        level = level.withColumn("w", weight(depth - 1)).withColumn("child", F.col(name))
         if nodes is None:
             level = level.withColumn("budget", F.lit(float(budget)))
         else:

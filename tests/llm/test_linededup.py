@@ -3,9 +3,10 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import oracle
+import pytest
 from llm_fixtures import sentence
 
 from corpusq.llm import linededup, queries
@@ -14,7 +15,7 @@ from corpusq.plans.workspace import Workspace
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def plain(rows, min_docs=3):
+def plain(rows, min_docs=3, rounds=32):
     first = lambda d: (d is not None, d if d is not None else 0)
     lines = []
     for d, t in rows:
@@ -22,14 +23,25 @@ def plain(rows, min_docs=3):
             k = ["<*>" if re.search("[0-9]", x) else x for x in SPLIT.split(line) if x]
             if len(k) >= 5:
                 lines.append((d, p, tuple(k)))
-    leaf = {}
-    for d, p, k in sorted(lines, key=lambda r: (first(r[0]), r[1])):
-        leaf.setdefault((len(k), k[:4]), k)
-    groups = defaultdict(set)
-    for d, p, k in lines:
-        t = leaf[len(k), k[:4]]
-        same = 2 * sum(x == y for x, y in zip(k, t)) >= len(k)
-        groups[("L", len(k), k[:4]) if same else ("M", k)].add((d, p))
+    groups, rest = defaultdict(set), sorted(lines, key=lambda r: (first(r[0]), r[1]))
+    leaf = lambda k: (len(k), k[:4])
+    for i in range(rounds + 1):
+        crowd = Counter(leaf(k) for _, _, k in rest)
+        crowded = {x for x, n in crowd.items() if n >= min_docs}
+        if i == rounds:
+            break
+        template, left = {}, []
+        for d, p, k in rest:
+            t = template.setdefault(leaf(k), k) if leaf(k) in crowded else None
+            if t is not None and (t == k or 2 * sum(x == y for x, y in zip(k[4:], t[4:])) >= len(k) - 4):
+                groups["T", i, leaf(k)].add((d, p))
+            else:
+                left.append((d, p, k))
+        rest = left
+    places = Counter((leaf(k), i, k[i]) for _, _, k in rest if leaf(k) in crowded for i in range(4, len(k)))
+    for d, p, k in rest:
+        fixed = tuple((i, k[i]) for i in range(4, len(k)) if places[leaf(k), i, k[i]] >= min_docs)
+        groups[("G", leaf(k), fixed) if leaf(k) in crowded and 2 * len(fixed) >= len(k) - 4 else ("M", k)].add((d, p))
     gone = set()
     for at in groups.values():
         if len({d for d, _ in at}) >= min_docs:
@@ -126,3 +138,22 @@ def test_a_leaf_has_several_templates(spark, docs):
     many = [f"{shared} {c * 3} {c * 4} {c * 5} {c * 6}" for c in "abcdefgh"]
     got = linededup.report(docs(["\n".join(many)] * 3), Workspace(spark, "ld")).collect()
     assert sorted(r.n_dropped for r in got) == [0, 8, 8]
+
+
+def test_many_families_in_a_leaf(spark, docs):
+    """Eight families of five lines with one lead: each loses all lines but its first, whatever its turn."""
+    words = "amber birch cedar dune ember fjord grove heath".split()
+    rows = [(10 * f + i, f"all lines start alike {w} {w}s {w}ly {w}ness {'abcde'[i]}x") for f, w in enumerate(words) for i in range(5)]
+    rows.append(rows[-1])  # a repeated row changes nothing
+    got = {d: n for d, _, n, *_ in (tuple(r) for r in linededup.report(docs(rows), Workspace(spark, "ld")).collect())}
+    assert got == {d: int(d % 10 > 0) for d, _ in rows}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 32])
+def test_random_leaves_equal_plain(spark, docs, monkeypatch, rounds):
+    monkeypatch.setattr(linededup, "ROUNDS", rounds)
+    rng = random.Random(8)
+    rows = [(i, "\n".join("one lead for all " + " ".join(rng.choice("abcd" if rng.random() < 0.7 else "efghijklmnopqrst") for _ in range(rng.choice([3, 4, 6]))) for _ in range(6))) for i in range(60)]
+    rows += [rows[5], (None, rows[9][1]), (None, rows[9][1])]
+    got = sorted((tuple(r) for r in linededup.report(docs(rows), Workspace(spark, "ld")).collect()), key=str)
+    assert got == sorted(plain(rows, rounds=rounds), key=str) and 50 < sum(r[2] for r in got) < 370

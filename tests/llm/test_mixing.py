@@ -35,7 +35,8 @@ def plain_budgets(tokens, weights, budget, epochs):
         if len(prefix) == len(LEVELS):
             return {prefix: amount}
         names = sorted({k[len(prefix)] for k in tokens if k[: len(prefix)] == prefix})
-        cap = lambda n: epochs * sum(t for k, t in tokens.items() if k[: len(prefix) + 1] == (*prefix, n))
+        reached = lambda k: all(weights[d].get(k[d], 1.0) > 0 for d in range(len(prefix) + 1, len(LEVELS)))
+        cap = lambda n: epochs * sum(t for k, t in tokens.items() if k[: len(prefix) + 1] == (*prefix, n) and reached(k))
         got = fill(amount, {n: (weights[len(prefix)].get(n, 1.0), cap(n)) for n in names})
         return {k: v for n in names for k, v in down((*prefix, n), got[n]).items()}
 
@@ -122,3 +123,15 @@ def test_names_do_not_clash(spark, docs):
         mixing.choose(d, Workspace(spark, "mix"), ["epoch"], [{}])
     some = mixing.choose(d.select("doc_id", "text", F.col("lang").alias("rest"), F.col("source").alias("cutoff"), F.lit(1).alias("level_0")), Workspace(spark, "mix"), ["rest", "cutoff"], [{}, {}])
     assert some.columns == ["doc_id", "rest", "cutoff", "tokens", "epoch"] and some.count() == 43
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_what_a_weight_of_zero_bars_is_no_capacity(spark, level):
+    """Budgets that a barred child can't take go to its parent's siblings, on every level."""
+    barred = [("b", "x", "s"), ("a", "y", "s"), ("a", "x", "s2")][level]
+    rows = [("a", "x", "s", 100), (*barred, 900), ("c", "x", "s", 1000)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    weights = [{}, {}, {}]
+    weights[level] = {barred[level]: 0.0}
+    got = {tuple(r)[:3]: r.share for r in mixing.budgets(leaves, LEVELS, weights, 1000, 1).collect()}
+    assert got == {("a", "x", "s"): pytest.approx(100), barred: 0.0, ("c", "x", "s"): pytest.approx(900)}
