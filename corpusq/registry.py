@@ -478,31 +478,32 @@ _SEEN = "SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER
 
 @query(f"SELECT doc_id, doc_id <> first_id AS is_duplicate, CAST(first_id AS VARCHAR) AS first_id, rows_so_far FROM ({_SEEN})")
 def r01_stream_keep_first(spark, sf_dir):
-    """Documents in four triggers by doc_id; each is told apart from all that came before."""
+    """Documents in four steps by doc_id; each is told apart from all that came before."""
     ws = Workspace(spark, "stream")
-    rows = stateful.in_files(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{ws.path}/in", "doc_id", 4)
-    stateful.append(stateful.keep_first(rows, "doc_id"), f"{ws.path}/out", f"{ws.path}/checkpoint").awaitTermination()
+    for rows in stateful.arrivals(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{ws.path}/in", "doc_id", 4):
+        stateful.append(stateful.keep_first(rows, "doc_id"), f"{ws.path}/out", f"{ws.path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{ws.path}/out")
 
 
 @query(_API + "SELECT review_id, chunk_quality_flag, chunk_count, has_pii, pii_types, index_readiness_score, recommendation, min(CAST(review_id AS BIGINT)) OVER (PARTITION BY text) <> CAST(review_id AS BIGINT) AS is_duplicate FROM gold WHERE review_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE length(text) BETWEEN 10 AND 10000)")
 def r01_stream_scores(spark, sf_dir):
-    """The row scorer on a stream of requests in four triggers, with first-seen duplicates; texts stay behind, their digests go on."""
+    """The row scorer on a stream of requests in four steps, with first-seen duplicates; texts stay behind, their digests go on."""
     ws = Workspace(spark, "stream")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("review_id"), "text", F.lit(None).cast("double").alias("stars"))
-    rows = stateful.in_files(docs, f"{ws.path}/in", "doc_id", 4)
-    scores = scorer.score_stream(rows.withColumn("text_digest", stateful.digest(rows, "review_id")), keep=["doc_id", "text_digest"])
-    scores = scores.select("doc_id", "text_digest", "review_id", "chunk_quality_flag", "chunk_count", "has_pii", "pii_types", "index_readiness_score", "recommendation")
-    stateful.append(stateful.keep_first(scores, "doc_id"), f"{ws.path}/out", f"{ws.path}/checkpoint").awaitTermination()
+    for rows in stateful.arrivals(docs, f"{ws.path}/in", "doc_id", 4):
+        scores = scorer.score_stream(rows.withColumn("text_digest", stateful.digest(rows, "review_id")), keep=["doc_id", "text_digest"])
+        scores = scores.select("doc_id", "text_digest", "review_id", "chunk_quality_flag", "chunk_count", "has_pii", "pii_types", "index_readiness_score", "recommendation")
+        stateful.append(stateful.keep_first(scores, "doc_id"), f"{ws.path}/out", f"{ws.path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{ws.path}/out").drop("doc_id", "first_id", "rows_so_far")
 
 
 @query("SELECT count(*) AS total_requests, CAST(sum(event_id % 5) AS BIGINT) AS total_reviews_scored, floor(avg(value) * 100 + 0.5) / 100 AS average_response_time_ms FROM events")
 def r03_stream_stats(spark, sf_dir):
-    """The service statistics of `r03_service_stats` as running totals over four triggers."""
+    """The service statistics of `r03_service_stats` as running totals over four steps."""
     ws = Workspace(spark, "stats")
     log = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("endpoint"), F.pmod("event_id", F.lit(5)).alias("n_reviews"), F.col("value").alias("latency_ms"))
-    stateful.running_stats(stateful.in_files(log, f"{ws.path}/in", "event_id", 4), f"{ws.path}/out", f"{ws.path}/checkpoint").awaitTermination()
+    for rows in stateful.arrivals(log, f"{ws.path}/in", "event_id", 4):
+        stateful.running_stats(rows, f"{ws.path}/out", f"{ws.path}/checkpoint").awaitTermination()
     return stateful.latest(spark, f"{ws.path}/out")
 
 

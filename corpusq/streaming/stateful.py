@@ -21,21 +21,27 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SETTINGS = {
+    STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 @contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    """Streams started inside keep their state in RocksDB, whose memory is bounded for all stores of an executor together."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 class FirstSeen(StatefulProcessor):
@@ -132,13 +138,12 @@ def latest(spark: SparkSession, path: str, by: str = "endpoint") -> DataFrame:
     )
 
 
-def in_files(df: DataFrame, path: str, order: str, parts: int) -> DataFrame:
-    """df written as `parts` folders of rows in an order, one after the other, and read as a stream that takes one a trigger."""
+def arrivals(df: DataFrame, path: str, order: str, parts: int) -> Iterator[DataFrame]:
+    """A stream over a folder to which the rows of df come in `parts` steps by an order; each step is to be taken whole before the next."""
     spark = df.sparkSession
     cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
-    bounds = [None, *cuts, None]
-    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+    for low, high in zip([None, *cuts], [*cuts, None]):
         some = df if low is None else df.where(F.col(order) > low)
         some = some if high is None else some.where(F.col(order) <= high)
-        some.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        some.write.mode("append").parquet(path)
+        yield spark.readStream.schema(df.schema).parquet(path)

@@ -71,6 +71,9 @@ def test_running_stats_over_stops(spark, tmp_path):
     assert totals() == (5, 9, 16.25) and spark.conf.get(stateful.STORE, None) == before
 
 
-def test_files_are_a_stream_in_order(spark, tmp_path):
-    rows = stateful.in_files(spark.range(100).withColumn("x", F.lit(1)), f"{tmp_path}/in", "id", 4)
-    assert rows.isStreaming and spark.read.parquet(f"{tmp_path}/in").count() == 100
+def test_rows_arrive_in_order(spark, tmp_path):
+    seen = []
+    for rows in stateful.arrivals(spark.range(100), f"{tmp_path}/in", "id", 4):
+        assert rows.isStreaming
+        seen.append(spark.read.parquet(f"{tmp_path}/in").agg(F.max("id"), F.count("id")).first())
+    assert [m + 1 for m, _ in seen] == [n for _, n in seen] and seen[-1][1] == 100 and len(seen) == 4
