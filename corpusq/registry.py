@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from corpusq.functions import bpe, pii, text
 from corpusq.functions import sql as sql_functions
 from corpusq.functions.chunk import chunk_table
 from corpusq.functions.score import API, CLI, STAGED
-from corpusq.operators import anomaly, clean, duplicates, reports, simulate
+from corpusq.operators import anomaly, clean, duplicates, reports, simulate, text_index
 from corpusq.operators.similar_index import SimilarIndex
 from corpusq.plans import pipeline
 from corpusq.plans.once import once, widen
@@ -374,6 +375,17 @@ def f11_search(spark, sf_dir):
     return reports.search(layer(spark, sf_dir), "moron|disgusting").select("review_id", "stars", "date", "index_readiness_score")
 
 
+#: Searches of all kinds: alternatives, literals, classes, optional characters, anchors, and two without a needed trigram.
+PATTERNS = ["moron|disgusting", "rights reserved", "tion.*things", "(?:ing|ed) thes", "^the", "[0-9]{3}-[0-9]{4}", "colou?r|licen[sc]e", "ÉÈ|ción", "@mail[0-9]+", "token = .[0-9a-f]+"]
+
+
+@query(WITH + oracle.RAW + " " + " UNION ALL ".join(f"SELECT {i} AS pattern_no, review_id FROM raw WHERE regexp_matches(text, '(?i){p}') OR regexp_matches(review_id, '(?i){p}')" for i, p in enumerate(PATTERNS)))
+def f11_indexed_search(spark, sf_dir):
+    index = text_index.build(raw_wide(spark, sf_dir).select("review_id", "text"), f"{Workspace(spark, 'search').path}/index", ["text", "review_id"])
+    hits = [index.search(p).select(F.lit(i).alias("pattern_no"), "review_id") for i, p in enumerate(PATTERNS)]
+    return reduce(DataFrame.unionByName, hits)
+
+
 @query(oracle.GOLD + "SELECT review_id, stars, index_readiness_score, recommendation, substring(text, 1, 100) || '...' AS text_preview FROM gold WHERE regexp_matches(text, '(?i)the') OR regexp_matches(review_id, '(?i)the') ORDER BY index_readiness_score DESC, review_id LIMIT 50")
 def o05_search_view(spark, sf_dir):
     return reports.search_view(reports.search(layer(spark, sf_dir), "the"))
