@@ -19,7 +19,7 @@ from corpusq.operators.similar_index import SimilarIndex
 from corpusq.plans import pipeline
 from corpusq.plans.once import once, widen
 from corpusq.plans.workspace import Workspace
-from corpusq.sources import readers, writers
+from corpusq.sources import readers, sink, writers
 from corpusq.streaming import scorer, stateful
 
 #: The staged variant with duplicates by equal text, every member flagged: what SQL can repeat.
@@ -401,6 +401,17 @@ def s14_vector_records(spark, sf_dir):
     return writers.vector_batches(layer(spark, sf_dir)).select("id", "text", F.col("metadata.quality_score").alias("quality_score"))
 
 
+@query(oracle.GOLD + "SELECT review_id AS id, text, index_readiness_score AS quality_score, true AS in_a_batch_of_100 FROM gold WHERE index_ready")
+def s14_sink_round_trip(spark, sf_dir):
+    """The upload records through the sink and back, each with whether its batch has 100 rows at most."""
+    at = f"{Workspace(spark, 'sink').path}/store"
+    records = writers.vector_batches(layer(spark, sf_dir)).select("id", "text", "metadata")
+    sink.write_batches(records, at)
+    back = sink.read_batches(spark, at, "id string, text string, metadata struct<quality_score: double>")
+    sizes = back.groupBy("batch").agg((F.count(F.lit(1)) <= sink.BATCH_ROWS).alias("in_a_batch_of_100"))
+    return back.join(sizes, "batch").select("id", "text", F.col("metadata.quality_score").alias("quality_score"), "in_a_batch_of_100")
+
+
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT v.vec_id, list_dot_product(v.embedding::DOUBLE[], q.e::DOUBLE[]) / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(q.e::DOUBLE[], q.e::DOUBLE[])) AS similarity
 FROM embeddings v, q WHERE v.label >= 4 ORDER BY similarity DESC, v.vec_id LIMIT 10""")
 def s16_nearest(spark, sf_dir):
