@@ -22,6 +22,28 @@ THRESHOLD = 0.8
 RANGE_SAMPLE = 4096
 
 
+def parameters(threshold: float, hashes: int, false_positive: float = 0.5, false_negative: float = 0.5) -> tuple[int, int]:
+    """(bands, rows) of at most `hashes` functions with the least weighted error for a threshold.
+
+    A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands; its area below the threshold is the
+    false positives', what it misses above the threshold the false negatives'. Areas are integrated by Gauss's rule.
+    """
+    if not 0 < threshold < 1 or hashes < 1:
+        raise ValueError("the threshold must lie between 0 and 1, and there must be a hash function")
+    node, factor = np.polynomial.legendre.leggauss(96)
+    low, high = threshold * (node + 1) / 2, threshold + (1 - threshold) * (node + 1) / 2
+    best = None
+    for bands in range(1, hashes + 1):
+        rows = np.arange(1, hashes // bands + 1)[:, None]
+        found = (1 - (1 - low**rows) ** bands) @ factor * threshold / 2
+        missed = ((1 - high**rows) ** bands) @ factor * (1 - threshold) / 2
+        error = false_positive * found + false_negative * missed
+        i = int(np.argmin(error))
+        if best is None or error[i] < best[0]:
+            best = float(error[i]), bands, i + 1
+    return best[1], best[2]
+
+
 def _cluster_number(flag: Column, of: Column) -> Column:
     """A non-negative number of the cluster named `of`, -1 for rows in none."""
     return F.when(flag, F.xxhash64(of).bitwiseAND((1 << 62) - 1)).otherwise(F.lit(-1).cast("long"))
@@ -133,12 +155,12 @@ def band_keys(df: DataFrame, key: str = "review_id", bands: int = BANDS, rows: i
     return df.select(F.col(key).cast("string").alias("id"), "text").mapInArrow(run, "id string, bands array<long>")
 
 
-def lsh_clusters(df: DataFrame, ws: Workspace, key: str = "review_id") -> DataFrame:
-    """id, cluster for every row that shares a band with another; candidates aren't verified.
+def lsh_clusters(df: DataFrame, ws: Workspace, key: str = "review_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, cluster for every row that shares a band with another; candidates aren't verified. bands and rows: see `parameters`.
 
     A bucket is a star around its smallest id, so no pairs are formed.
     """
-    keyed = ws.save("bands", band_keys(df, key)).select("id", F.explode("bands").alias("h"))
+    keyed = ws.save("bands", band_keys(df, key, bands, rows)).select("id", F.explode("bands").alias("h"))
     hubs = keyed.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
     edges = keyed.join(spread(hubs), "h").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     found = ws.save("clusters", connected_components(ws, edges, "lsh").select(F.col("node").alias("id"), F.col("component").alias("cluster")))
@@ -155,12 +177,14 @@ def _with_clusters(df: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
     return out.withColumns({"is_duplicate": some, "duplicate_cluster_id": _cluster_number(some, F.col(name))}).drop(of, name)
 
 
-def lsh(df: DataFrame, ws: Workspace, key: str = "review_id") -> DataFrame:
+def lsh(df: DataFrame, ws: Workspace, key: str = "review_id", threshold: float | None = None, hashes: int = 128) -> DataFrame:
     """df with is_duplicate (has a candidate, the first member included) and duplicate_cluster_id (-1 if none).
 
     All other columns stay. A text of fewer than 3 characters, a null text and a null key have no candidate; df is read twice.
+    With a threshold, bands and rows are chosen for that and the number of hash functions.
     """
-    return _with_clusters(df, lsh_clusters(df, ws, key), key)
+    bands, rows = (BANDS, ROWS) if threshold is None else parameters(threshold, hashes)
+    return _with_clusters(df, lsh_clusters(df, ws, key, bands, rows), key)
 
 
 def verified_clusters(df: DataFrame, ws: Workspace, key: str = "review_id", threshold: float = THRESHOLD, bands: int = VERIFIED_BANDS, rows: int = VERIFIED_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq import oracle
-from corpusq.functions import bpe, pii, text
+from corpusq.functions import bpe, pii, tables, text
 from corpusq.functions import sql as sql_functions
 from corpusq.functions.chunk import chunk_table
 from corpusq.functions.score import API, CLI, STAGED
@@ -608,6 +608,31 @@ def u01_sql_functions(spark, sf_dir):
     return spark.sql("SELECT doc_id, count_tokens(text) AS tokens, size(split_sentences(text)) AS sentences, size(chunk_text(text)) AS chunks, array_join(detect_pii(text), ',') AS pii FROM {d}", d=widen(table(spark, sf_dir, "documents")))
 
 
+@query(_CONV + "SELECT CAST(review_id AS BIGINT) AS doc_id, chunk_id, text, tokens, sentences FROM chunks")
+def u02_lateral_chunks(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {d} d, LATERAL chunks_of(d.text, 500, 1) c", d=widen(table(spark, sf_dir, "documents")))
+
+
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, '{p}', 0, 'i') AS m, string_split_regex(text, '{p}', 'i') AS g FROM documents" for k, p in pii.REDACT.items())
+
+
+@query(f"""WITH f AS ({_FOUND}), p AS (SELECT doc_id, kind, m[j] AS found, CAST(list_sum(list_transform(g[1:j], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda s: length(s))), 0) AS INTEGER) AS start FROM f, unnest(range(1, len(m) + 1)) AS u(j))
+SELECT doc_id, kind, start, CAST(start + length(found) AS INTEGER) AS "end", found FROM p""")
+def u03_lateral_pii(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, p.* FROM {d} d, LATERAL personal_data_in(d.text) p", d=widen(table(spark, sf_dir, "documents")))
+
+
+@query(f"""WITH RECURSIVE n AS MATERIALIZED (SELECT conv_id, turn, coalesce(text, '') AS text, CAST({T("coalesce(text, '')")} AS INTEGER) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+w AS (SELECT conv_id, i, 0 AS "window", n AS used FROM n WHERE i = 1 UNION ALL
+  SELECT w.conv_id, n.i, w."window" + CASE WHEN w.used + n.n > 100 THEN 1 ELSE 0 END, CASE WHEN w.used + n.n > 100 THEN n.n ELSE w.used + n.n END FROM w JOIN n ON n.conv_id = w.conv_id AND n.i = w.i + 1)
+SELECT conv_id, "window", min(turn) AS first, max(turn) AS last, CAST(sum(n) AS INTEGER) AS tokens, string_agg(text, chr(10) ORDER BY i) AS text FROM w JOIN n USING (conv_id, i) GROUP BY conv_id, "window" """)
+def u04_partitioned_windows(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT * FROM windows_of(TABLE(SELECT conv_id, turn, text FROM {c}), limit => 100)", c=table(spark, sf_dir, "conversations"))
+
+
 _STARS = "CAST(doc_id % 7 AS DOUBLE)"
 _BATCH = "CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id % 61 END"
 _ERROR = f"CASE WHEN text IS NULL THEN 'text is missing' WHEN length(text) < 10 THEN 'text is shorter than 10 characters' WHEN length(text) > 10000 THEN 'text is longer than 10000 characters' WHEN {_S} = '' THEN 'text is blank' WHEN {_STARS} < 1 OR {_STARS} > 5 THEN 'stars are not within 1 and 5' END"

@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusq.plans.once import free_name
 from corpusq.schema import RAW
 
+MERGERS = 64
+
 
 def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
-def sample_exact(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly k rows (or all), uniform and repeatable: the k least seeded digests, as a top-k.
+def sample_exact(df: DataFrame, k: int, key: str, seed: int = 42, weight: str | None = None) -> DataFrame:
+    """Exactly k rows (or all), repeatable, in one scan: the k least seeded digests, or with a weight column, drawn without replacement by weight.
 
-    A bound on the digest, from the number of rows, keeps a task from sending more than its share of the k; if by chance
-    it leaves fewer than k, it isn't used.
+    A task keeps its own k least rows before anything moves; tasks' rows are merged in MERGERS groups, each again to its k least,
+    and only then in one place, so that place gets MERGERS * k rows whatever the number of tasks. Rows of a weight that is null, zero, negative
+    or not a number aren't drawn. Of rows with equal keys (repeated ones) any may be taken.
     """
-    name = free_name(df, "digest")
-    rows = df.withColumn(name, F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
-    share = (k + 8 * k**0.5 + 100) / max(df.count(), 1)
-    if share < 0.5:
-        some = rows.where(F.col(name) < f"{int(share * (1 << 128)):032x}")
-        if some.select(name).count() >= k:
-            rows = some
-    return rows.orderBy(name, key).limit(k).drop(name)
+    digest, group, place = (free_name(df, x) for x in ("sample_digest", "sample_group", "sample_place"))
+    rows = df.withColumn(digest, F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    if weight is not None:
+        w = F.col(weight).cast("double")
+        uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+        rows = rows.where((w > 0) & ~F.isnan(w)).withColumn(digest, -F.log(uniform) / w)
+    rows = rows.withColumn(group, F.pmod(F.spark_partition_id(), F.lit(MERGERS)))
+    least = F.row_number().over(Window.partitionBy(group).orderBy(digest, key))
+    return rows.withColumn(place, least).where(F.col(place) <= k).orderBy(digest, key).limit(k).drop(digest, group, place)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
