@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.score import tier_label, tier_rank
 from corpusq.functions.text import from_json_list, matches, preview
+from corpusq.plans.selection import quantiles
+from corpusq.plans.workspace import Workspace
 
 R1 = "floor(({}) * 10 + 0.5) / 10"
 R0 = "floor(({}) + 0.5)"
@@ -100,11 +102,12 @@ def run_sql(gold: DataFrame, name: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: count, mean, sample standard deviation, extremes and exact interpolated quartiles."""
+    """One row per column: count, mean, sample standard deviation, extremes and exact interpolated quartiles, the latter by selection in a few scans."""
+    found = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
     parts = []
     for c in columns:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in found[c]]
         parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max")))
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
@@ -116,8 +119,16 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def text_lengths(df: DataFrame) -> DataFrame:
-    n = F.length("text")
-    return df.agg(F.min(n).cast("long").alias("min_chars"), F.max(n).cast("long").alias("max_chars"), F.avg(n).alias("mean_chars"), F.percentile(n, F.lit(0.5)).alias("median_chars"))
+    """min_chars, max_chars, mean_chars, median_chars; texts are read once, for a table of their lengths."""
+    df = Workspace(df.sparkSession, "lengths").save("n", df.select(F.length("text").alias("n")))
+    n = F.col("n")
+    median = quantiles(df, {"n": n}, [0.5])["n"][0]
+    return df.agg(F.min(n).cast("long").alias("min_chars"), F.max(n).cast("long").alias("max_chars"), F.avg(n).alias("mean_chars"), F.lit(median).cast("double").alias("median_chars"))
+
+
+def median_score(gold: DataFrame) -> DataFrame:
+    median = quantiles(gold, {"s": F.col("index_readiness_score")}, [0.5])["s"][0]
+    return gold.sparkSession.range(1).select(F.lit(median).cast("double").alias("median_score"))
 
 
 def pii_type_counts(gold: DataFrame) -> DataFrame:

@@ -75,6 +75,7 @@ def _report(name: str):
 
 for _name in reports.SQL:
     _report(_name)
+QUERIES["a20_median_score"] = lambda spark, sf_dir: reports.median_score(layer(spark, sf_dir))  # its SQL sorts; this selects
 
 WITH = "WITH RECURSIVE "
 SILVER = WITH + oracle.silver() + "\n"
