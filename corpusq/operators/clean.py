@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.score import STAGED, Variant
 from corpusq.functions.text import count_tokens, is_blank, is_mostly_ascii, strip
-from corpusq.plans.once import once, spread
+from corpusq.plans.once import free_name, once, spread
 
 BATCH_ROWS = 100
 
@@ -71,7 +71,8 @@ def validate_batches(rows: DataFrame, batch: str, most: int = BATCH_ROWS) -> Dat
     error is a row's own, or what its batch fails for. Sizes and errors are combined per batch before their shuffle.
     """
     own = validate_requests(rows)
-    of = own.groupBy(F.col(batch).alias("_batch")).agg(F.count(F.lit(1)).alias("_n"), F.count("error").alias("_bad"))
-    out = own.join(spread(of), own[batch].eqNullSafe(F.col("_batch")), "left")
-    error = F.when(F.col("_n") > most, f"the batch has more than {most} rows").when(F.col("error").isNotNull(), F.col("error")).when(F.col("_bad") > 0, "another row of the batch is invalid")
-    return out.withColumn("error", error).drop("_batch", "_n", "_bad")
+    name, n, bad = (free_name(own, x) for x in ("batch_of", "rows_of_batch", "errors_of_batch"))
+    of = own.groupBy(F.col(batch).alias(name)).agg(F.count(F.lit(1)).alias(n), F.count("error").alias(bad))
+    out = own.join(spread(of), own[batch].eqNullSafe(F.col(name)), "left")
+    error = F.when(F.col(n) > most, f"the batch has more than {most} rows").when(F.col("error").isNotNull(), F.col("error")).when(F.col(bad) > 0, "another row of the batch is invalid")
+    return out.withColumn("error", error).drop(name, n, bad)

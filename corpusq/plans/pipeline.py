@@ -15,7 +15,7 @@ from corpusq.functions.score import STAGED, Variant, with_scores
 from corpusq.functions.text import json_list
 from corpusq.operators import duplicates
 from corpusq.operators.clean import clean
-from corpusq.plans.once import once
+from corpusq.plans.once import free_name, once
 from corpusq.plans.workspace import Workspace
 from corpusq.schema import SCORED_COLUMNS
 
@@ -43,13 +43,15 @@ PATTERN = Tokens()
 
 def features(silver: DataFrame, v: Variant, ws: Workspace | None = None, tokens: Tokens = PATTERN) -> DataFrame:
     """silver with chunk statistics, duplicates and personal data; all but duplicates row by row."""
-    df = silver.withColumn("_q", chunk_stats(F.col("text"), counter=tokens.counter))
-    df = df.select("*", "_q.chunk_count", "_q.avg_chunk_tokens", "_q.min_chunk_tokens", "_q.max_chunk_tokens", F.col("_q.quality_flag").alias("chunk_quality_flag")).drop("_q")
-    df = once(df, _types=pii_types(F.col("text")))
-    df = df.withColumns({"has_pii": F.size("_types") > 0, "pii_types": json_list(F.col("_types"))}).drop("_types")
+    q, found = free_name(silver, "chunk_statistics"), free_name(silver, "found_types")
+    df = silver.withColumn(q, chunk_stats(F.col("text"), counter=tokens.counter))
+    df = df.select("*", f"{q}.chunk_count", f"{q}.avg_chunk_tokens", f"{q}.min_chunk_tokens", f"{q}.max_chunk_tokens", F.col(f"{q}.quality_flag").alias("chunk_quality_flag")).drop(q)
+    df = once(df, **{found: pii_types(F.col("text"))})
+    df = df.withColumns({"has_pii": F.size(found) > 0, "pii_types": json_list(F.col(found))}).drop(found)
+    if v.duplicates in ("lsh", "jaccard") or (v.duplicates != "none" and tokens.counter is not None):
+        ws = ws or Workspace(df.sparkSession, "features")
+        df = ws.save("features", df)  # read twice, for the keys and with the clusters; a counter of its own would count twice
     if v.duplicates in ("lsh", "jaccard"):
-        ws = ws or Workspace(df.sparkSession, "lsh")
-        df = ws.save("features", df)  # read twice: for the keys, and with the clusters
         return duplicates.lsh(df, ws) if v.duplicates == "lsh" else duplicates.verified(df, ws)
     if v.duplicates == "members":
         return duplicates.members(df)
