@@ -62,7 +62,7 @@ def test_many_ranges_and_ties(docs, spark):
     flat = spark.createDataFrame([(i, 30, 7) for i in range(100)] + [(None, 30, 7)], "doc_id long, n_words long, score long")
     tied = {r.doc_id: r["rank"] for r in importance.ranked(flat, Workspace(spark, "t"), 40).collect()}
     assert sorted(x for x in got.values() if x) == list(range(1, 251))
-    assert tied == {i: i + 1 if i < 40 else None for i in [*range(100), None]}
+    assert tied == {i: i + 1 if i is not None and i < 40 else None for i in [*range(100), None]}
 
 
 def test_portions_do_not_change_features():
