@@ -609,6 +609,24 @@ def u01_sql_functions(spark, sf_dir):
     return spark.sql("SELECT doc_id, count_tokens(text) AS tokens, size(split_sentences(text)) AS sentences, size(chunk_text(text)) AS chunks, array_join(detect_pii(text), ',') AS pii FROM {d}", d=widen(table(spark, sf_dir, "documents")))
 
 
+_REDACTED = _redact_sql("bracket", "doc_id, now").removeprefix("WITH ")
+_FLAG = "coalesce(c.chunk_quality_flag, 'empty')"
+
+
+@query(f"""{_CONV.strip()}, {_REDACTED.rsplit(" SELECT ", 1)[0]}
+SELECT d.doc_id, r.now AS redacted, coalesce(c.chunk_count, 0) AS chunk_count, coalesce(c.avg_chunk_tokens, 0) AS avg_chunk_tokens, {_FLAG} AS quality_flag,
+  (4 * CASE {_FLAG} WHEN 'optimal' THEN 100 WHEN 'too_short' THEN 30 ELSE 0 END + 300 + CASE WHEN len({oracle.pii('d.text')}) > 0 THEN 0 ELSE 300 END) / 10.0::DOUBLE AS score
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN chunk_stats c ON c.review_id = CAST(d.doc_id AS VARCHAR)""")
+def u05_sql_scores(spark, sf_dir):
+    """redact_pii, chunk_quality, detect_pii and readiness_score by name in SQL."""
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT doc_id, redacted, q.chunk_count, q.avg_chunk_tokens, q.quality_flag, readiness_score(q.quality_flag, false, found > 0) AS score FROM "
+        "(SELECT doc_id, redact_pii(text) AS redacted, chunk_quality(text) AS q, size(detect_pii(text)) AS found FROM {d})",
+        d=widen(table(spark, sf_dir, "documents")),
+    )
+
+
 @query(_CONV + "SELECT CAST(review_id AS BIGINT) AS doc_id, chunk_id, text, tokens, sentences FROM chunks")
 def u02_lateral_chunks(spark, sf_dir):
     tables.register(spark)
