@@ -20,6 +20,8 @@ BANDS, ROWS = 9, 13  # of 128 hash functions, for a threshold of 0.8
 VERIFIED_BANDS, VERIFIED_ROWS = 32, 8
 THRESHOLD = 0.8
 RANGE_SAMPLE = 4096
+PARITY = 1024  # classes of hashed elements
+DENSE = 0.05  # share of pairs from which a block's intersections are counted all at once
 
 
 def parameters(threshold: float, hashes: int, false_positive: float = 0.5, false_negative: float = 0.5) -> tuple[int, int]:
@@ -231,19 +233,61 @@ def _trigram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "elements"])
 
 
-def _similar(threshold: float):
-    """Rows in the order of (low, high, i, j): those, side, id, elements -> a, b, shared, total of the pairs that reach the threshold."""
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of PARITY numbers of 1 or -1 per set: the parity of its elements in each of as many hash classes."""
+    out = np.zeros((len(sets), PARITY), np.float32)
+    for i, x in enumerate(sets):
+        at = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY.bit_length() + 1)
+        out[i] = 1 - 2 * (np.bincount(at.astype(np.int64), minlength=PARITY) & 1)
+    return out
+
+
+def possible(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs can reach the threshold: parities differ in no more classes than the sets have elements of their own.
+
+    A pair of similarity t or more has at most (1 - t) / (1 + t) of both sets' elements outside the intersection, and sizes of ratio t.
+    """
+    n_l, n_r = (np.array([len(x) for x in side], np.float32) for side in (left, right))
+    differ = (PARITY - parities(left) @ parities(right).T) / 2
+    both = n_l[:, None] + n_r[None, :]
+    near = differ <= (1 - threshold) / (1 + threshold) * both + 1e-3
+    return near & (np.minimum(n_l[:, None], n_r[None, :]) >= threshold * np.maximum(n_l[:, None], n_r[None, :]) - 1e-3)
+
+
+def shared_elements(left: list[np.ndarray], right: list[np.ndarray], ask: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs asked for (0 for the others): one by one if those are few, else of all at once."""
+    if ask.mean() > DENSE:
+        return np.where(ask, intersections(left, right), 0)
+    out = np.zeros(ask.shape, np.int64)
+    for i, j in zip(*np.nonzero(ask)):
+        out[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+    return out
+
+
+def _similar(threshold: float, count: bool = False):
+    """Rows in the order of (low, high, i, j): those, side, id, elements -> a, b, shared, total of the pairs that reach the threshold.
+
+    With count only id, n: how many links of each set are in the group.
+    """
 
     def pairs(rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
         if not left or not right:
             return
         sets_l, sets_r = ([np.frombuffer(r[2], "<u8") for r in side] for side in (left, right))
-        both = intersections(sets_l, sets_r)
-        total = np.array([len(x) for x in sets_l])[:, None] + np.array([len(x) for x in sets_r])[None, :] - both
-        hit = both >= threshold * total - 1e-9
+        ask = possible(sets_l, sets_r, threshold)
         if rows[0][0] == 2:
-            hit = np.triu(hit, 1)
+            ask = np.triu(ask, 1)
+        if not ask.any():
+            return
+        both = shared_elements(sets_l, sets_r, ask)
+        total = np.array([len(x) for x in sets_l])[:, None] + np.array([len(x) for x in sets_r])[None, :] - both
+        hit = ask & (both >= threshold * total - 1e-9)
+        if count:
+            for side, n in ((left, hit.sum(axis=1)), (right, hit.sum(axis=0))):
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([side[i][1] for i in at.tolist()], kind), pa.array(n[at].astype(np.int64))], ["id", "n"])
+            return
         for i in np.flatnonzero(hit.any(axis=1)).tolist():
             at = np.flatnonzero(hit[i])
             ends = [sorted((left[i][1], right[j][1])) for j in at.tolist()]
@@ -263,13 +307,12 @@ def _similar(threshold: float):
     return run
 
 
-def jaccard_pairs(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, jaccard for all pairs of different texts with trigram similarity >= threshold; exact.
+def _dealt(df: DataFrame, ws: Workspace, key: str, threshold: float) -> DataFrame:
+    """low, high, i, j, side, id, elements: the trigram sets of different texts, dealt out to the pairs of blocks in which they can have similar ones.
 
     Copies of a text are represented by their smallest key. Trigrams are too few for rare ones to tell texts apart, so every
     set is compared with all of about its size: sizes fall into geometric bands, and of two similar sets one's band is
-    the other's or the next. A band is cut into blocks bounded in rows and elements, and pairs of blocks are compared inside tasks.
-    The work grows with the square of a band; `verified_clusters` is the form for large tables.
+    the other's or the next. A band is cut into blocks bounded in rows and elements.
     """
     first = df.where("text is not null").groupBy(F.sha2("text", 256).alias("t")).agg(F.min(key).alias("first")).select("first")
     texts = df.join(first, df[key] == first["first"], "left_semi").where("text is not null").groupBy(F.col(key).alias("id")).agg(F.min("text").alias("text"))
@@ -291,18 +334,30 @@ def jaccard_pairs(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold:
     down = F.transform(upto(F.col("below")), lambda x: place(band - 1, band, x, me, F.lit(1)))
     dealt = own.select("id", "elements", F.explode(F.concat(same, up, down)).alias("at")).select("at.*", "id", "elements")
     group = ["low", "high", "i", "j"]
-    found = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_similar(threshold), f"a {kind}, b {kind}, shared long, total long")
+    return dealt.repartition(*group).sortWithinPartitions(*group)
+
+
+def jaccard_pairs(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, jaccard for all pairs of different texts with trigram similarity >= threshold; exact.
+
+    Copies of a text are represented by their smallest key. Inside a task, pairs of blocks are pruned by parities of hashed elements
+    first, so full sets are compared only where those leave a chance. The number of pairs of blocks still grows with the square of a
+    band; `verified_clusters` is the form for large tables.
+    """
+    kind = dict(df.dtypes)[key]
+    found = _dealt(df, ws, key, threshold).mapInArrow(_similar(threshold), f"a {kind}, b {kind}, shared long, total long")
     return found.select("a", "b", F.round(F.col("shared") / F.col("total"), 6).alias("jaccard"))
 
 
 def jaccard_documents(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """key, class_id, n_links for every row: the smallest key of its equal texts, and how many other classes `jaccard_pairs` links to that.
+    """key, class_id, n_links for every row: the smallest key of its equal texts, and how many other classes are as similar as `jaccard_pairs` has it. Pairs are counted where they are found and never become rows.
 
     A null text is a class by itself.
     """
-    pairs = ws.save("pairs", jaccard_pairs(df, ws, key, threshold))
-    links = pairs.select(F.explode(F.array("a", "b")).alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    first = df.where("text is not null").groupBy(F.sha2("text", 256).alias("_t")).agg(F.min(key).alias("_first"))
-    classes = df.select(key, F.sha2("text", 256).alias("_t")).join(spread(first), "_t", "left").select(key, F.coalesce("_first", key).alias("class_id"))
-    out = classes.join(spread(links), F.col("class_id") == F.col("_id"), "left")
-    return out.select(key, "class_id", F.coalesce("_n", F.lit(0)).alias("n_links"))
+    kind, own, n, t, first = dict(df.dtypes)[key], *(free_name(df, x) for x in ("linked_id", "links_of", "text_digest", "first_key"))
+    each = _dealt(df, ws, key, threshold).mapInArrow(_similar(threshold, count=True), f"id {kind}, n long")
+    links = ws.save("links", each.groupBy(F.col("id").alias(own)).agg(F.sum("n").alias(n)))
+    firsts = df.where("text is not null").groupBy(F.sha2("text", 256).alias(t)).agg(F.min(key).alias(first))
+    classes = df.select(key, F.sha2("text", 256).alias(t)).join(spread(firsts), t, "left").select(key, F.coalesce(first, key).alias("class_id"))
+    out = classes.join(spread(links), F.col("class_id") == F.col(own), "left")
+    return out.select(key, "class_id", F.coalesce(n, F.lit(0)).alias("n_links"))
