@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,30 @@ BLOCK_ROWS = 1 << 16
 Formula = bool | int | tuple
 
 
-def fold(text: str) -> str:
-    """Each character in the form that all its cases share."""
-    return text.lower() if text.isascii() else "".join(map(_fold, text))
+CASED = 0x20000  # no character from here on has cases
 
 
-def _fold(c: str) -> str:
-    up = c.upper()
-    low = (up if len(up) == 1 else c).lower()
-    return low if len(low) == 1 else c
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """For each code point below CASED the form that all its cases share, by single characters."""
+    out = np.arange(CASED, dtype=np.uint32)
+    for i in range(CASED):
+        up = chr(i).upper()
+        low = (up if len(up) == 1 else chr(i)).lower()
+        if len(low) == 1:
+            out[i] = ord(low)
+    return out
+
+
+def fold(text: str) -> np.ndarray:
+    """The code points of a text, those of all cases alike."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(code < CASED, _folded()[np.minimum(code, CASED - 1)], code).astype(np.int64)
 
 
 def grams(text: str) -> np.ndarray:
     """The different trigrams of a folded text, as three code points of 21 bits."""
-    code = np.frombuffer(fold(text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code = fold(text)
     return np.unique((code[:-2] << 42) | (code[1:-1] << 21) | code[2:])
 
 

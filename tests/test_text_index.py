@@ -31,7 +31,7 @@ def test_a_match_fulfils_the_formula(pattern, text):
 def test_formulas():
     assert required("ab") is True and required("a|bcd") is True and required(r"\p{L}+ing") is True and required("(unclosed") is True
     assert required("abcd") == ("and", tuple(sorted(grams("abcd").tolist()))) and required("a.c", literal=True) == int(grams("a.c")[0])
-    assert required("abc|def")[0] == "or" and fold("ſK") == "sk" and fold("ÉABC") == "éabc"
+    assert required("abc|def")[0] == "or" and "".join(map(chr, fold("ſKÉABC"))) == "skéabc"
 
 
 def test_searches_equal_scans(spark, tmp_path):
