@@ -74,27 +74,36 @@ def members(df: DataFrame, key: str = "review_id") -> DataFrame:
     return out.withColumns({"is_duplicate": again, "duplicate_cluster_id": _cluster_number(again, F.col(t))}).drop(t, n)
 
 
-def group_numbers(df: DataFrame, ws: Workspace, key: str = "review_id") -> DataFrame:
-    """key, group_no: dense numbers of the texts that occur again, in the order of their first keys. A null text is in no group.
+def ordinals(groups: DataFrame, ws: Workspace) -> DataFrame:
+    """t, group_no for groups (t, first; a row each): dense numbers from 0 in the order of first.
 
-    What is ordered is one (first key, digest) per repeated text, and that by ranges: a group's number is
-    its place within its range after the groups of all earlier ranges. The ranges' bounds come from at
-    most RANGE_SAMPLE keys; they decide how even the ranges are, not the numbers.
+    What is ordered is a row per group, and that by ranges: a group's number is its place within its range after the groups of all
+    earlier ranges. The ranges' bounds come from at most RANGE_SAMPLE keys; they decide how even the ranges are, not the numbers.
     """
-    t = F.sha2("text", 256)
-    found = df.where("text is not null").groupBy(t.alias("t")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = ws.save("groups", found.select("t", "first"))
+    groups = ws.save("groups", groups.select("t", "first"))
     some = F.pmod(F.xxhash64("first"), F.lit(1 << 30)) < (1 << 30) * min(1.0, RANGE_SAMPLE / max(groups.count(), 1))
     sample = sorted(r[0] for r in groups.where(F.col("first").isNotNull() & some).select("first").limit(2 * RANGE_SAMPLE).collect())
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     before = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("first"))) if bounds else F.lit(0)
     groups = groups.withColumn("part", F.coalesce(before, F.lit(0)))
     sizes = groups.groupBy("part").agg(F.count_distinct("first").alias("n"))  # at most one row per range
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     place = F.dense_rank().over(Window.partitionBy("part").orderBy("first")).cast("long") - 1
-    numbers = groups.withColumn("place", place).join(offsets, "part").select("t", (F.col("offset") + F.col("place")).alias("group_no"))
-    return df.select(F.col(key), t.alias("t")).join(spread(numbers), "t").select(key, "group_no")
+    return groups.withColumn("place", place).join(offsets, "part").select("t", (F.col("offset") + F.col("place")).alias("group_no"))
+
+
+def group_numbers(df: DataFrame, ws: Workspace, key: str = "review_id") -> DataFrame:
+    """key, group_no: dense numbers of the texts that occur again, in the order of their first keys. A null text is in no group."""
+    t = F.sha2("text", 256)
+    found = df.where("text is not null").groupBy(t.alias("t")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.select(F.col(key), t.alias("t")).join(spread(ordinals(found, ws)), "t").select(key, "group_no")
+
+
+def cluster_numbers(clusters: DataFrame, ws: Workspace) -> DataFrame:
+    """id, cluster, cluster_no of clusters (id, cluster): numbers from 0 in the order in which clusters are first met by id."""
+    numbers = ordinals(clusters.groupBy(F.col("cluster").alias("t")).agg(F.min("id").alias("first")), ws).withColumnRenamed("t", "cluster")
+    return clusters.join(spread(numbers), "cluster").select("id", "cluster", F.col("group_no").alias("cluster_no"))
 
 
 def signatures(texts: list[str], hashes: int) -> np.ndarray:

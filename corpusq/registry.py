@@ -303,6 +303,13 @@ def t28_verified_clusters(spark, sf_dir):
     return df.join(found.withColumnRenamed("id", "review_id"), "review_id", "left").select("review_id", F.col("cluster").isNotNull().alias("is_duplicate"), "cluster")
 
 
+@query(_VERIFIED + "SELECT review_id, cluster, dense_rank() OVER (ORDER BY cluster) - 1 AS cluster_no FROM gold WHERE is_duplicate")
+def w06_cluster_numbers(spark, sf_dir):
+    ws = Workspace(spark, "verified")
+    df = ws.save("silver", clean.clean(raw_wide(spark, sf_dir)).select("review_id", "text"))
+    return duplicates.cluster_numbers(duplicates.verified_clusters(df, ws), ws).withColumnRenamed("id", "review_id")
+
+
 @query(_VERIFIED + "SELECT review_id, is_duplicate, CASE WHEN is_duplicate THEN cluster END AS cluster FROM gold")
 def j02_index_increments(spark, sf_dir):
     """The clusters of `t28_verified_clusters` from an index that took the documents in four batches."""

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from corpusq.operators import duplicates
 from corpusq.operators.duplicates import possible, shared_elements, trigrams
+from corpusq.plans.workspace import Workspace
 
 
 def jaccard(a, b):
@@ -41,3 +42,13 @@ def test_few_comparisons_are_left(monkeypatch):
     some = shared_elements(sets, sets, ask)
     monkeypatch.setattr(duplicates, "DENSE", -1.0)
     assert (some == shared_elements(sets, sets, ask)).all() and some[0, 200] == len(np.intersect1d(sets[0], sets[200]))
+
+
+def test_clusters_are_numbered_as_they_are_met(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "RANGE_SAMPLE", 8)  # few bounds, the same numbers
+    rows = [(f"r{i:03d}", f"c{(i * 7) % 40:02d}") for i in range(200)]
+    random.Random(2).shuffle(rows)
+    got = duplicates.cluster_numbers(spark.createDataFrame(rows, "id string, cluster string"), Workspace(spark, "n")).collect()
+    order = list(dict.fromkeys(c for _, c in sorted(rows)))
+    assert sorted(map(tuple, got)) == sorted((i, c, order.index(c)) for i, c in rows)
+    assert duplicates.cluster_numbers(spark.createDataFrame([], "id string, cluster string"), Workspace(spark, "n")).count() == 0
