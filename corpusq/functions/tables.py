@@ -68,7 +68,7 @@ class PersonalDataIn:
     """kind, start, end, found of each match of the redaction patterns, in the order of the kinds and then of places."""
 
     def __init__(self) -> None:
-        self.patterns = {k: regex.compile(p, regex.IGNORECASE) for k, p in pii.REDACT.items()}
+        self.patterns = {k: regex.compile("(?ai)" + pii.plain(p)) for k, p in pii.REDACT.items()}
 
     @staticmethod
     def analyze(text: AnalyzeArgument) -> AnalyzeResult:
