@@ -30,7 +30,7 @@ def register(spark: SparkSession) -> None:
     create("detect_pii(t STRING)", "ARRAY<STRING>", f"CASE WHEN t IS NULL THEN CAST(array() AS ARRAY<STRING>) ELSE filter(array({found}), x -> x IS NOT NULL) END")
     body = "t"
     for kind, pattern in pii.REDACT.items():
-        body = f"regexp_replace({body}, {_literal('(?iU)' + pattern)}, {_literal(pii.REPLACEMENTS['bracket'][kind])})"
+        body = f"regexp_replace({body}, {_literal('(?i)' + pii.plain(pattern))}, {_literal(pii.REPLACEMENTS['bracket'][kind])})"
     create("redact_pii(t STRING)", "STRING", body)
     create("readiness_score(flag STRING, is_duplicate BOOLEAN, has_pii BOOLEAN)", "DOUBLE", f"(4 * CASE flag WHEN 'optimal' THEN 100 WHEN 'too_short' THEN {STAGED.too_short} ELSE 0 END + CASE WHEN is_duplicate THEN 0 ELSE 300 END + CASE WHEN has_pii THEN 0 ELSE 300 END) / 10.0D")
 
