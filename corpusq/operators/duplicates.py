@@ -205,10 +205,11 @@ def verified_clusters(df: DataFrame, ws: Workspace, key: str = "review_id", thre
     texts are one node. The chance that no band of a pair at exactly 0.8 agrees is 0.3 %, at 0.85 below 0.001 %.
     """
     rows_of = df.select(F.col(key).cast("string").alias("id"), "text").where("text is not null and id is not null")
-    texts = ws.save("texts", rows_of.withColumn("t", F.sha2("text", 256)))
+    with_digest = rows_of.withColumn("t", F.sha2("text", 256))
+    texts = ws.save("texts", with_digest.select("id", "t"))
     classes = texts.groupBy("t").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"))
     classes = ws.save("classes", classes.withColumn("node", F.monotonically_increasing_id()))
-    one = ws.save("one", texts.join(classes.select("t", "id", "node"), ["t", "id"]).dropDuplicates(["node"]).select("node", "text"))
+    one = ws.save("one", with_digest.join(classes.select("t", "id", "node"), ["t", "id"]).dropDuplicates(["t", "id"]).select("node", "text"))  # a text moves once
     banded = ws.save("bands", band_keys(one, "node", bands, rows)).select(F.col("id").cast("long").alias("node"), F.explode("bands").alias("key"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -219,12 +220,12 @@ def verified_clusters(df: DataFrame, ws: Workspace, key: str = "review_id", thre
 
         return one.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, n long, elements binary")
 
-    found = similar_components(ws, banded, sets_of, round(100 * threshold))
+    found = similar_components(ws, banded, sets_of, round(100 * threshold), spent=("one", "bands"))
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", F.when(F.col("copies") > 1, F.col("node")))).where("component is not null")
     least = named.groupBy("component").agg(F.min("id").alias("cluster"))
     named = ws.save("named", named.join(spread(least), "component").select("t", "cluster"))
     out = ws.save("clusters", texts.select("id", "t").join(spread(named), "t").groupBy("id").agg(F.min("cluster").alias("cluster")))
-    for name in ("texts", "classes", "one", "bands", "named"):
+    for name in ("texts", "classes", "named"):
         ws.drop(name)
     return out
 

@@ -3,9 +3,10 @@
 1. A bucket of two or more nodes is a star around its smallest node. Every node keeps one star edge
    at first. A star is dealt out in parts of at most ROWS members and about BLOCK elements, its centre
    goes with each part, and a part is compared inside a task. Components of the confirmed edges follow.
-2. A bucket whose nodes are all in one component needs nothing more. In the others the sets are
-   compared inside tasks by pairs of blocks, and of a node's links with the members of one component
-   only the first comes out. Components of all confirmed edges are the result.
+2. A bucket whose nodes are all in one component needs nothing more. In the others a component that has most of the members
+   meets the other members only, and these each other, inside tasks by pairs of blocks; of a block's links only those that join
+   components come out. Sets are dealt in slices of about a set per node, whose shuffles are gone before the next one.
+   Components of all confirmed edges are the result.
 
 Intersections of two blocks are counted per element: an element that few members hold adds to their
 pairs only, one that many hold goes into a product of incidence matrices. No bucket is capped.
@@ -13,7 +14,8 @@ pairs only, one that many hold goes into a product of incidence matrices. No buc
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ ROWS = 1024
 BLOCK = 1 << 19
 STEP = 1 << 19
 COLUMNS = 512
+SLICE = 1 << 15
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -73,8 +76,8 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def links(rows: list[tuple], percent: int) -> pa.RecordBatch | None:
-    """a, b: confirmed links between members of different components, one per node and component.
+def links(rows: list[tuple], percent: int, forest: bool = False) -> pa.RecordBatch | None:
+    """a, b: confirmed links between members of different components, one per node and component; `forest`: only those that join components not yet joined.
 
     rows: (side, node, component, elements); side 0 left, 1 right, 2 both.
     """
@@ -87,39 +90,74 @@ def links(rows: list[tuple], percent: int) -> pa.RecordBatch | None:
     sets_l, sets_r = ([np.frombuffer(r[3], "<u8") for r in side] for side in (left, right))
     both = intersections(sets_l, sets_r)
     n_l, n_r = (np.array([len(x) for x in sets], np.int64) for sets in (sets_l, sets_r))
+    label, place = np.unique(np.concatenate((comp_l, comp_r)), return_inverse=True)
+    of_l, of_r = place[: len(left)], place[len(left) :]
     a, b = [], []
     for i in range(len(left)):
-        hit = (both[i] > 0) & (100 * both[i].astype(np.int64) >= percent * (n_l[i] + n_r - both[i])) & (comp_r != comp_l[i])
+        own = label[of_l[i]]
+        hit = (both[i] > 0) & (100 * both[i].astype(np.int64) >= percent * (n_l[i] + n_r - both[i])) & (label[of_r] != own)
         at = np.flatnonzero(hit)
         if len(at):
-            at = at[np.unique(comp_r[at], return_index=True)[1]]
-            a += [left[i][1]] * len(at)
-            b += [right[j][1] for j in at]
+            met, first = np.unique(label[of_r[at]], return_index=True)
+            if forest:
+                label[np.isin(label, met)] = own
+            a += [left[i][1]] * len(met)
+            b += [right[j][1] for j in at[first]]
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
 
-def _grouped(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((key, i, j), its other columns) of rows in the order of these."""
+    now, rows = None, []
+    for batch in batches:
+        for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, i, j) != now:
+                if rows:
+                    yield now, rows
+                now, rows = (key, i, j), []
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
+def _grouped(percent: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows in the order of (key, i, j): key, i, j, side, node, component, elements -> links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, i, j) != now:
-                    if rows and (out := links(rows, percent)) is not None:
-                        yield out
-                    now, rows = (key, i, j), []
-                rows.append(tuple(row))
-        if rows and (out := links(rows, percent)) is not None:
-            yield out
+        for _, rows in _groups(batches):
+            if (out := links(rows, percent, forest)) is not None:
+                yield out
 
     return run
 
 
-def compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compared(dealt: DataFrame, sets: DataFrame, percent: int, forest: bool = False) -> DataFrame:
     """dealt: key, i, j, side, node, component; the sets join after the deal, so a set moves once per block it meets."""
     full = dealt.join(sets.select("node", "elements"), "node").select("key", "i", "j", "side", "node", "component", "elements")
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_grouped(percent), "a long, b long")
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_grouped(percent, forest), "a long, b long")
+
+
+def sliced(ws: Workspace, name: str, dealt: DataFrame, sets: DataFrame, percent: int, forest: bool = True) -> DataFrame:
+    """`compared` of the saved table dealt, in so many slices that each set is dealt about once in a slice, which has SLICE deals at least; saved."""
+    slices = max(1, round(dealt.count() / max(SLICE, sets.count())))
+    of = F.pmod(F.xxhash64("key", "i", "j"), F.lit(slices))
+    return reduce(DataFrame.unionByName, [ws.save(f"{name}-{i}", compared(dealt.where(of == i), sets, percent, forest)) for i in range(slices)])
+
+
+def places(rest: DataFrame, among: bool = True) -> DataFrame:
+    """key, i, j, side, node, component from rest (key, node, component, fresh, new, old): fresh members meet the others and, with `among`, each other.
+
+    new and old are the numbers of blocks of the fresh members of the bucket and of the others.
+    """
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("fresh"), F.col("new")).otherwise(F.col("old"))).cast("int"))
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.col("own")
+    with_old = F.transform(upto(F.col("old")), lambda x: place(own, F.col("new") + x, F.lit(0)))
+    with_new = F.transform(upto(F.col("new")), lambda x: place(F.least(own, x), F.greatest(own, x), F.when(own == x, 2).when(own < x, 0).otherwise(1)))
+    of_old = F.transform(upto(F.col("new")), lambda x: place(x, F.col("new") + own, F.lit(1)))
+    dealt = rest.select("key", "node", "component", F.explode(F.when(F.col("fresh"), F.concat(with_old, with_new) if among else with_old).otherwise(of_old)).alias("at"))
+    return dealt.select("key", "at.i", "at.j", "at.side", "node", "component")
 
 
 def block_parts() -> Column:
@@ -127,15 +165,18 @@ def block_parts() -> Column:
     return F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count(F.lit(1)) / ROWS)).cast("int")
 
 
-def similar_components(ws: Workspace, keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def similar_components(ws: Workspace, keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, spent: Sequence[str] = ()) -> DataFrame:
     """(node, component) of the nodes that are linked with another: 100 * intersection >= percent * union.
 
     keyed: key long, node long, the candidate buckets. sets_of(nodes): node, n long, elements binary (distinct
     little-endian 64-bit integers) of the given nodes, for those that share a bucket. component is the smallest node.
+    spent: tables of ws that are dropped once the sets are written.
     """
     stars = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
     members = ws.save("members", keyed.join(spread(stars), "key").select("key", "node", "center"))
     sets = ws.save("sets", sets_of(members.select("node").distinct()))
+    for name in spent:
+        ws.drop(name)
     sizes = sets.groupBy("node").agg(F.sum("n").alias("n"))  # a node may have several sets
 
     first = members.where("node <> center").groupBy("node").agg(F.min("center").alias("key")).join(sizes, "node")
@@ -147,20 +188,19 @@ def similar_components(ws: Workspace, keyed: DataFrame, sets_of: Callable[[DataF
     found = ws.save("found-1", connected_components(ws, confirmed, "cc-a"))
 
     labelled = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = labelled.join(sizes, "node")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), block_parts().alias("blocks")).where("low < high").select("key", "blocks")
-    rest = labelled.join(spread(mixed), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rest.select(
-        "key",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node",
-        "component",
-    )
-    more = ws.save("links-2", compared(ws.save("dealt", dealt), sets, percent))
-    for name in ("members", "sets", "dealt"):
+    labelled = ws.save("labelled", labelled.join(sizes, "node"))
+    ws.drop("members")
+    each = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    main = F.max_by(F.struct("component", "m", "n"), F.struct("m", "component")).alias("main")
+    mixed = each.groupBy("key").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), main, F.count(F.lit(1)).alias("components")).where("components > 1")
+    most = F.col("main.m") * 2 > F.col("m")
+    blocks = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / ROWS)).cast("int")
+    of_main = lambda c: F.when(most, F.col(f"main.{c}")).otherwise(0)
+    mixed = mixed.select("key", F.when(most, F.col("main.component")).alias("main"), blocks(F.col("n") - of_main("n"), F.col("m") - of_main("m")).alias("new"), F.when(most, blocks(F.col("main.n"), F.col("main.m"))).otherwise(0).alias("old"))
+    rest = labelled.join(spread(mixed), "key").withColumn("fresh", ~F.col("component").eqNullSafe(F.col("main")))
+    dealt = ws.save("dealt", places(rest))
+    more = sliced(ws, "links-2", dealt, sets, percent)
+    for name in ("labelled", "sets", "dealt"):
         ws.drop(name)
     edges = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     return connected_components(ws, edges.unionByName(more), "cc-b")

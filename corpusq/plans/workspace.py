@@ -43,6 +43,18 @@ def scratch() -> Iterator[None]:
             _open.remove(ws)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Let what is written inside delete the files of its shuffles when it is done, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """A folder of intermediate tables for one run of one operator; it goes with the interpreter, or with `scratch`."""
 
@@ -53,9 +65,10 @@ class Workspace:
         atexit.register(self.clear)
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        """Write df and return the table read back; the plan behind df is not run again."""
+        """Write df and return the table read back; the plan behind df is not run again, so its shuffles' files go at once."""
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        with shuffles_removed(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def _at(self, name: str):
