@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from corpusq.operators.duplicates import THRESHOLD, VERIFIED_BANDS, VERIFIED_ROWS, band_keys, trigrams
 from corpusq.plans import linkage
 from corpusq.plans.components import connected_components
-from corpusq.plans.linkage import block_parts, compared
+from corpusq.plans.linkage import block_parts, compared, places, sliced
 from corpusq.plans.once import spread
-from corpusq.plans.workspace import Workspace
+from corpusq.plans.workspace import Workspace, shuffles_removed
 
 SCHEMAS = {
     "rows": "id string, node long, batch int",
@@ -83,7 +83,8 @@ class SimilarIndex:
 
     def _append(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
         at = f"{self.path}/{name}/batch={self.batches}"
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(at)
+        with shuffles_removed(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def _posts(self, texts: DataFrame) -> DataFrame:
@@ -135,16 +136,8 @@ class SimilarIndex:
             *[F.coalesce(F.greatest(F.ceil(F.sum(F.when(side, F.col("n"))) / linkage.BLOCK), F.ceil(F.count_if(side) / linkage.ROWS)), F.lit(0)).cast("int").alias(name) for name, side in (("new", F.col("fresh")), ("old", ~F.col("fresh")))],
         )
         mixed = blocks.where("low < high").select("key", "new", "old")  # another component means another member
-        rest = labelled.join(spread(mixed), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("fresh"), F.col("new")).otherwise(F.col("old"))).cast("int"))
-        place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-        upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        own = F.col("own")
-        with_old = F.transform(upto(F.col("old")), lambda x: place(own, F.col("new") + x, F.lit(0)))
-        with_new = F.transform(upto(F.col("new")), lambda x: place(F.least(own, x), F.greatest(own, x), F.when(own == x, 2).when(own < x, 0).otherwise(1)))
-        of_old = F.transform(upto(F.col("new")), lambda x: place(x, F.col("new") + own, F.lit(1)))
-        dealt = rest.select("key", "node", "component", F.explode(F.when(F.col("fresh"), F.concat(with_old, with_new) if among else with_old).otherwise(of_old)).alias("at"))
-        dealt = ws.save("dealt", dealt.select("key", "at.i", "at.j", "at.side", "node", "component"))
-        second = ws.save("links-2", compared(dealt, all_sets, self.percent))
+        dealt = ws.save("dealt", places(labelled.join(spread(mixed), "key"), among))
+        second = sliced(ws, "links-2", dealt, all_sets, self.percent, forest=False)
         return first.unionByName(second) if among else second, roots
 
     def _stars(self, members: DataFrame, sets: DataFrame) -> DataFrame:
