@@ -16,6 +16,9 @@ A word's number is its place in code-point order, so the near word of largest co
 (count, -number), combined before its shuffle. Forms lead to words at least RATIO times as frequent, so chains have no cycles
 and at most log_RATIO(count) steps; roots are found by joining the roots of roots until none moves, that is in about five rounds.
 
+All joins are told to merge: Spark sizes the deletions by the file of words that they come from, many times smaller, and would
+send them through the driver; the other sides grow with the words.
+
 Defined results: null and empty texts have no words; a null doc_id counts as empty in the damage's checksum; a text's repeated rows count
 each; an empty table, or one without frequent words, gives an empty result; other columns are ignored.
 """
@@ -106,7 +109,7 @@ def near_words(words: DataFrame) -> DataFrame:
     other = sent.select("k1", "k2", "size", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "low", "high")])
     whole = (F.col("low") < 0) | (F.col("other_low") < 0)
     replaced = (F.col("low") <= F.col("other_high")) & (F.col("other_low") <= F.col("high"))
-    pairs = sent.join(other, ["k1", "k2", "size"]).where((F.col("id") != F.col("other_id")) & (whole | replaced))
+    pairs = sent.join(other.hint("merge"), ["k1", "k2", "size"]).where((F.col("id") != F.col("other_id")) & (whole | replaced))
     return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.max(F.struct(F.col("other_n").alias("n"), (-F.col("other_id")).alias("minus_id"))).alias("best"))
 
 
@@ -115,7 +118,7 @@ def roots(links: DataFrame, ws: Workspace) -> DataFrame:
     now, i = ws.save("roots-0", links.select("id", F.col("form").alias("root"))), 0
     while True:
         up = now.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        then = ws.save(f"roots-{i + 1}", now.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        then = ws.save(f"roots-{i + 1}", now.join(up.hint("merge"), "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
         ws.drop(f"roots-{i}")
         now, i = then.select("id", "root"), i + 1
         if then.where("moved").isEmpty():
@@ -127,13 +130,13 @@ def group_variants(docs: DataFrame, ws: Workspace, *, min_length: int = MIN_LENG
     counted = ws.save("counts", word_counts(docs, min_length, min_count, damage))
     words = ws.save("words", counted.orderBy("word").withColumn("id", F.monotonically_increasing_id()))
     near = ws.save("near", near_words(words))
-    frequent = words.select("id", "word", "n").join(near, "id", "left").withColumn("fits", F.col("best.n") >= ratio * F.col("n"))
+    frequent = words.select("id", "word", "n").join(near.hint("merge"), "id", "left").withColumn("fits", F.col("best.n") >= ratio * F.col("n"))
     frequent = ws.save("frequent", frequent.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("fits"), -F.col("best.minus_id")).alias("form"), F.when(F.col("fits"), F.col("best.n")).alias("form_n")))
     root = roots(frequent.where("form is not null"), ws)
     named = words.select("id", "word")
-    out = frequent.join(root, "id", "left")
-    out = out.join(named.select(F.col("id").alias("form"), F.col("word").alias("form_word")), "form", "left")
-    out = out.join(named.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root", "left")
+    out = frequent.join(root.hint("merge"), "id", "left")
+    out = out.join(named.select(F.col("id").alias("form"), F.col("word").alias("form_word")).hint("merge"), "form", "left")
+    out = out.join(named.select(F.col("id").alias("root"), F.col("word").alias("root_word")).hint("merge"), "root", "left")
     return out.select("word", F.col("form_word").alias("form"), F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")
 
 

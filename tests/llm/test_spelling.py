@@ -97,3 +97,14 @@ def test_shared_names_are_near_pairs_and_only_once(words):
                     found[a, b] += 1
     want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if near(words[i], words[j])}
     assert set(found) == want and set(found.values()) <= {1}
+
+
+def test_nothing_that_grows_with_the_words_is_broadcast(docs, spark):
+    ws = Workspace(spark, "t")
+    words = ws.save("words", spark.createDataFrame([(i, 5, f"abcdef{i}") for i in range(50)], "id long, n long, word string"))
+    links = ws.save("links", spark.createDataFrame([(1, 0)], "id long, form long"))
+    found = spelling.group_variants(docs(["kernel " * 30 + "kernal " * 5]), ws)
+    for df in (spelling.near_words(words), found):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [tuple(r) for r in spelling.roots(links, ws).collect()] == [(1, 0)]
