@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ VERIFIED_BANDS, VERIFIED_ROWS = 32, 8
 THRESHOLD = 0.8
 RANGE_SAMPLE = 4096
 PARITY = 1024  # classes of hashed elements
+SKETCHES = 8192  # rows of a large block
+MATRIX = 1 << 22
+DEALT = 8  # sketches of a set that are dealt out at once
 DENSE = 0.05  # share of pairs from which a block's intersections are counted all at once
 
 
@@ -236,20 +240,28 @@ def verified(df: DataFrame, ws: Workspace, key: str = "review_id", threshold: fl
 
 
 def _trigram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> id, n, elements: the distinct lower-case trigrams; texts of fewer than 3 characters are left out."""
+    """id, text -> id, n, elements, sketch: the distinct lower-case trigrams and their parities; texts of fewer than 3 characters are left out."""
     for b in batches:
         rows = [i for i, t in enumerate(b.column(1).to_pylist()) if t and len(t.lower()) >= 3]
         sets = [np.unique(trigrams(b.column(1)[i].as_py())) for i in rows]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "elements"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([x.tobytes() for x in of], pa.binary()) for of in (sets, map(sketch, sets)))], ["id", "n", "elements", "sketch"])
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """PARITY bits: the parity of the elements in each of as many hash classes."""
+    at = (elements * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY.bit_length() + 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=PARITY) & 1).astype(np.uint8))
+
+
+def _signs(sketches: list[bytes]) -> np.ndarray:
+    """A row of 1 (even) and -1 (odd) per sketch."""
+    bits = np.unpackbits(np.frombuffer(b"".join(sketches), np.uint8)).reshape(len(sketches), PARITY)
+    return 1 - 2 * bits.astype(np.float32)
 
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
     """A row of PARITY numbers of 1 or -1 per set: the parity of its elements in each of as many hash classes."""
-    out = np.zeros((len(sets), PARITY), np.float32)
-    for i, x in enumerate(sets):
-        at = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY.bit_length() + 1)
-        out[i] = 1 - 2 * (np.bincount(at.astype(np.int64), minlength=PARITY) & 1)
-    return out
+    return _signs([sketch(x).tobytes() for x in sets])
 
 
 def possible(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -258,7 +270,11 @@ def possible(left: list[np.ndarray], right: list[np.ndarray], threshold: float)
     A pair of similarity t or more has at most (1 - t) / (1 + t) of both sets' elements outside the intersection, and sizes of ratio t.
     """
     n_l, n_r = (np.array([len(x) for x in side], np.float32) for side in (left, right))
-    differ = (PARITY - parities(left) @ parities(right).T) / 2
+    return reachable((PARITY - parities(left) @ parities(right).T) / 2, n_l, n_r, threshold)
+
+
+def reachable(differ: np.ndarray, n_l: np.ndarray, n_r: np.ndarray, threshold: float) -> np.ndarray:
+    """`possible` from the numbers of different parities and of elements."""
     both = n_l[:, None] + n_r[None, :]
     near = differ <= (1 - threshold) / (1 + threshold) * both + 1e-3
     return near & (np.minimum(n_l[:, None], n_r[None, :]) >= threshold * np.maximum(n_l[:, None], n_r[None, :]) - 1e-3)
@@ -317,45 +333,129 @@ def _similar(threshold: float, count: bool = False):
     return run
 
 
-def _dealt(df: DataFrame, ws: Workspace, key: str, threshold: float) -> DataFrame:
-    """low, high, i, j, side, id, elements: the trigram sets of different texts, dealt out to the pairs of blocks in which they can have similar ones.
+def _meetings(threshold: float):
+    """Rows in the order of (low, high, p, q): those, side, id, own, n, sketch -> low, high, i, j, side, id: the blocks that each set meets with a chance.
+
+    A chance is what parities leave (`reachable`), so a set without one in a pair of blocks stays out of it. The counts of different
+    parities are formed for MATRIX pairs at a time.
+    """
+
+    def meet(group: tuple, rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        left, right = ([r for r in rows if r[0] != other] for other in (1, 0))
+        if not left or not right:
+            return
+        left, right = (sorted(side, key=lambda r: r[2]) for side in (left, right))
+        same = rows[0][0] == 2
+        own_l, own_r = (np.array([r[2] for r in side], np.int64) for side in (left, right))
+        n_l, n_r = (np.array([r[3] for r in side], np.float32) for side in (left, right))
+        signs = _signs([r[4] for r in right])
+        first = np.flatnonzero(np.diff(own_r, prepend=-1))
+        begin = np.flatnonzero(np.diff(own_l, prepend=-1))
+        back = np.zeros((len(begin), len(right)), bool)  # blocks of the left side that a set of the right one meets
+        step = max(1, MATRIX // len(right))
+        for at in range(0, len(left), step):
+            ask = reachable((PARITY - _signs([r[4] for r in left[at : at + step]]) @ signs.T) / 2, n_l[at : at + step], n_r, threshold)
+            if same:
+                here = np.arange(at, at + len(ask))
+                ask[here - at, here] = False
+            row, block = np.nonzero(np.logical_or.reduceat(ask, first, axis=1))
+            if same:
+                other, mine = own_r[first[block]], own_l[at + row]
+                yield out(group, np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 2, np.where(mine < other, 0, 1)), [left[i][1] for i in (at + row).tolist()], kind)
+                continue
+            yield out(group, own_l[at + row], own_r[first[block]], np.zeros(len(row), np.int64), [left[i][1] for i in (at + row).tolist()], kind)
+            of = np.searchsorted(begin, np.arange(at, at + len(ask)), "right") - 1
+            cut = np.flatnonzero(np.diff(of, prepend=-1))
+            back[of[cut]] |= np.logical_or.reduceat(ask, cut, axis=0)
+        if not same:
+            block, row = np.nonzero(back)
+            yield out(group, own_l[begin[block]], own_r[row], np.ones(len(row), np.int64), [right[i][1] for i in row.tolist()], kind)
+
+    def out(group: tuple, i: np.ndarray, j: np.ndarray, side: np.ndarray, ids: list, kind: pa.DataType) -> pa.RecordBatch:
+        low, high = (pa.array(np.full(len(i), x, np.int32)) for x in group[:2])
+        return pa.RecordBatch.from_arrays([low, high, *(pa.array(x.astype(np.int32)) for x in (i, j, side)), pa.array(ids, kind)], ["low", "high", "i", "j", "side", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, kind = None, [], pa.null()
+        for batch in batches:
+            kind = batch.column(5).type
+            for low, high, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (low, high, p, q) != now:
+                    yield from meet(now, rows, kind)
+                    now, rows = (low, high, p, q), []
+                rows.append(tuple(row))
+        yield from meet(now, rows, kind)
+
+    return run
+
+
+def _places(own: str, blocks: str) -> Column:
+    """low, high, p, q, side of the pairs of blocks that a set takes part in: those of its band of sizes and of the two next to it.
+
+    own is the set's block; blocks the number in its band, above and below (prefixed) those in the next ones.
+    """
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda low, high, p, q, side: F.struct(low.alias("low"), high.alias("high"), p.alias("p"), q.alias("q"), side.alias("side"))
+    me, band = F.col(own), F.col("band")
+    same = F.transform(upto(F.col(blocks)), lambda x: place(band, band, F.least(me, x), F.greatest(me, x), F.when(me == x, 2).when(me < x, 0).otherwise(1)))
+    up = F.transform(upto(F.col(f"above_{blocks}")), lambda x: place(band, band + 1, me, x, F.lit(0)))
+    down = F.transform(upto(F.col(f"below_{blocks}")), lambda x: place(band - 1, band, x, me, F.lit(1)))
+    return F.concat(same, up, down)
+
+
+def _compared(df: DataFrame, ws: Workspace, key: str, threshold: float, run: Callable, schema: str) -> DataFrame:
+    """What run finds in the trigram sets of different texts: low, high, i, j, side, id, elements in the order of the first four; saved.
 
     Copies of a text are represented by their smallest key. Trigrams are too few for rare ones to tell texts apart, so every
     set is compared with all of about its size: sizes fall into geometric bands, and of two similar sets one's band is
-    the other's or the next. A band is cut into blocks bounded in rows and elements.
+    the other's or the next. What is dealt out to all pairs of large blocks are sketches of PARITY bits; full sets go only to those
+    pairs of small blocks, bounded in rows and elements, in which their sketch leaves them a chance. Both are dealt in slices whose
+    shuffles are gone before the next one: of DEALT sketches a set, and of a full set for every fourth one.
     """
     first = df.where("text is not null").groupBy(F.sha2("text", 256).alias("t")).agg(F.min(key).alias("first")).select("first")
-    texts = df.join(first, df[key] == first["first"], "left_semi").where("text is not null").groupBy(F.col(key).alias("id")).agg(F.min("text").alias("text"))
+    texts = df.join(first.hint("merge"), df[key] == first["first"], "left_semi").where("text is not null").groupBy(F.col(key).alias("id")).agg(F.min("text").alias("text"))
     kind = dict(df.dtypes)[key]
-    sets = texts.mapInArrow(_trigram_sets, f"id {kind}, n long, elements binary")
+    sets = texts.mapInArrow(_trigram_sets, f"id {kind}, n long, elements binary, sketch binary")
     sets = ws.save("sets", sets.withColumn("band", F.floor(F.log("n") / math.log(1 / threshold) + 1e-9).cast("int")))
-    rows = F.greatest(F.ceil(F.sum("n") / linkage.BLOCK), F.ceil(F.count(F.lit(1)) / linkage.ROWS)).cast("int")
-    bands = ws.save("bands", sets.groupBy("band").agg(rows.alias("blocks")))  # a row per band of sizes
-
-    own = sets.join(bands, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    above = bands.select((F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = bands.select((F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    own = own.join(above, "band", "left").join(below, "band", "left")
-    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    place = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
-    me, band = F.col("own"), F.col("band")
-    same = F.transform(upto(F.col("blocks")), lambda x: place(band, band, F.least(me, x), F.greatest(me, x), F.when(me == x, 2).when(me < x, 0).otherwise(1)))
-    up = F.transform(upto(F.col("above")), lambda x: place(band, band + 1, me, x, F.lit(0)))
-    down = F.transform(upto(F.col("below")), lambda x: place(band - 1, band, x, me, F.lit(1)))
-    dealt = own.select("id", "elements", F.explode(F.concat(same, up, down)).alias("at")).select("at.*", "id", "elements")
-    group = ["low", "high", "i", "j"]
-    return dealt.repartition(*group).sortWithinPartitions(*group)
+    rows = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(F.sum("n") / linkage.BLOCK), F.ceil(rows / linkage.ROWS)).cast("int")
+    bands = ws.save("bands", sets.groupBy("band").agg(blocks.alias("blocks"), F.ceil(rows / SKETCHES).cast("int").alias("large"), rows.alias("rows")))  # a row per band of sizes
+    beside = [bands.select((F.col("band") + by).alias("band"), F.col("large").alias(f"{name}_large")) for by, name in ((-1, "above"), (1, "below"))]
+    bands = ws.save("beside", reduce(lambda a, b: a.join(b, "band", "left"), beside, bands))
+    total = bands.agg(F.sum("rows"), F.sum(F.col("rows") * (F.col("large") + F.coalesce("above_large", F.lit(0)) + F.coalesce("below_large", F.lit(0))))).first()
+    count, deals = total[0] or 0, total[1] or 0
+
+    own = sets.select("id", "n", "band", "sketch").join(F.broadcast(bands), "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = own.withColumn("me", F.floor(F.col("own") * F.col("large") / F.col("blocks")).cast("int")).withColumn("at", _places("me", "large"))
+    group, slices = ["low", "high", "p", "q"], max(1, math.ceil(deals / max(linkage.SLICE, DEALT * count)))
+    met = []
+    for k in range(slices):
+        mine = F.filter("at", lambda x: F.pmod(F.xxhash64(*[x[c] for c in group]), F.lit(slices)) == k)
+        dealt = own.select(F.explode(mine).alias("at"), "id", "own", "n", "sketch").select("at.*", "id", "own", "n", "sketch")
+        dealt = dealt.repartition(*group).sortWithinPartitions(*group)
+        met.append(ws.save(f"met-{k}", dealt.mapInArrow(_meetings(threshold), f"low int, high int, i int, j int, side int, id {kind}")))
+    met = reduce(DataFrame.unionByName, met)
+
+    live = ws.save("live", sets.select("id", "elements").join(met.select("id").distinct().hint("merge"), "id", "left_semi"))
+    ws.drop("sets")
+    group, slices = ["low", "high", "i", "j"], max(1, math.ceil(met.count() / max(linkage.SLICE, count // 4)))
+    found = []
+    for k in range(slices):
+        mine = met.where(F.pmod(F.xxhash64(*group), F.lit(slices)) == k).join(live.hint("merge"), "id").select(*group, "side", "id", "elements")
+        found.append(ws.save(f"found-{k}", mine.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)))
+    ws.drop("live")
+    return reduce(DataFrame.unionByName, found)
 
 
 def jaccard_pairs(df: DataFrame, ws: Workspace, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """a, b, jaccard for all pairs of different texts with trigram similarity >= threshold; exact.
 
-    Copies of a text are represented by their smallest key. Inside a task, pairs of blocks are pruned by parities of hashed elements
-    first, so full sets are compared only where those leave a chance. The number of pairs of blocks still grows with the square of a
-    band; `verified_clusters` is the form for large tables.
+    Copies of a text are represented by their smallest key. Pairs are pruned by parities of hashed elements
+    first, so full sets move and are compared only where those leave a chance. The number of pairs still grows with the square of a
+    band, in time and not on disk; `verified_clusters` is the form for large tables.
     """
     kind = dict(df.dtypes)[key]
-    found = _dealt(df, ws, key, threshold).mapInArrow(_similar(threshold), f"a {kind}, b {kind}, shared long, total long")
+    found = _compared(df, ws, key, threshold, _similar(threshold), f"a {kind}, b {kind}, shared long, total long")
     return found.select("a", "b", F.round(F.col("shared") / F.col("total"), 6).alias("jaccard"))
 
 
@@ -365,7 +465,7 @@ def jaccard_documents(df: DataFrame, ws: Workspace, key: str = "doc_id", thresho
     A null text is a class by itself.
     """
     kind, own, n, t, first = dict(df.dtypes)[key], *(free_name(df, x) for x in ("linked_id", "links_of", "text_digest", "first_key"))
-    each = _dealt(df, ws, key, threshold).mapInArrow(_similar(threshold, count=True), f"id {kind}, n long")
+    each = _compared(df, ws, key, threshold, _similar(threshold, count=True), f"id {kind}, n long")
     links = ws.save("links", each.groupBy(F.col("id").alias(own)).agg(F.sum("n").alias(n)))
     firsts = df.where("text is not null").groupBy(F.sha2("text", 256).alias(t)).agg(F.min(key).alias(first))
     classes = df.select(key, F.sha2("text", 256).alias(t)).join(spread(firsts), t, "left").select(key, F.coalesce(first, key).alias("class_id"))

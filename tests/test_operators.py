@@ -313,3 +313,29 @@ def test_jaccard_pairs_across_blocks(spark, monkeypatch):
     assert [r[:2] for r in got] == [r[:2] for r in want] and len(want) > 50
     assert all(abs(r[2] - w[2]) < 1e-6 for r, w in zip(got, want))
     assert duplicates.jaccard_pairs(df.limit(0), Workspace(spark, "jp")).count() == 0
+
+
+def test_exact_join_moves_full_sets_only_where_they_can_be_similar(spark, monkeypatch):
+    monkeypatch.setattr(duplicates.linkage, "ROWS", 3)
+    monkeypatch.setattr(duplicates.linkage, "SLICE", 16)
+    for name, value in (("SKETCHES", 9), ("MATRIX", 40), ("DEALT", 1)):
+        monkeypatch.setattr(duplicates, name, value)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    texts = []
+    for size in (20, 25, 31):
+        for _ in range(12):
+            texts.append(" ".join(word() for _ in range(size)))
+        for t in texts[-3:]:
+            texts += [f"{t} {word()}", f"{t} {word()} {word()}", t]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ws = Workspace(spark, "jm")
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    sets = {i: set(duplicates.trigrams(t).tolist()) for t, i in first.items()}
+    want = sorted((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(want) >= 9 and sorted((r.a, r.b) for r in duplicates.jaccard_pairs(df, ws).collect()) == want
+    met = spark.read.parquet(f"{ws.path}/met-*")
+    linked = {x for pair in want for x in pair}
+    assert {r.id for r in met.collect()} >= linked and met.select("id").distinct().count() < len(sets)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in duplicates.jaccard_documents(df, Workspace(spark, "jn")).collect()}
+    assert got == {i: (first[t], sum(first[t] in pair for pair in want)) for i, t in enumerate(texts)}
