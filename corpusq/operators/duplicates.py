@@ -22,6 +22,7 @@ VERIFIED_BANDS, VERIFIED_ROWS = 32, 8
 THRESHOLD = 0.8
 RANGE_SAMPLE = 4096
 PARITY = 1024  # classes of hashed elements
+KEYED = 256
 SKETCHES = 8192  # rows of a large block
 MATRIX = 1 << 22
 DEALT = 8  # sketches of a set that are dealt out at once
@@ -161,13 +162,19 @@ def _banded(texts: list[str | None], bands: int, rows: int) -> list[np.ndarray |
 
 
 def band_keys(df: DataFrame, key: str = "review_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id (the key as a string), bands array<long>: LSH keys of the MinHash signature of lower-case character trigrams."""
+    """id (the key as a string), bands array<long>: LSH keys of the MinHash signature of lower-case character trigrams.
 
+    A batch is taken in slices of KEYED rows, so that of its texts and signatures few are held at once.
+    """
+    return df.select(F.col(key).cast("string").alias("id"), "text").mapInArrow(_keyed(bands, rows), "id string, bands array<long>")
+
+
+def _keyed(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, KEYED) for b in batches for i in range(0, b.num_rows, KEYED)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_banded(b.column(1).to_pylist(), bands, rows), pa.list_(pa.int64()))], ["id", "bands"])
 
-    return df.select(F.col(key).cast("string").alias("id"), "text").mapInArrow(run, "id string, bands array<long>")
+    return run
 
 
 def lsh_clusters(df: DataFrame, ws: Workspace, key: str = "review_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:

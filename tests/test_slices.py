@@ -1,8 +1,10 @@
 """Python stages hold a slice of an Arrow batch at a time, not all of its texts."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusq.functions.chunk import chunk_stats
+from corpusq.operators import duplicates
 
 
 def test_chunk_statistics_take_texts_one_by_one(spark):
@@ -12,3 +14,13 @@ def test_chunk_statistics_take_texts_one_by_one(spark):
     got = {r[0]: tuple(r[1:]) for r in out.collect()}
     assert got[0] == got[1] == (0, 0.0, 0, 0, "empty") and got[2] == (1, 6.0, 6, 6, "too_short") and got[3][0] == 2
     assert df.limit(0).select(chunk_stats(F.col("t"))).count() == 0
+
+
+def test_band_keys_take_slices(monkeypatch):
+    sizes, banded = [], duplicates._banded
+    texts = [f"text number {i}" for i in range(1000)]
+    monkeypatch.setattr(duplicates, "_banded", lambda t, *a: sizes.append(len(t)) or banded(t, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(1000))), pa.array(texts)], ["id", "text"])
+    out = pa.Table.from_batches(duplicates._keyed(9, 13)([batch]))
+    assert max(sizes) <= duplicates.KEYED and out["id"].to_pylist() == batch.column(0).to_pylist()
+    assert out["bands"].to_pylist() == [x.tolist() for x in banded(texts, 9, 13)]
