@@ -75,7 +75,7 @@ class BatchWriter(DataSourceArrowWriter):
             _put(files, f"{root}/batches/{attempt}/{key}.jsonl", content)
             batches, rows, held = batches + 1, rows + len(held), []
 
-        for b in iterator:
+        for b in (b.slice(i, BATCH_ROWS) for b in iterator for i in range(0, b.num_rows, BATCH_ROWS)):  # few rows as objects at once
             for r in b.to_pylist():
                 held.append(json.dumps(r, ensure_ascii=False, default=str))
                 if len(held) == self.size:

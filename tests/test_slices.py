@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.chunk import chunk_stats
 from corpusq.operators import duplicates
+from corpusq.sources import sink
 
 
 def test_chunk_statistics_take_texts_one_by_one(spark):
@@ -24,3 +25,23 @@ def test_band_keys_take_slices(monkeypatch):
     out = pa.Table.from_batches(duplicates._keyed(9, 13)([batch]))
     assert max(sizes) <= duplicates.KEYED and out["id"].to_pylist() == batch.column(0).to_pylist()
     assert out["bands"].to_pylist() == [x.tolist() for x in banded(texts, 9, 13)]
+
+
+def test_the_sink_takes_slices(tmp_path, monkeypatch):
+    class Batch:
+        def __init__(self, rows):
+            self.rows, self.num_rows = rows, len(rows)
+
+        def slice(self, at, n):
+            return Batch(self.rows[at : at + n])
+
+        def to_pylist(self):
+            assert self.num_rows <= sink.BATCH_ROWS
+            return self.rows
+
+    class Task:
+        partitionId = taskAttemptId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(sink.TaskContext, "get", staticmethod(Task))
+    done = sink.BatchWriter({"path": f"file://{tmp_path}", "batch_rows": "70"}).write([Batch([{"id": i} for i in range(250)]), Batch([])])
+    assert (done.batches, done.rows) == (4, 250)
