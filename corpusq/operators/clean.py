@@ -24,17 +24,27 @@ def _steps(v: Variant) -> list[tuple[str, Column]]:
     return steps
 
 
+def stripped(raw: DataFrame, v: Variant = STAGED) -> DataFrame:
+    """The rows whose text isn't null or blank, stripped if the variant has it so."""
+    df = raw.where("text is not null")
+    text = strip(F.col("text"))
+    return once(df, text=text).where("text <> ''") if v.strip else df.where(text != "")
+
+
+def readable(raw: DataFrame, v: Variant = STAGED) -> DataFrame:
+    """The rows that pass all steps but the one that counts tokens."""
+    df = stripped(raw, v)
+    return df if v.ascii_share is None else df.where(is_mostly_ascii(F.col("text"), v.ascii_share))
+
+
+def long_enough(df: DataFrame, v: Variant) -> DataFrame:
+    """The rows whose token_count is that of the variant at least."""
+    return df.where(F.col("token_count") >= v.min_tokens) if v.min_tokens else df
+
+
 def clean(raw: DataFrame, v: Variant = STAGED, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """The rows that pass all steps, with token_count by any counter."""
-    df = raw.where("text is not null")
-    stripped = strip(F.col("text"))
-    df = once(df, text=stripped).where("text <> ''") if v.strip else df.where(stripped != "")
-    df = once(df, token_count=counter(F.col("text")))
-    if v.min_tokens:
-        df = df.where(F.col("token_count") >= v.min_tokens)
-    if v.ascii_share is not None:
-        df = df.where(is_mostly_ascii(F.col("text"), v.ascii_share))
-    return df
+    return long_enough(once(readable(raw, v), token_count=counter(F.col("text"))), v)
 
 
 def funnel(raw: DataFrame, v: Variant = STAGED) -> DataFrame:

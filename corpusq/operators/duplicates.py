@@ -56,24 +56,27 @@ def _cluster_number(flag: Column, of: Column) -> Column:
     return F.when(flag, F.xxhash64(of).bitwiseAND((1 << 62) - 1)).otherwise(F.lit(-1).cast("long"))
 
 
-def keep_first(df: DataFrame, key: str = "review_id") -> DataFrame:
+def keep_first(df: DataFrame, key: str = "review_id", texts: DataFrame | None = None) -> DataFrame:
     """is_duplicate for all but the first row (by key) of equal texts; duplicate_cluster_id is -1 for the first.
 
     Rows that share key and text are one document: all of them have its flag. A row with a null text is no
     duplicate; a null key comes after all others. A hot text is combined before its shuffle, and only texts
-    that occur again are joined back, where a row compares itself with its text's first.
+    that occur again are joined back, where a row compares itself with its text's first. texts: see `members`.
     """
     t, first, n = (free_name(df, x) for x in ("text_digest", "first_key", "rows_of_text"))
-    firsts = df.groupBy(F.sha2("text", 256).alias(t)).agg(F.min(key).alias(first), F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    firsts = (df if texts is None else texts).groupBy(F.sha2("text", 256).alias(t)).agg(F.min(key).alias(first), F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
     out = df.withColumn(t, F.sha2("text", 256)).join(spread(firsts), t, "left")
     again = F.col(n).isNotNull() & ~F.col(key).eqNullSafe(F.col(first))
     return out.withColumns({"is_duplicate": again, "duplicate_cluster_id": _cluster_number(again, F.col(t))}).drop(t, first, n)
 
 
-def members(df: DataFrame, key: str = "review_id") -> DataFrame:
-    """is_duplicate for every row whose text occurs again; the cluster is named by its text. A null text is no duplicate."""
+def members(df: DataFrame, key: str = "review_id", texts: DataFrame | None = None) -> DataFrame:
+    """is_duplicate for every row whose text occurs again; the cluster is named by its text. A null text is no duplicate.
+
+    texts: a table to count in instead of df, if that is costly: each text of df with just df's rows of it, and any other texts.
+    """
     t, n = free_name(df, "text_digest"), free_name(df, "rows_of_text")
-    counts = df.groupBy(F.sha2("text", 256).alias(t)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    counts = (df if texts is None else texts).groupBy(F.sha2("text", 256).alias(t)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
     out = df.withColumn(t, F.sha2("text", 256)).join(spread(counts), t, "left")
     again = F.col(n).isNotNull()
     return out.withColumns({"is_duplicate": again, "duplicate_cluster_id": _cluster_number(again, F.col(t))}).drop(t, n)
