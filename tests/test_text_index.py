@@ -63,3 +63,25 @@ def test_only_blocks_of_candidates_are_read(spark, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     index = text_index.build(spark.createDataFrame([], "i long, text string"), f"file://{tmp_path}/index", ["text"])
     assert index.search("abc").count() == index.search("a").count() == 0
+
+
+def test_postings_are_rows_of_bits(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    texts = [None if i % 50 == 9 else "" if i % 50 == 8 else "".join(rng.choices("abcd", k=rng.randrange(1, 40))) for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").selectExpr("*", "i AS word", "i AS rows_of_word").repartition(3)
+    index = text_index.build(df, f"file://{tmp_path}/index", ["text"])
+    rows = {r.row: r.text for r in index.rows.collect()}
+    want = {(int(g), n) for n, t in rows.items() for g in grams(t or "")}
+    got = [(r.gram, r.word << 6 | k) for r in index.postings.collect() for k in range(64) if r.rows >> k & 1]
+    assert len(got) == len(want) and set(got) == want and index.postings.count() < len(want) / 8
+    for most in (1 << 10, 0):  # with candidates by the row, and by the block only
+        monkeypatch.setattr(text_index, "MOST_BLOCKS", most)
+        for p in ["abcd", "(abc|bcd)a+", "aaa.*bbb", "dcba|cccc"]:
+            assert sorted(r.i for r in index.search(p).collect()) == [i for i, t in enumerate(texts) if t and re.search(p, t)], p
+
+
+def test_the_pattern_is_tried_on_candidates_only(spark, tmp_path):
+    index = text_index.build(spark.range(300).selectExpr("id", "concat('hay', id) AS text"), f"file://{tmp_path}/index", ["text"])
+    plan = index.search("hay1.*7")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tried = [i for i, x in enumerate(plan) if "RLIKE" in x]
+    assert len(tried) == 1 and tried[0] <= next(i for i, x in enumerate(plan) if "Join Inner" in x)  # at the join with the candidates, or above it
