@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusq.streaming import stateful
@@ -46,6 +47,46 @@ def test_late_rows_are_dropped_and_old_texts_forgotten(spark, tmp_path):
     assert got["i"] == (False, "i", 1) and got["h"] == (False, "h", 1)
 
 
+def test_texts_of_one_bucket_are_forgotten_one_by_one(spark, tmp_path):
+    at = f"{tmp_path}/in"
+    add(spark, at, [("a", "one", 0), ("b", "two", 50), ("c", "one", 5)])
+    add(spark, at, [("d", "far", 80)])
+    add(spark, at, [("e", "far", 81), ("f", "new", 130)])  # "one" goes at 5 + 60, "two" at 50 + 60
+    add(spark, at, [("g", "far", 132), ("h", "two", 133), ("i", "one", 134)])  # the watermark is at 120 now
+    add(spark, at, [("j", "one", 150), ("k", "two", 150), ("l", "far", 150), ("m", "new", 150)])
+    got = run(spark, tmp_path, time="ts", late="10 minutes", forget_ms=60 * 60 * 1000, buckets=1)
+    want = {"a": (False, "a", 1), "c": (True, "a", 2), "b": (False, "b", 1), "d": (False, "d", 1), "e": (True, "d", 2), "f": (False, "f", 1), "g": (True, "d", 3)}
+    want |= {"h": (False, "h", 1), "i": (False, "i", 1), "j": (True, "i", 2), "k": (True, "h", 2), "l": (True, "d", 4), "m": (True, "f", 2)}
+    assert got == want
+
+
+def test_a_bucket_of_texts_takes_one_read_and_one_write():
+    class State:
+        value, reads, writes = None, 0, 0
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.writes, self.value = self.writes + 1, value
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: state)  # noqa: N815
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: -1)  # noqa: N815
+
+    state, seen = State(), stateful.FirstSeen("id", None)
+    seen.init(Handle())
+    rows = [Row(id=i, text_digest=bytearray(b"%d" % (i % 300))) for i in range(400)]
+    got = {r.id: (r.is_duplicate, r.first_id, r.rows_so_far) for r in seen.handleInputRows((0,), iter(rows), Times())}
+    assert got == {i: (i >= 300, str(i % 300), 1 + i // 300) for i in range(400)} and (state.reads, state.writes) == (1, 1)
+    rows = [Row(id=i, text_digest=b"%d" % (i - 100)) for i in range(399, 499)]
+    got = {r.id: (r.is_duplicate, r.first_id, r.rows_so_far) for r in seen.handleInputRows((0,), iter(rows), Times())}
+    assert got == {399: (True, "299", 2)} | {i: (False, str(i), 1) for i in range(400, 499)} and (state.reads, state.writes) == (2, 2)
+
+
 def test_wrong_options(spark):
     with pytest.raises(ValueError, match="event time"):
         stateful.keep_first(spark.range(1).withColumn("text", F.lit("x")), "id", forget_ms=1)
