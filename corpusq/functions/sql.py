@@ -26,7 +26,7 @@ def register(spark: SparkSession) -> None:
 
     create("count_tokens(t STRING)", "INT", f"CAST(regexp_count(t, {_literal(TOKEN)}) AS INT)")
     create("split_sentences(t STRING)", "ARRAY<STRING>", f"filter(transform(split(t, {_literal(SENTENCE_BREAK)}), x -> regexp_replace(x, {_literal(r'(?U)^\s+|\s+$')}, '')), x -> x <> '')")
-    found = ", ".join(f"CASE WHEN t RLIKE {_literal(flags + '(?:' + '|'.join(ps) + ')')} THEN '{kind}' END" for kind, flags, ps in (("address", "(?iU)", pii.ADDRESS), ("email", "(?U)", [pii.EMAIL]), ("phone", "(?U)", pii.PHONE)))
+    found = ", ".join(f"CASE WHEN t RLIKE {_literal(pii.detection(ps, fold))} THEN '{kind}' END" for kind, ps, fold in (("address", pii.ADDRESS, True), ("email", [pii.EMAIL], False), ("phone", pii.PHONE, False)))
     create("detect_pii(t STRING)", "ARRAY<STRING>", f"CASE WHEN t IS NULL THEN CAST(array() AS ARRAY<STRING>) ELSE filter(array({found}), x -> x IS NOT NULL) END")
     body = "t"
     for kind, pattern in pii.REDACT.items():

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: Fixed pattern: a sentence ends at . ! or ? before white space and a capital letter, or at the end.
 SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])$"
+#: What words are made of, as in the SQL: not the joiners and circled letters that \w has too.
+WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
 #: A token is a run of word characters or one other mark. An approximation of byte-pair counts.
-TOKEN = r"(?U)\w+|[^\w\s]"
+TOKEN = rf"[{WORD}]+|[^{WORD}\s\x0b\x85\p{{Z}}]"
 SPACES = r"(?U)\s+"
 
 
@@ -35,7 +37,7 @@ def _count_runs(c: Column, run: str) -> Column:
 
 
 def count_tokens(c: Column) -> Column:
-    return F.when(is_ascii(c), _count_runs(c, r"\w+")).otherwise(_count_runs(c, r"(?U)[a-zA-Z0-9_\w]+"))
+    return F.when(is_ascii(c), _count_runs(c, r"\w+")).otherwise(_count_runs(c, f"[a-zA-Z0-9_{WORD}]+"))
 
 
 def count_words(c: Column) -> Column:
