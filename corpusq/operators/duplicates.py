@@ -230,11 +230,11 @@ def verified_clusters(df: DataFrame, ws: Workspace, key: str = "review_id", thre
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 sets = [np.unique(trigrams(t)) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "elements"])
+                yield linkage.sketched(b.column(0), sets)
 
-        return one.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, n long, elements binary")
+        return one.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, linkage.SKETCHED)
 
-    found = similar_components(ws, banded, sets_of, round(100 * threshold), spent=("one", "bands"))
+    found = similar_components(ws, banded, sets_of, round(100 * threshold), spent=("one", "bands"), sketches=True)
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", F.when(F.col("copies") > 1, F.col("node")))).where("component is not null")
     least = named.groupBy("component").agg(F.min("id").alias("cluster"))
     named = ws.save("named", named.join(spread(least), "component").select("t", "cluster"))
