@@ -7,7 +7,7 @@ that failed is written anew under its number:
 * digests: digest, node of every text.
 * posts: key, node of every band, partitioned by band and ordered by key within files, so that a small batch
   skips most row groups.
-* sets: node, n, elements, the full trigram sets for verification.
+* sets: node, n, elements, sketch, the full trigram sets for verification and their parities (`linkage.sketch`).
 * parents: node, parent of every node that isn't the first of its component. Components are only ever merged, and
   by their roots: a batch adds a row per new member and one per old root that has a new root, and touches nothing else.
   A node's root is found by following parents, at most as many as there were batches.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corpusq.operators.duplicates import THRESHOLD, VERIFIED_BANDS, VERIFIED_ROWS, band_keys, trigrams
 from corpusq.plans import linkage
 from corpusq.plans.components import connected_components
-from corpusq.plans.linkage import block_parts, compared, places, sliced
+from corpusq.plans.linkage import block_parts, chances, compared, places, sketched, sliced
 from corpusq.plans.once import spread
 from corpusq.plans.workspace import Workspace, shuffles_removed
 
@@ -41,7 +41,7 @@ SCHEMAS = {
     "rows": "id string, node long, batch int",
     "digests": "digest binary, node long, batch int",
     "posts": "key long, node long, batch int, band int",
-    "sets": "node long, n long, elements binary, batch int",
+    "sets": "node long, n long, elements binary, sketch binary, batch int",
     "parents": "node long, parent long, batch int",
 }
 #: A node's number: its batch, above 50 bits of a running number.
@@ -51,14 +51,14 @@ QUERIES = 1 << 62
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """node, n, elements of node, text."""
+    """node, n, elements, sketch of node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(trigrams(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "elements"])
+            yield sketched(b.column(0), sets)
 
-    return texts.where(F.length(F.lower("text")) >= 3).select("node", "text").mapInArrow(run, "node long, n long, elements binary")
+    return texts.where(F.length(F.lower("text")) >= 3).select("node", "text").mapInArrow(run, linkage.SKETCHED)
 
 
 class SimilarIndex:
@@ -118,7 +118,7 @@ class SimilarIndex:
         met = ws.save("shared", met.join(several, "key", "left_semi"))  # few buckets have two members
         ws.drop("met")
         roots = ws.save("touched-roots", self.roots(met.where("not fresh").select("node").distinct(), ws, "root"))
-        all_sets = sets.select("node", "n", "elements").unionByName(self.table("sets"))
+        all_sets = sets.select("node", "n", "elements", "sketch").unionByName(self.table("sets"))
         sizes = all_sets.select("node", "n").join(met.select("node").distinct(), "node", "left_semi")
         members = met.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
         members = ws.save("buckets", members.join(sizes, "node"))
@@ -137,7 +137,10 @@ class SimilarIndex:
         )
         mixed = blocks.where("low < high").select("key", "new", "old")  # another component means another member
         dealt = ws.save("dealt", places(labelled.join(spread(mixed), "key"), among))
-        second = sliced(ws, "links-2", dealt, all_sets, self.percent, forest=False)
+        near = ws.save("near", chances(ws, "chances", dealt, all_sets.join(members.select("node").distinct(), "node", "left_semi"), self.percent))
+        for name in ("dealt", "chances"):
+            ws.drop(name)
+        second = sliced(ws, "links-2", near, all_sets, self.percent, forest=False)
         return first.unionByName(second) if among else second, roots
 
     def _stars(self, members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,7 +183,7 @@ class SimilarIndex:
         texts = ws.save("texts", rows.join(new, ["digest", "id"]).dropDuplicates(["node"]).select("node", "text"))
         sets = self._append("sets", _sets(texts))
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        posts = self._append("posts", self._posts(texts).repartitionByRange(parts, "band", "key").sortWithinPartitions("band", "key"), "band")
+        posts = self._append("posts", self._posts(texts).repartition(parts, F.shiftright("key", 56)).sortWithinPartitions("band", "key"), "band")
         links, roots = self._links(ws, posts.select("key", "node"), sets, among=True)
         found = connected_components(ws, self._between_roots(links, roots), "cc-roots")
         self._append("parents", found.where("node <> component").select("node", F.col("component").alias("parent")))
